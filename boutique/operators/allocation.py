@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutique import constants as K
-from boutique.functions.ids import format_id
+from boutique.functions.ids import format_id, id_number
 from boutique.operators.ordered import max_id_number, row_numbers, running_sum
 from boutique.sources.carts import normalise_carts
 from boutique.sources.schemas import MONEY
+from boutique.session import materialize
 from boutique.sources.tables import Tables
 
 def supply_order():
@@ -38,22 +39,23 @@ def supply_intervals(stock: DataFrame, pieces: int | None = None) -> DataFrame:
     )
     s = running_sum(
         s, {"s0": F.col("quantity_available").cast("bigint"), "s_rank": F.lit(1)},
-        supply_order(), ["product_id"], inclusive=True, pieces=pieces,
+        supply_order(), ["product_id"], inclusive=True,
+        bucket_by=-F.col("quantity_available"), per_piece=pieces,
     )
-    return s.withColumn("s0", F.col("s0") - F.col("quantity_available")).withColumn(
+    return materialize(s.withColumn("s0", F.col("s0") - F.col("quantity_available")).withColumn(
         "s_rank", F.col("s_rank").cast("bigint")
-    )
+    ))
 
 
 def demand_intervals(lines: DataFrame, pieces: int | None = None) -> DataFrame:
     """Cart lines with interval start ``d0`` and rank ``d_rank`` per product (cart order)."""
     d = running_sum(
         lines, {"d0": F.col("qty").cast("bigint"), "d_rank": F.lit(1)},
-        ["cart_id"], ["product_id"], inclusive=True, pieces=pieces,
+        ["cart_id"], ["product_id"], inclusive=True, bucket_by="cart_id", per_piece=pieces,
     )
-    return d.withColumn("d0", F.col("d0") - F.col("qty")).withColumn(
+    return materialize(d.withColumn("d0", F.col("d0") - F.col("qty")).withColumn(
         "d_rank", F.col("d_rank").cast("bigint")
-    )
+    ))
 
 
 def admit_carts(lines: DataFrame, stock: DataFrame, pieces: int | None = None) -> DataFrame:
@@ -68,11 +70,11 @@ def admit_carts(lines: DataFrame, stock: DataFrame, pieces: int | None = None) -
         F.sum(F.greatest(F.col("quantity_available"), F.lit(0))).cast("bigint").alias("supply")
     )
     d = running_sum(lines, {"d1": F.col("qty").cast("bigint")}, ["cart_id"], ["product_id"],
-                    inclusive=True, pieces=pieces)
+                    inclusive=True, bucket_by="cart_id", per_piece=pieces)
     d = d.join(supply, "product_id", "left").withColumn(
         "fits", F.col("d1") <= F.coalesce("supply", F.lit(0))
     )
-    return d.groupBy("cart_id").agg(F.bool_and("fits").alias("admitted"))
+    return materialize(d.groupBy("cart_id").agg(F.bool_and("fits").alias("admitted")))
 
 
 def allocate(lines: DataFrame, stock: DataFrame, pieces: int | None = None) -> DataFrame:
@@ -100,10 +102,10 @@ def allocate(lines: DataFrame, stock: DataFrame, pieces: int | None = None) -> D
         .groupBy("product_id", "x", "E")
         .agg(F.max("is_d").alias("is_d"), F.max("is_s").alias("is_s"))
     )
-    ev = running_sum(
-        events, {"d_rank": F.col("is_d"), "s_rank": F.col("is_s"), "e_idx": F.lit(1)},
-        ["x"], ["product_id"], inclusive=True, pieces=pieces,
-    )
+    ev = materialize(running_sum(
+        materialize(events), {"d_rank": F.col("is_d"), "s_rank": F.col("is_s"), "e_idx": F.lit(1)},
+        ["x"], ["product_id"], inclusive=True, bucket_by="x", per_piece=pieces,
+    ))
     nxt = ev.select("product_id", (F.col("e_idx") - 1).alias("e_idx"), F.col("x").alias("x_next"))
     seg = ev.join(nxt, ["product_id", "e_idx"], "left").select(
         "product_id",
@@ -114,8 +116,8 @@ def allocate(lines: DataFrame, stock: DataFrame, pieces: int | None = None) -> D
     seg = seg.join(dem.select("product_id", "d_rank", "cart_id"), ["product_id", "d_rank"], "inner")
     seg = seg.join(sup.select("product_id", "s_rank", "stock_id", "seller_id"),
                    ["product_id", "s_rank"], "inner")
-    return seg.select("cart_id", "product_id", "stock_id", "seller_id", "s_rank",
-                      F.col("take").cast("int").alias("take"))
+    return materialize(seg.select("cart_id", "product_id", "stock_id", "seller_id", "s_rank",
+                                  F.col("take").cast("int").alias("take")))
 
 
 def snapshot_allocation(lines: DataFrame, stock: DataFrame, pieces: int | None = None) -> DataFrame:
@@ -138,8 +140,8 @@ def snapshot_allocation(lines: DataFrame, stock: DataFrame, pieces: int | None =
         sup.select("product_id", F.col("s0").alias("x"), F.lit(0).alias("kind"),
                    F.lit(-1).cast("bigint").alias("tb"), F.lit(1).alias("is_s"))
     )
-    counted = running_sum(events, {"k": F.col("is_s")}, ["x", "kind", "tb"], ["product_id"],
-                          inclusive=True, pieces=pieces)
+    counted = running_sum(materialize(events), {"k": F.col("is_s")}, ["x", "kind", "tb"], ["product_id"],
+                          inclusive=True, bucket_by="x", per_piece=pieces)
     k = counted.filter(F.col("kind") == 1).select(
         "product_id", F.col("tb").alias("cart_id"), F.col("k").cast("int").alias("k")
     )
@@ -167,7 +169,8 @@ def place_orders(
     and ``stock`` tables plus ``placed`` (cart_id -> order_id) and ``rejected`` carts.
     """
     prices = t.products.select("product_id", "product_price")
-    lines = normalise_carts(carts).join(prices.select("product_id"), "product_id", "left_semi")
+    lines = materialize(
+        normalise_carts(carts).join(prices.select("product_id"), "product_id", "left_semi"))
     verdict = admit_carts(lines, t.stock, pieces)
     ok = lines.join(verdict.filter("admitted"), "cart_id", "left_semi")
     alloc = allocate(ok, t.stock, pieces)
@@ -176,8 +179,10 @@ def place_orders(
     limit_ts = F.lit(f"{as_of.date().isoformat()} {K.SHIPPING_LIMIT_TIME}").cast("timestamp_ntz")
     prefix, width = K.ID_FORMATS["order_id"]
     base = max_id_number(t.orders, "order_id", prefix)
-    placed = row_numbers(verdict.filter("admitted").select("cart_id"), "_n", ["cart_id"], (), pieces)
-    placed = placed.select("cart_id", format_id(prefix, width, base + F.col("_n")).alias("order_id"))
+    placed = row_numbers(verdict.filter("admitted").select("cart_id"), "_n", ["cart_id"], (),
+                         bucket_by="cart_id", per_piece=pieces)
+    placed = materialize(
+        placed.select("cart_id", format_id(prefix, width, base + F.col("_n")).alias("order_id")))
 
     new_orders = placed.join(cart_customers, "cart_id", "left").select(
         "order_id", "customer_id",
@@ -186,7 +191,10 @@ def place_orders(
         *[F.lit(None).cast("timestamp_ntz").alias(c) for c in
           ("order_approved_at", "order_delivered_carrier_date", "order_delivered_customer_date")],
     )
-    items = row_numbers(alloc, "order_item_id", ["product_id", "s_rank"], ["cart_id"], pieces)
+    # Lines of a new order follow the product number, then the stock rank.
+    alloc = alloc.withColumn("_pnum", id_number("product_id", K.ID_FORMATS["product_id"][0]))
+    items = row_numbers(alloc, "order_item_id", ["_pnum", "product_id", "s_rank"], ["cart_id"],
+                        bucket_by="_pnum", per_piece=pieces)
     new_items = items.join(placed, "cart_id", "inner").join(prices, "product_id", "left").select(
         "order_id",
         F.col("order_item_id").cast("int").alias("order_item_id"),

@@ -2,12 +2,19 @@
 
 A window ``PARTITION BY g ORDER BY o`` puts each group in one task, so a group holding a
 third of the data becomes a third of the job in a single task. ``running_sum`` instead
-range-partitions the rows on ``(g, o)`` into pieces (a hot group spans many pieces),
-computes local running sums per (group, piece), adds the totals of the earlier pieces of
-the same group (a small table: one row per group and piece), and returns exact results.
-
-The order must be total (ties broken by a key), so results do not depend on scheduling
-and a recomputed task after an executor loss gives the same rows.
+cuts every group into pieces along a numeric leading order key (``bucket_by``):
+
+1. per group, ``count``, ``min`` and ``max`` of the key (a partial aggregate);
+2. piece = the row's equal-width bucket of the key within its group, with about
+   ``rows_per_piece`` rows per bucket on average (order-preserving: a later row never
+   gets an earlier piece);
+3. running sums inside each (group, piece) - a window over a bounded partition;
+4. piece totals -> per-group running offsets over the pieces (one row per piece);
+5. result = offset of the piece + local running sum.
+
+The piece is a pure function of the row and of deterministic aggregates, so any
+recomputation (a second consumer of the same rows, a task retried after an executor
+loss) assigns the same piece. The order must be total (ties broken by a key).
 """
 
 from __future__ import annotations
@@ -20,16 +27,43 @@ from pyspark.sql import functions as F
 from boutique.functions.ids import format_id, id_number
 
 _PIECE = "_piece"
+ROWS_PER_PIECE_CONF = "boutique.rowsPerPiece"
+DEFAULT_ROWS_PER_PIECE = 1_000_000
+
 
+def _col(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
-def _pieces(df: DataFrame, pieces: int | None) -> int:
-    if pieces:
-        return pieces
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
+def rows_per_piece(df: DataFrame, given: int | None = None) -> int:
+    if given:
+        return int(given)
+    return int(df.sparkSession.conf.get(ROWS_PER_PIECE_CONF, str(DEFAULT_ROWS_PER_PIECE)))
 
-def _name(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+
+def with_pieces(
+    df: DataFrame, partition_by: Sequence[str], bucket_by: Column | None, per_piece: int
+) -> DataFrame:
+    """Add ``_piece``: an order-preserving bucket of ``bucket_by`` within each group."""
+    if bucket_by is None:
+        return df.withColumn(_PIECE, F.lit(0).cast("bigint"))
+    d = df.withColumn("_bk", bucket_by.cast("double"))
+    stats_aggs = [F.count(F.lit(1)).alias("_n"), F.min("_bk").alias("_mn"), F.max("_bk").alias("_mx")]
+    if partition_by:
+        stats = d.groupBy(*partition_by).agg(*stats_aggs)
+        d = d.join(stats, list(partition_by), "inner")
+        n, mn, mx = F.col("_n"), F.col("_mn"), F.col("_mx")
+    else:
+        stats = d.agg(*stats_aggs)
+        n = stats.select("_n").scalar()
+        mn = stats.select("_mn").scalar()
+        mx = stats.select("_mx").scalar()
+    nb = F.ceil(n / F.lit(per_piece))
+    piece = F.when((nb <= 1) | (mx <= mn), F.lit(0)).otherwise(
+        F.least(nb - 1, F.floor((F.col("_bk") - mn) / (mx - mn) * nb))
+    )
+    out = d.withColumn(_PIECE, F.coalesce(piece.cast("bigint"), F.lit(0).cast("bigint")))
+    return out.drop("_bk", "_n", "_mn", "_mx")
 
 
 def running_sum(
@@ -38,26 +72,26 @@ def running_sum(
     order_by: Sequence[str | Column],
     partition_by: Sequence[str] = (),
     inclusive: bool = True,
-    pieces: int | None = None,
+    bucket_by: str | Column | None = None,
+    per_piece: int | None = None,
 ) -> DataFrame:
     """Add one running-sum column per ``values`` entry (name -> value expression).
 
+    ``order_by`` must be a total order inside each group; ``bucket_by`` is a numeric
+    expression that never decreases along that order (for a descending key pass its
+    negation). Without ``bucket_by`` each group is one piece (a plain window).
     ``inclusive=False`` gives the sum of the rows strictly before each row.
     """
-    order = [_name(c) for c in order_by]
-    n = _pieces(df, pieces)
-    vals = {f"_v_{k}": _name(v) for k, v in values.items()}
-    ranged = (
-        df.withColumns(vals)
-        .repartitionByRange(n, *[F.col(c) for c in partition_by], *order)
-        .withColumn(_PIECE, F.spark_partition_id())
-    )
+    order = [_col(c) for c in order_by]
+    bk = _col(bucket_by) if bucket_by is not None else None
+    vals = {f"_v_{k}": _col(v) for k, v in values.items()}
+    d = with_pieces(df.withColumns(vals), partition_by, bk, rows_per_piece(df, per_piece))
     frame = (Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     w_local = Window.partitionBy(*partition_by, _PIECE).orderBy(*order).rowsBetween(*frame)
-    local = ranged.withColumns(
+    local = d.withColumns(
         {f"_l_{k}": F.coalesce(F.sum(f"_v_{k}").over(w_local), F.lit(0)) for k in values}
     )
-    totals = ranged.groupBy(*partition_by, _PIECE).agg(
+    totals = d.groupBy(*partition_by, _PIECE).agg(
         *[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values]
     )
     w_off = Window.partitionBy(*partition_by).orderBy(_PIECE).rowsBetween(
@@ -75,10 +109,10 @@ def running_sum(
 
 def row_numbers(
     df: DataFrame, out: str, order_by: Sequence[str | Column], partition_by: Sequence[str] = (),
-    pieces: int | None = None,
+    bucket_by: str | Column | None = None, per_piece: int | None = None,
 ) -> DataFrame:
-    """1-based row number per group in a total order, computed without a per-group task."""
-    r = running_sum(df, {out: F.lit(1)}, order_by, partition_by, True, pieces)
+    """1-based row number per group in a total order, without a one-task-per-group window."""
+    r = running_sum(df, {out: F.lit(1)}, order_by, partition_by, True, bucket_by, per_piece)
     return r.withColumn(out, F.col(out).cast("bigint"))
 
 
@@ -96,9 +130,10 @@ def assign_ids(
     prefix: str,
     width: int,
     order_by: Sequence[str | Column],
-    pieces: int | None = None,
+    bucket_by: str | Column | None = None,
+    per_piece: int | None = None,
 ) -> DataFrame:
     """Give ``new_rows`` ids ``prefix + (max existing + 1 ..)`` in ``order_by`` order."""
     base = max_id_number(existing, column, prefix)
-    numbered = row_numbers(new_rows, "_seq", order_by, (), pieces)
+    numbered = row_numbers(new_rows, "_seq", order_by, (), bucket_by, per_piece)
     return numbered.withColumn(column, format_id(prefix, width, base + F.col("_seq"))).drop("_seq")

@@ -99,7 +99,8 @@ placed AS (
 @register("order_placement", W(f"""
 WITH {_LINES},{_PLACED}
 SELECT p.order_id,
-       CAST(row_number() OVER (PARTITION BY a.cart_id ORDER BY a.product_id, a.s_rank) AS INTEGER) AS order_item_id,
+       CAST(row_number() OVER (PARTITION BY a.cart_id
+             ORDER BY CAST(NULLIF(regexp_extract(a.product_id, 'PROD_(\\d+)', 1), '') AS BIGINT), a.product_id, a.s_rank) AS INTEGER) AS order_item_id,
        a.product_id, a.seller_id,
        TIMESTAMP '2024-06-01 23:59:59' AS shipping_limit_date,
        CAST(pr.product_price AS DOUBLE) AS price, CAST(4.99 AS DOUBLE) AS freight_value,

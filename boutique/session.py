@@ -37,6 +37,8 @@ def build_session(
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Checkpoint files of collected DataFrames are removed by the context cleaner.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -68,6 +70,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared checkpoint folder), never a local one."""
+    """Reliable checkpoint (written to the shared checkpoint folder), never a local one.
+
+    Used for intermediate tables that later steps read several times (ranked supply and
+    demand, allocation results): they are computed once, and a lost executor is recovered
+    from the written files instead of replaying the whole chain.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+materialize = cut_lineage
