@@ -59,3 +59,21 @@ def yes_no(col: str | Column) -> Column:
 
 def availability_label(col: str | Column) -> Column:
     return F.when(_c(col) > 0, K.IN_STOCK_LABEL).otherwise(K.OUT_OF_STOCK_LABEL)
+
+
+def strip_python(col: str | Column) -> Column:
+    """Remove leading and trailing whitespace of any kind (not only spaces)."""
+    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+
+
+def blank_to_null_stripped(col: str | Column) -> Column:
+    """Null or empty -> null; otherwise the stripped text (which may be empty)."""
+    c = _c(col)
+    return F.when(c.isNull() | (c == ""), F.lit(None).cast("string")).otherwise(strip_python(c))
+
+
+def string_order_key(col: str | Column) -> Column:
+    """A bigint that never decreases along the byte order of the string: its first seven
+    UTF-8 bytes read as a big-endian number. Used to cut string-ordered data into pieces."""
+    head = F.hex(F.substring(F.encode(_c(col), "UTF-8"), 1, 7))
+    return F.conv(F.rpad(head, 14, "0"), 16, 10).cast("bigint")

@@ -1,3 +1,9 @@
 """Imports every module that registers queries."""
 
-from boutique.plans import allocation_queries, profile_queries, quality_queries, shop_queries  # noqa: F401
+from boutique.plans import (  # noqa: F401
+    allocation_queries,
+    maintenance_queries,
+    profile_queries,
+    quality_queries,
+    shop_queries,
+)
