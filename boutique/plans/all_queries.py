@@ -6,4 +6,5 @@ from boutique.plans import (  # noqa: F401
     profile_queries,
     quality_queries,
     shop_queries,
+    streaming_queries,
 )
