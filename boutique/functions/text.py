@@ -49,8 +49,8 @@ def strip_or_null(col: str | Column) -> Column:
 
 
 def digits_only_phone(col: str | Column) -> Column:
-    """Phone number with spaces, dots and hyphens removed."""
-    return F.regexp_replace(F.trim(_c(col)), K.PHONE_SEPARATORS, "")
+    """Phone number with whitespace, dots and hyphens removed."""
+    return F.regexp_replace(_c(col), K.PHONE_SEPARATORS, "")
 
 
 def yes_no(col: str | Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutique import constants as K
-from boutique.functions.text import digits_only_phone
+from boutique.functions.text import digits_only_phone, strip_python
 from boutique.operators.geo import geo_flags
 from boutique.sources import schemas as S
 
@@ -32,7 +32,7 @@ def _s(c: str) -> Column:
 # ---- single-column rules ---------------------------------------------------------------
 def non_empty(col: str) -> Column:
     """V1: a string that is not blank after trimming."""
-    return F.coalesce(F.length(F.trim(_s(col))) > 0, F.lit(False))
+    return F.coalesce(F.length(strip_python(_s(col))) > 0, F.lit(False))
 
 
 def positive_number(col: str) -> Column:
@@ -43,18 +43,18 @@ def positive_number(col: str) -> Column:
 
 def non_negative_int(col: str) -> Column:
     """V3: parses as an integer and is >= 0."""
-    return F.coalesce(F.trim(_s(col)).try_cast("bigint") >= 0, F.lit(False))
+    return F.coalesce(strip_python(_s(col)).try_cast("bigint") >= 0, F.lit(False))
 
 
 def valid_year(col: str, as_of_year: int) -> Column:
     """V4: an integer year in 1970 .. as_of_year + 2."""
-    y = F.trim(_s(col)).try_cast("int")
+    y = strip_python(_s(col)).try_cast("int")
     return F.coalesce(y.between(K.MIN_RELEASE_YEAR, as_of_year + K.RELEASE_YEAR_SLACK), F.lit(False))
 
 
 def valid_email(col: str) -> Column:
     """V5: contains '@', a dot after the last '@', and at most 254 characters."""
-    v = F.trim(_s(col))
+    v = strip_python(_s(col))
     after = F.substring_index(v, "@", -1)
     return F.coalesce(
         v.contains("@") & after.contains(".") & (F.length(v) <= K.EMAIL_MAX_LENGTH), F.lit(False)
@@ -63,18 +63,18 @@ def valid_email(col: str) -> Column:
 
 def valid_phone(col: str) -> Column:
     """V6: blank allowed; otherwise 0, a digit 1-9 and 8 digits once separators are removed."""
-    v = F.trim(_s(col))
+    v = strip_python(_s(col))
     return v.isNull() | (v == "") | F.coalesce(digits_only_phone(col).rlike(K.PHONE_PATTERN), F.lit(False))
 
 
 def valid_zip(col: str) -> Column:
     """V7: exactly five digits."""
-    return F.coalesce(F.trim(_s(col)).rlike(K.ZIP_PATTERN), F.lit(False))
+    return F.coalesce(strip_python(_s(col)).rlike(K.ZIP_PATTERN), F.lit(False))
 
 
 def valid_score(col: str) -> Column:
     """An integer from 1 to 5."""
-    v = F.trim(_s(col)).try_cast("int")
+    v = strip_python(_s(col)).try_cast("int")
     return F.coalesce(v.between(K.REVIEW_SCORE_MIN, K.REVIEW_SCORE_MAX), F.lit(False))
 
 

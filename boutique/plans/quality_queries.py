@@ -137,7 +137,21 @@ def q_dq_foreign_keys(t):
     return qa.foreign_key_report(_tables(t))
 
 
-@register("dq_stock", None)
+_STOCK_AFTER = aq._LINES + """,
+taken AS (SELECT stock_id, CAST(sum(take) AS INTEGER) AS tk FROM alloc GROUP BY stock_id),
+st AS (SELECT s.stock_id, s.quantity_in_stock, s.quantity_reserved,
+              s.quantity_available - coalesce(k.tk, 0) AS quantity_available
+       FROM c_stock s LEFT JOIN taken k ON k.stock_id = s.stock_id)"""
+
+
+@register("dq_stock", W(f"""
+WITH {_STOCK_AFTER}
+SELECT stock_id,
+       concat_ws('; ', CASE WHEN NOT coalesce(quantity_available = quantity_in_stock - quantity_reserved
+                                              AND quantity_available >= 0, false)
+                            THEN 'quantity_available: must equal in stock - reserved and be >= 0' END) AS errors,
+       coalesce(quantity_available = quantity_in_stock - quantity_reserved AND quantity_available >= 0, false) AS is_valid
+FROM st"""))
 def q_dq_stock(t):
     """V13 over the stock after order placement (placing decrements only the available
     quantity, so touched rows break the in-stock - reserved equality)."""
