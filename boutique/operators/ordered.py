@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutique.functions.ids import format_id, id_number
+from boutique.session import materialize
 
 _PIECE = "_piece"
 ROWS_PER_PIECE_CONF = "boutique.rowsPerPiece"
@@ -54,10 +55,8 @@ def with_pieces(
         d = d.join(stats, list(partition_by), "inner")
         n, mn, mx = F.col("_n"), F.col("_mn"), F.col("_mx")
     else:
-        stats = d.agg(*stats_aggs)
-        n = stats.select("_n").scalar()
-        mn = stats.select("_mn").scalar()
-        mx = stats.select("_mx").scalar()
+        st = d.agg(F.struct(*stats_aggs).alias("_st")).scalar()
+        n, mn, mx = st.getField("_n"), st.getField("_mn"), st.getField("_mx")
     nb = F.ceil(n / F.lit(per_piece))
     piece = F.when((nb <= 1) | (mx <= mn), F.lit(0)).otherwise(
         F.least(nb - 1, F.floor((F.col("_bk") - mn) / (mx - mn) * nb))
@@ -133,7 +132,12 @@ def assign_ids(
     bucket_by: str | Column | None = None,
     per_piece: int | None = None,
 ) -> DataFrame:
-    """Give ``new_rows`` ids ``prefix + (max existing + 1 ..)`` in ``order_by`` order."""
+    """Give ``new_rows`` ids ``prefix + (max existing + 1 ..)`` in ``order_by`` order.
+
+    The numbered rows are materialized (reliable checkpoint): later steps read them more
+    than once, and ids must not be recomputed after they have been handed out.
+    """
     base = max_id_number(existing, column, prefix)
-    numbered = row_numbers(new_rows, "_seq", order_by, (), bucket_by, per_piece)
-    return numbered.withColumn(column, format_id(prefix, width, base + F.col("_seq"))).drop("_seq")
+    numbered = row_numbers(materialize(new_rows), "_seq", order_by, (), bucket_by, per_piece)
+    return materialize(
+        numbered.withColumn(column, format_id(prefix, width, base + F.col("_seq"))).drop("_seq"))
