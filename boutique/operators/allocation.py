@@ -66,7 +66,8 @@ def admit_carts(lines: DataFrame, stock: DataFrame, pieces: int | None = None) -
     over-commits stock; it can refuse a cart that a one-by-one run would accept.
     Returns ``(cart_id, admitted)``.
     """
-    supply = stock.groupBy("product_id").agg(
+    demanded = lines.select("product_id").distinct()
+    supply = stock.join(demanded, "product_id", "left_semi").groupBy("product_id").agg(
         F.sum(F.greatest(F.col("quantity_available"), F.lit(0))).cast("bigint").alias("supply")
     )
     d = running_sum(lines, {"d1": F.col("qty").cast("bigint")}, ["cart_id"], ["product_id"],
@@ -84,7 +85,8 @@ def allocate(lines: DataFrame, stock: DataFrame, pieces: int | None = None) -> D
     (cart_id, product_id, stock_id, seller_id, s_rank, take). Demand beyond a product's
     supply stays unallocated.
     """
-    sup = supply_intervals(stock, pieces)
+    demanded = lines.select("product_id").distinct()
+    sup = supply_intervals(stock.join(demanded, "product_id", "left_semi"), pieces)
     dem = demand_intervals(lines.select("cart_id", "product_id", "qty"), pieces)
     totals = (
         dem.groupBy("product_id").agg(F.sum("qty").cast("bigint").alias("D"))
@@ -103,7 +105,7 @@ def allocate(lines: DataFrame, stock: DataFrame, pieces: int | None = None) -> D
         .agg(F.max("is_d").alias("is_d"), F.max("is_s").alias("is_s"))
     )
     ev = materialize(running_sum(
-        materialize(events), {"d_rank": F.col("is_d"), "s_rank": F.col("is_s"), "e_idx": F.lit(1)},
+        events, {"d_rank": F.col("is_d"), "s_rank": F.col("is_s"), "e_idx": F.lit(1)},
         ["x"], ["product_id"], inclusive=True, bucket_by="x", per_piece=pieces,
     ))
     nxt = ev.select("product_id", (F.col("e_idx") - 1).alias("e_idx"), F.col("x").alias("x_next"))
@@ -131,8 +133,8 @@ def snapshot_allocation(lines: DataFrame, stock: DataFrame, pieces: int | None =
     Returns (cart_id, product_id, qty, stock_id, seller_id, s_rank, take); a line whose
     quantity exceeds the product's stock takes everything there is.
     """
-    sup = supply_intervals(stock, pieces)
     ln = lines.select("cart_id", "product_id", "qty").filter(F.col("qty") > 0)
+    sup = supply_intervals(stock.join(ln.select("product_id").distinct(), "product_id", "left_semi"), pieces)
     events = ln.select(
         "product_id", (F.col("qty") - 1).cast("bigint").alias("x"), F.lit(1).alias("kind"),
         F.col("cart_id").alias("tb"), F.lit(0).alias("is_s"),
@@ -169,8 +171,7 @@ def place_orders(
     and ``stock`` tables plus ``placed`` (cart_id -> order_id) and ``rejected`` carts.
     """
     prices = t.products.select("product_id", "product_price")
-    lines = materialize(
-        normalise_carts(carts).join(prices.select("product_id"), "product_id", "left_semi"))
+    lines = normalise_carts(carts).join(prices.select("product_id"), "product_id", "left_semi")
     verdict = admit_carts(lines, t.stock, pieces)
     ok = lines.join(verdict.filter("admitted"), "cart_id", "left_semi")
     alloc = allocate(ok, t.stock, pieces)

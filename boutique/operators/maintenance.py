@@ -18,7 +18,7 @@ from boutique.functions.text import blank_to_null_stripped, digits_only_phone, s
 from boutique.operators import quality as qa
 from boutique.operators.customers import customer_segments
 from boutique.operators.ordered import assign_ids
-from boutique.sources.schemas import MONEY
+from boutique.sources.schemas import AMOUNT, MONEY
 from boutique.sources.tables import Tables
 
 
@@ -273,7 +273,7 @@ def refresh_customer_stats(t: Tables, customer_ids: DataFrame | None = None,
     stats = customer_segments(t, thresholds, customers=target).select(
         "customer_id",
         F.col("total_orders").cast("int").alias("_o"),
-        F.col("total_spent").cast(MONEY).alias("_s"),
+        F.col("total_spent").cast(AMOUNT).alias("_s"),
         F.col("last_purchase_date").alias("_l"),
         F.col("customer_segment").alias("_g"),
     )

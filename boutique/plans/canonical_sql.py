@@ -66,7 +66,7 @@ SELECT printf('CUST_%06d', c_custkey) AS customer_id,
        TIMESTAMP '2020-01-01 00:00:00' AS registration_date,
        CAST(NULL AS TIMESTAMP) AS last_purchase_date,
        0 AS total_orders,
-       CAST(0 AS DECIMAL(10,2)) AS total_spent
+       CAST(0 AS DECIMAL(18,2)) AS total_spent
 FROM customer c LEFT JOIN {_NR} nr ON c.c_nationkey = nr.n_nationkey""",
     "c_geolocation": f"""
 SELECT n_nationkey AS zip_code_prefix, n_name AS city, r_name AS state, r_name AS region,

@@ -80,4 +80,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-materialize = cut_lineage
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+
+    For intermediate tables that later steps read several times (ranked supply and
+    demand, allocations, assigned ids). The rows are cached while the checkpoint is
+    written, so the plan runs once (a bare RDD checkpoint would run it a second time to
+    write the files); the cache is released as soon as the checkpoint exists. A lost
+    executor is then recovered from the checkpoint files in the shared folder, and the
+    context cleaner removes those files once the DataFrame is no longer referenced.
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist(blocking=False)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(10, 2)
+# Accumulated amounts (a customer's total spend) outgrow DECIMAL(10,2) on large data.
+AMOUNT = T.DecimalType(18, 2)
 COORD = T.DecimalType(10, 7)
 TS = T.TimestampNTZType()
 
@@ -21,7 +23,7 @@ CUSTOMERS = _s(
     ("zip_code_prefix", I, False), ("city", S, True), ("state", S, True),
     ("address_line1", S, True), ("address_line2", S, True), ("customer_segment", S, True),
     ("registration_date", TS, True), ("last_purchase_date", TS, True),
-    ("total_orders", I, True), ("total_spent", MONEY, True),
+    ("total_orders", I, True), ("total_spent", AMOUNT, True),
 )
 GEOLOCATION = _s(
     ("zip_code_prefix", I, False), ("city", S, True), ("state", S, True), ("region", S, True),

@@ -130,7 +130,7 @@ class TestDataAdapter:
             _epoch().alias("registration_date"),
             F.lit(None).cast("timestamp_ntz").alias("last_purchase_date"),
             F.lit(0).alias("total_orders"),
-            F.lit(0).cast(S.MONEY).alias("total_spent"),
+            F.lit(0).cast(S.AMOUNT).alias("total_spent"),
         )
 
     def geolocation(self) -> DataFrame:
