@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boutique import constants as K
 from boutique.functions.money import line_total
-from boutique.functions.text import contains, search_term
+from boutique.functions.text import contains, search_term, yes_no
 from boutique.sources.schemas import MONEY
 from boutique.sources.tables import Tables
 
@@ -74,3 +74,15 @@ def customers_search(t: Tables, name=None, email=None, city=None, literal: bool
     if c:
         df = df.filter(contains("city", c, literal))
     return df.drop("password_hash") if "password_hash" in df.columns else df
+
+
+def customers_display(t: Tables) -> DataFrame:
+    """Customer list as shown to an admin: a missing segment reads ``nouveau`` and
+    the admin flag reads yes / no."""
+    c = t.customers
+    return c.select(
+        "customer_id", "first_name", "last_name", "email", "phone", "city",
+        F.coalesce("customer_segment", F.lit(K.SEGMENT_NEW)).alias("segment_label"),
+        yes_no("is_admin").alias("admin_label"),
+        "total_orders", F.col("total_spent").cast("double").alias("total_spent"),
+    )

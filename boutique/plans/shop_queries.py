@@ -416,3 +416,22 @@ def q_revenue_daily(t):
 def q_revenue_monthly(t):
     """Q15: revenue, orders and active customers per month."""
     return kp.revenue(t, "month")
+
+
+@register("customers_display", W("""
+SELECT customer_id, first_name, last_name, email, phone, city,
+       coalesce(customer_segment, 'nouveau') AS segment_label,
+       CASE WHEN is_admin = 1 THEN 'Oui' ELSE 'Non' END AS admin_label,
+       total_orders, CAST(total_spent AS DOUBLE) AS total_spent
+FROM c_customers"""))
+def q_customers_display(t):
+    """Customer list with segment and admin labels."""
+    return cu.customers_display(t)
+
+
+@register("state_autocomplete", W("""
+SELECT state FROM (SELECT DISTINCT state FROM c_geolocation WHERE state IS NOT NULL)
+WHERE contains(lower(state), 'am') ORDER BY state LIMIT 50"""))
+def q_state_autocomplete(t):
+    """D6 + T5: state autocomplete (literal, case-insensitive), first 50 sorted."""
+    return ge.autocomplete(t, "state", "AM")

@@ -109,3 +109,18 @@ FOREIGN_KEYS: tuple[tuple[str, tuple[str, ...], str, tuple[str, ...]], ...] = (
     ("stock", ("seller_id",), "sellers", ("seller_id",)),
     ("stock", ("product_id",), "products", ("product_id",)),
 )
+
+# Column defaults of the shop tables (applied to inserted rows that leave them out).
+# "now" marks a timestamp that takes the insert time.
+DEFAULTS: dict[str, dict[str, object]] = {
+    "customers": {"total_orders": 0, "total_spent": "0.00", "registration_date": "now"},
+    "orders": {"order_status": "pending"},
+    "order_items": {"freight_value": "0.00", "quantity": 1},
+    "order_payments": {"payment_installments": 1},
+    "order_reviews": {"review_creation_date": "now"},
+    "products": {"created_at": "now"},
+    "sellers": {"seller_type": "Standard", "created_at": "now"},
+    "stock": {"quantity_in_stock": 0, "quantity_reserved": 0, "quantity_available": 0,
+              "min_stock_level": 12, "reorder_point": 19, "last_updated": "now",
+              "stock_condition": "new"},
+}

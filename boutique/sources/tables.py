@@ -19,6 +19,26 @@ from boutique.sources.testdata import TestDataAdapter
 TABLE_NAMES = tuple(S.TABLES)
 
 
+def conform(df: DataFrame, name: str) -> DataFrame:
+    """The canonical columns of table ``name`` in order and type (extra columns dropped)."""
+    from pyspark.sql import functions as F
+
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.TABLES[name].fields])
+
+
+def with_defaults(df: DataFrame, name: str, as_of) -> DataFrame:
+    """Fill the table's column defaults where an inserted row holds null (or lacks the
+    column); ``as_of`` is the insert time used for "now" defaults."""
+    from pyspark.sql import functions as F
+
+    out = df
+    for col, value in S.DEFAULTS.get(name, {}).items():
+        dtype = S.TABLES[name][col].dataType
+        lit = (F.lit(as_of.isoformat(sep=" ")) if value == "now" else F.lit(value)).cast(dtype)
+        out = out.withColumn(col, F.coalesce(F.col(col).cast(dtype), lit) if col in out.columns else lit)
+    return out
+
+
 @dataclass
 class Tables:
     spark: SparkSession
@@ -42,6 +62,30 @@ class Tables:
 
         return cls(spark=spark, loaders={n: loader(n) for n in TABLE_NAMES})
 
+    @classmethod
+    def from_jdbc(cls, spark: SparkSession, url: str, properties: dict,
+                  partitioning: dict[str, tuple[str, int, int, int]] | None = None) -> "Tables":
+        """Read the nine tables from a relational database over JDBC.
+
+        ``partitioning`` maps a table to (numeric column, lower bound, upper bound, number of
+        partitions) so that large tables are read by parallel range queries instead of one
+        connection; the explicit schemas are applied by casting.
+        """
+        parts = partitioning or {}
+
+        def loader(name):
+            def load():
+                if name in parts:
+                    col, lo, hi, n = parts[name]
+                    df = spark.read.jdbc(url, name, column=col, lowerBound=lo, upperBound=hi,
+                                         numPartitions=n, properties=properties)
+                else:
+                    df = spark.read.jdbc(url, name, properties=properties)
+                return conform(df, name)
+            return load
+
+        return cls(spark=spark, loaders={n: loader(n) for n in TABLE_NAMES})
+
     @classmethod
     def from_frames(cls, spark: SparkSession, **frames: DataFrame) -> "Tables":
         return cls(spark=spark, loaders={n: (lambda d=d: d) for n, d in frames.items()})
