@@ -15,5 +15,14 @@ def id_number(col: str | Column, prefix: str) -> Column:
     return F.nullif(digits, F.lit("")).try_cast("bigint")
 
 
+def padded(number: Column, width: int) -> Column:
+    """Same text as ``%0{width}d``, computed with lpad (no format parsing per row) for the
+    usual 0 <= n < 10**width, and with ``format_string`` otherwise."""
+    n = number.cast("bigint")
+    return F.when((n >= 0) & (n < 10 ** width), F.lpad(n.cast("string"), width, "0")).otherwise(
+        F.format_string(f"%0{width}d", n))
+
+
 def format_id(prefix: str, width: int, number: Column) -> Column:
-    return F.format_string(f"{prefix}%0{width}d", number.cast("bigint"))
+    """``prefix`` followed by the zero-padded number, e.g. PROD_00042."""
+    return F.concat(F.lit(prefix), padded(number, width))
