@@ -9,6 +9,14 @@ from boutique.plans.canonical_sql import carts_sql, sel
 from boutique.plans.canonical_sql import with_canonical as W
 from boutique.plans.registry import register
 
+def _nullable_as_double(df, *cols):
+    """Integer columns that hold nulls are presented as double (one numeric type on every
+    client, whether it maps a null integer to NaN or not)."""
+    from pyspark.sql import functions as F
+
+    return df.withColumns({c: F.col(c).cast("double") for c in cols})
+
+
 # ---------------------------------------------------------------------------- orders
 _TOTALS = """
 SELECT order_id, sum(coalesce(price, 0) * coalesce(quantity, 1) + coalesce(freight_value, 0)) AS total_dec
@@ -185,7 +193,7 @@ CATALOG_FILTER = dict(name="(?:ring|bolt)$", category="eco|small", min_price="90
 SELECT {sel("products", "p")},
        coalesce(s.stock_available, 0) AS stock_available,
        r.avg_score, coalesce(r.review_count, 0) AS review_count,
-       CAST(floor(r.avg_score) AS INTEGER) AS star_bucket,
+       CAST(floor(r.avg_score) AS DOUBLE) AS star_bucket,
        CASE WHEN coalesce(s.stock_available, 0) > 0 THEN 'En stock' ELSE 'Rupture de stock' END AS availability
 FROM c_products p
 LEFT JOIN ({_STOCK_BY_PRODUCT}) s ON s.product_id = p.product_id
@@ -195,21 +203,21 @@ WHERE coalesce(regexp_matches(p.product_name, '(?:ring|bolt)$', 'i'), false)
   AND p.product_price >= 905 AND p.product_price <= 990.5"""))
 def q_catalog(t):
     """Q5: filtered store catalogue with stock and ratings."""
-    return ca.catalog(t, **CATALOG_FILTER)
+    return _nullable_as_double(ca.catalog(t, **CATALOG_FILTER), "star_bucket")
 
 
 @register("catalog_all", W(f"""
 SELECT {sel("products", "p")},
        coalesce(s.stock_available, 0) AS stock_available,
        r.avg_score, coalesce(r.review_count, 0) AS review_count,
-       CAST(floor(r.avg_score) AS INTEGER) AS star_bucket,
+       CAST(floor(r.avg_score) AS DOUBLE) AS star_bucket,
        CASE WHEN coalesce(s.stock_available, 0) > 0 THEN 'En stock' ELSE 'Rupture de stock' END AS availability
 FROM c_products p
 LEFT JOIN ({_STOCK_BY_PRODUCT}) s ON s.product_id = p.product_id
 LEFT JOIN ({_RATINGS}) r ON r.product_id = p.product_id"""))
 def q_catalog_all(t):
     """Q5 without filters: the whole catalogue."""
-    return ca.catalog(t)
+    return _nullable_as_double(ca.catalog(t), "star_bucket")
 
 
 @register("products_by_platform", W(f"""
@@ -374,12 +382,12 @@ def q_recent_reviews(t):
 
 
 @register("order_review", W("""
-SELECT o.order_id, o.customer_id, o.order_status, r.review_id, r.review_score, r.review_comment_title,
+SELECT o.order_id, o.customer_id, o.order_status, r.review_id, CAST(r.review_score AS DOUBLE) AS review_score, r.review_comment_title,
        r.review_comment_message, r.review_creation_date
 FROM c_orders o LEFT JOIN c_order_reviews r ON r.order_id = o.order_id"""))
 def q_order_review(t):
     """each order with its review, if any."""
-    return rv.order_review(t)
+    return _nullable_as_double(rv.order_review(t), "review_score")
 
 
 # -------------------------------------------------------------------------------- kpis

@@ -33,4 +33,4 @@ def test_every_query_has_an_oracle():
 def test_query_matches_oracle(spark, sf_small, con, name):
     got = entry_mod.queries()[name](spark, sf_small).toPandas()
     want = con.execute(ORACLE[name]).df()
-    assert digest(got) == digest(want)
+    assert digest(got, strict=True) == digest(want, strict=True)
