@@ -37,3 +37,15 @@ def test_global_row_numbers_and_ids(spark):
     empty = spark.createDataFrame([], "product_id string")
     ids = assign_ids(df.limit(1).select(F.col("k").alias("o")), empty, "product_id", "PROD_", 5, ["o"])
     assert [r.product_id for r in ids.collect()] == ["PROD_00001"]
+
+
+def test_no_window_over_a_whole_group(spark):
+    """The per-row window of running_sum is partitioned by (group, piece), never by the
+    group alone, so a hot group is spread over many tasks."""
+    df = spark.range(100).select((F.col("id") % 2).alias("g"), F.col("id").alias("x"), F.lit(1).alias("v"))
+    plan = running_sum(df, {"rs": "v"}, ["x"], ["g"], bucket_by="x")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    per_row = [w for w in windows if "currentrow" in w]  # the running sum over the rows
+    per_piece = [w for w in windows if "currentrow" not in w]  # offsets over piece totals
+    assert per_row and all("], [g#" in w and "_piece#" in w.split("], [")[1] for w in per_row)
+    assert per_piece and all("_piece" in w.split("], [")[2] for w in per_piece)

@@ -11,3 +11,24 @@ def test_stream_equals_batch(spark, sf_small):
     want = customer_segments(t).join(t.orders.select("customer_id").distinct(), "customer_id", "left_semi")
     cols = ["customer_id", "total_orders", "total_spent", "last_purchase_date", "customer_segment"]
     assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
+
+
+def test_restart_is_idempotent(spark, sf_small, tmp_path):
+    import os
+
+    from boutique.streaming.customer_stats import current_stats, order_event_stream, run_customer_stats
+
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+
+    def tables():
+        return Tables.from_testdata(spark, sf_small)
+
+    q = run_customer_stats(spark, order_event_stream(spark, sf_small), tables, out, ckpt)
+    q.awaitTermination()
+    first = sorted(current_stats(spark, out).collect())
+    epochs = sorted(os.listdir(out))
+    # a restart on the same checkpoint finds nothing new: no new epoch, same table
+    q = run_customer_stats(spark, order_event_stream(spark, sf_small), tables, out, ckpt)
+    q.awaitTermination()
+    assert sorted(os.listdir(out)) == epochs
+    assert sorted(current_stats(spark, out).collect()) == first
