@@ -104,10 +104,10 @@ def allocate(lines: DataFrame, stock: DataFrame, pieces: int | None = None) -> D
         .groupBy("product_id", "x", "E")
         .agg(F.max("is_d").alias("is_d"), F.max("is_s").alias("is_s"))
     )
-    ev = materialize(running_sum(
+    ev = running_sum(
         events, {"d_rank": F.col("is_d"), "s_rank": F.col("is_s"), "e_idx": F.lit(1)},
         ["x"], ["product_id"], inclusive=True, bucket_by="x", per_piece=pieces,
-    ))
+    )
     nxt = ev.select("product_id", (F.col("e_idx") - 1).alias("e_idx"), F.col("x").alias("x_next"))
     seg = ev.join(nxt, ["product_id", "e_idx"], "left").select(
         "product_id",
@@ -182,8 +182,7 @@ def place_orders(
     base = max_id_number(t.orders, "order_id", prefix)
     placed = row_numbers(verdict.filter("admitted").select("cart_id"), "_n", ["cart_id"], (),
                          bucket_by="cart_id", per_piece=pieces)
-    placed = materialize(
-        placed.select("cart_id", format_id(prefix, width, base + F.col("_n")).alias("order_id")))
+    placed = placed.select("cart_id", format_id(prefix, width, base + F.col("_n")).alias("order_id"))
 
     new_orders = placed.join(cart_customers, "cart_id", "left").select(
         "order_id", "customer_id",
