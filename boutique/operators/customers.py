@@ -48,9 +48,20 @@ def customer_stats(orders: DataFrame, items: DataFrame) -> DataFrame:
 
 def customer_segments(t: Tables, thresholds=K.SEGMENT_THRESHOLDS,
                       customers: DataFrame | None = None) -> DataFrame:
-    """Q11: statistics and segment for every customer (or for the given customer rows)."""
-    cust = (customers if customers is not None else t.customers).select("customer_id")
-    stats = customer_stats(t.orders, t.order_items)
+    """Q11: statistics and segment for every customer (or for the given customer rows).
+
+    With ``customers`` given (a refresh after some orders changed), the orders are first
+    narrowed to those customers and the lines to those orders (semi joins), so only their
+    lines are aggregated, not the whole order history.
+    """
+    orders, items = t.orders, t.order_items
+    if customers is not None:
+        cust = customers.select("customer_id")
+        orders = orders.join(cust.distinct(), "customer_id", "left_semi")
+        items = items.join(orders.select("order_id"), "order_id", "left_semi")
+    else:
+        cust = t.customers.select("customer_id")
+    stats = customer_stats(orders, items)
     j = cust.join(stats, "customer_id", "left")
     spent = F.coalesce(F.col("spent"), F.lit(0).cast(MONEY))
     n = F.coalesce(F.col("total_orders"), F.lit(0)).cast("bigint")
