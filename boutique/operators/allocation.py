@@ -167,8 +167,9 @@ def place_orders(
 ) -> dict[str, DataFrame]:
     """U8: place one order per admitted cart (all-or-nothing per cart).
 
-    ``cart_customers``: (cart_id, customer_id). Returns the new ``orders``, ``order_items``
-    and ``stock`` tables plus ``placed`` (cart_id -> order_id) and ``rejected`` carts.
+    ``cart_customers``: (cart_id, customer_id). Returns the new ``orders``, ``order_items``,
+    ``stock`` and ``customers`` (buyers' statistics refreshed) tables plus ``placed``
+    (cart_id -> order_id) and ``rejected`` carts.
     """
     prices = t.products.select("product_id", "product_price")
     lines = normalise_carts(carts).join(prices.select("product_id"), "product_id", "left_semi")
@@ -213,10 +214,18 @@ def place_orders(
             for c in t.stock.columns
         ]
     )
+    orders = t.orders.unionByName(new_orders)
+    order_items = t.order_items.unionByName(new_items)
+    # The buyers' statistics, recomputed over the new tables.
+    from boutique.operators.maintenance import refresh_customer_stats
+
+    customers = refresh_customer_stats(
+        t.with_tables(orders=orders, order_items=order_items), new_orders.select("customer_id"))
     return {
-        "orders": t.orders.unionByName(new_orders),
-        "order_items": t.order_items.unionByName(new_items),
+        "orders": orders,
+        "order_items": order_items,
         "stock": stock,
+        "customers": customers,
         "new_orders": new_orders,
         "new_items": new_items,
         "placed": placed,

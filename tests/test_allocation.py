@@ -98,6 +98,8 @@ def test_place_orders_and_cancel_restores_stock(spark):
     assert items == [("PROD_00001", "SELLER_0001", 1, 2), ("PROD_00001", "SELLER_0002", 5, 1),
                      ("PROD_00002", "SELLER_0001", 1, 3)]
     assert {r.order_id for r in res["new_orders"].collect()} == {"ORDER_000001"}
+    buyers = {r.customer_id: (r.total_orders, r.customer_segment) for r in res["customers"].collect()}
+    assert buyers["CUST_000001"] == (1, "casual") and buyers["CUST_000002"] == (0, None)
     after = {r.stock_id: r.quantity_available for r in res["stock"].collect()}
     assert after == {"STOCK_00001": 2, "STOCK_00002": 0, "STOCK_00003": 0}
     # cancelling the new order gives everything back; cancelling again gives nothing more
