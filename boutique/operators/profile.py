@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boutique.operators.ordered import running_sum
 from boutique.session import materialize
@@ -35,7 +36,6 @@ DATETIME = (
     "review_creation_date", "last_updated",
 )
 QUANTILES = (0.25, 0.5, 0.75)
-VALUE = "decimal(38,6)"
 
 
 def wide_join(t: Tables) -> DataFrame:
@@ -64,29 +64,41 @@ def wide_join(t: Tables) -> DataFrame:
     )
 
 
-def _value(name: str) -> Column:
+def _scaled(wide: DataFrame, name: str) -> tuple[Column, int]:
+    """The column as an exact long in its smallest unit, and the unit's power of ten:
+    cents for DECIMAL(10,2), microseconds for timestamps, the value for integers."""
     if name in DATETIME:
-        micros = F.unix_micros(F.col(name).cast("timestamp"))
-        return (micros.cast("decimal(20,0)") * F.lit(0.000001).cast("decimal(7,6)")).cast(VALUE)
-    return F.col(name).cast(VALUE)
+        return F.unix_micros(F.col(name).cast("timestamp")), 6
+    dtype = wide.schema[name].dataType
+    if isinstance(dtype, T.DecimalType):
+        return (F.col(name) * F.lit(10 ** dtype.scale)).cast("bigint"), dtype.scale
+    return F.col(name).cast("bigint"), 0
 
 
 def describe(wide: DataFrame, numeric=NUMERIC, datetime=DATETIME, pieces: int | None = None) -> DataFrame:
-    """A10 over ``wide``: one row per column (datetimes in epoch seconds, no std)."""
+    """A10 over ``wide``: one row per column (datetimes in epoch seconds, no std).
+
+    Values are unpivoted as exact longs in each column's smallest unit, so the histogram of
+    (column, value) hashes plain longs; sums are then taken exactly as decimals over the
+    (much smaller) histogram and scaled back.
+    """
     names = list(numeric) + list(datetime)
+    scaled = [_scaled(wide, n) for n in names]
+    scale_of = F.create_map(*[x for i, (_, sc) in enumerate(scaled) for x in (F.lit(i), F.lit(sc))])
     pairs = ", ".join(f"{i}, _x{i}" for i in range(len(names)))
-    long = wide.select(*[_value(n).alias(f"_x{i}") for i, n in enumerate(names)]).selectExpr(
+    long = wide.select(*[e.alias(f"_x{i}") for i, (e, _) in enumerate(scaled)]).selectExpr(
         f"stack({len(names)}, {pairs}) AS (c, x)"
     ).filter(F.col("x").isNotNull())
     hist = materialize(long.groupBy("c", "x").agg(F.count(F.lit(1)).alias("cnt")))
 
+    xd = F.col("x").cast("decimal(38,0)")
     moments = hist.groupBy("c").agg(
         F.sum("cnt").alias("n"),
-        F.sum(F.col("x") * F.col("cnt")).alias("s1"),
-        F.sum(F.col("x") * F.col("x") * F.col("cnt")).alias("s2"),
-        F.min("x").alias("mn"),
-        F.max("x").alias("mx"),
-    )
+        F.sum(xd * F.col("cnt")).alias("s1u"),
+        F.sum(F.when(F.col("c") < len(numeric), xd * xd * F.col("cnt"))).alias("s2u"),
+        F.min("x").alias("mnu"),
+        F.max("x").alias("mxu"),
+    ).withColumn("sc", scale_of[F.col("c")])
     cum = running_sum(hist, {"ce": F.col("cnt")}, ["x"], ["c"], inclusive=True, bucket_by="x",
                       per_piece=pieces)
     cum = materialize(cum.withColumn("cb", F.col("ce") - F.col("cnt")))
@@ -106,7 +118,7 @@ def describe(wide: DataFrame, numeric=NUMERIC, datetime=DATETIME, pieces: int |
         F.broadcast(ranks),
         (F.col("c") == F.col("rc")) & (F.col("cb") <= F.col("r")) & (F.col("r") < F.col("ce")),
         "inner",
-    ).select(F.col("rc").alias("c"), F.col("rp").alias("p"), "r", F.col("x").cast("double").alias("v"))
+    ).select(F.col("rc").alias("c"), F.col("rp").alias("p"), "r", F.col("x").alias("xu"))
     q = targets.alias("t").join(
         hit.alias("a"), (F.col("a.c") == F.col("t.c")) & (F.col("a.p") == F.col("t.p"))
         & (F.col("a.r") == F.col("t.lo")), "left"
@@ -115,16 +127,30 @@ def describe(wide: DataFrame, numeric=NUMERIC, datetime=DATETIME, pieces: int |
         & (F.col("b.r") == F.col("t.lo") + 1), "left"
     ).select(
         F.col("t.c").alias("c"), F.col("t.p").alias("p"),
-        (F.col("a.v") + (F.coalesce(F.col("b.v"), F.col("a.v")) - F.col("a.v")) * F.col("t.frac"))
-        .alias("q"),
-    )
+        F.col("a.xu").alias("au"), F.coalesce(F.col("b.xu"), F.col("a.xu")).alias("bu"),
+        F.col("t.frac").alias("frac"),
+    ).withColumn("sc", scale_of[F.col("c")])
+    unit = F.pow(F.lit(10.0), F.col("sc"))
+    va, vb = F.col("au") / unit, F.col("bu") / unit
+    q = q.withColumn("q", va + (vb - va) * F.col("frac"))
     qs = q.groupBy("c").agg(
         *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(f"p{int(p * 100)}") for p in QUANTILES]
     )
 
+    def exact(col: str, power: int) -> Column:
+        """Scaled decimal sum back in the column's unit (exact), as double."""
+        branches = None
+        for k in sorted({sc for _, sc in scaled}):
+            e = F.col(col) * F.lit(10 ** -(k * power)).cast(f"decimal({k * power + 1},{k * power})") \
+                if k else F.col(col)
+            branches = (F.when(F.col("sc") == k, e.cast("double")) if branches is None
+                        else branches.when(F.col("sc") == k, e.cast("double")))
+        return branches
+
     n = F.col("n").cast("double")
-    s1 = F.col("s1").cast("double")
-    var = (F.col("s2").cast("double") - s1 * s1 / n) / (n - 1)
+    s1 = exact("s1u", 1)
+    s2 = exact("s2u", 2)
+    var = (s2 - s1 * s1 / n) / (n - 1)
     name_map = F.create_map(*[x for i, nm in enumerate(names) for x in (F.lit(i), F.lit(nm))])
     n_numeric = len(numeric)
 
@@ -133,7 +159,7 @@ def describe(wide: DataFrame, numeric=NUMERIC, datetime=DATETIME, pieces: int |
 
     # Every profiled column gets a row, also when it holds no value at all (count 0).
     columns = wide.sparkSession.range(len(names)).select(F.col("id").cast("int").alias("c"))
-    out = columns.join(moments, "c", "left").join(qs, "c", "left").select(
+    out = columns.join(moments, "c", "left").join(qs.drop("sc"), "c", "left").select(
         "c",
         name_map[F.col("c")].alias("column_name"),
         F.when(F.col("c") < n_numeric, "numeric").otherwise("datetime").alias("kind"),
@@ -141,11 +167,11 @@ def describe(wide: DataFrame, numeric=NUMERIC, datetime=DATETIME, pieces: int |
         r6(s1 / n).alias("mean"),
         F.when((F.col("c") < n_numeric) & (F.col("n") > 1), r6(F.sqrt(F.greatest(var, F.lit(0.0)))))
         .alias("std"),
-        r6(F.col("mn").cast("double")).alias("min"),
+        r6(F.col("mnu") / F.pow(F.lit(10.0), F.col("sc"))).alias("min"),
         r6(F.col("p25")).alias("p25"),
         r6(F.col("p50")).alias("p50"),
         r6(F.col("p75")).alias("p75"),
-        r6(F.col("mx").cast("double")).alias("max"),
+        r6(F.col("mxu") / F.pow(F.lit(10.0), F.col("sc"))).alias("max"),
     )
     return out.orderBy("c").drop("c")
 
