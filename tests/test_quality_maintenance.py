@@ -150,3 +150,26 @@ def test_key_report(spark):
     assert [(r.key_kind, r.key_value, r.n) for r in keys] == [("unique", "a@x.fr", 2)]
     fk = qa.foreign_key_report({"orders": t.orders, "customers": t.customers}).collect()
     assert [(r.table_name, r.key_value) for r in fk] == [("orders", "CUST_000009")]
+
+
+def test_update_customers_admin_and_self(spark):
+    t = tables(spark, geolocation=GEO,
+               customers=[customer("CUST_000001", email="a@x.fr"), customer("CUST_000002", email="b@x.fr")])
+    cols = ("new_first_name string, new_last_name string, new_email string, new_phone string, "
+            "new_zip_code_prefix string, new_city string, new_state string, new_address_line1 string, "
+            "new_address_line2 string, new_is_admin tinyint")
+    ch = spark.createDataFrame(
+        [("CUST_000001", " Zoé ", None, "z@x.fr", "06.11.22.33.44", None, None, None, None, None, 1),
+         ("CUST_000002", None, None, "a@x.fr", None, "06000", "nice", None, None, None, None)],
+        "customer_id string, " + cols)
+    admin = mt.update_customers(t, ch, admin=True)
+    got = {r.customer_id: r for r in admin["customers"].collect()}
+    assert (got["CUST_000001"].first_name, got["CUST_000001"].email, got["CUST_000001"].phone,
+            got["CUST_000001"].is_admin) == ("Zoé", "z@x.fr", "0611223344", 1)
+    # b's new email belongs to another customer: the whole change is rejected
+    assert got["CUST_000002"].email == "b@x.fr" and got["CUST_000002"].zip_code_prefix == 75001
+    assert [r.key for r in admin["rejects"].collect()] == ["CUST_000002"]
+    # self-service ignores email and the admin flag
+    own = {r.customer_id: r for r in mt.update_customers(t, ch, admin=False)["customers"].collect()}
+    assert (own["CUST_000001"].email, own["CUST_000001"].is_admin) == ("a@x.fr", 0)
+    assert (own["CUST_000002"].zip_code_prefix, own["CUST_000002"].city) == (6000, "nice")
