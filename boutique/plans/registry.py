@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from boutique.session import configure
 from boutique.sources.tables import Tables
 
 def present(df: DataFrame) -> DataFrame:
@@ -33,6 +34,7 @@ def register(name: str, oracle: str | None = None):
 
     def deco(fn: Callable[[Tables], DataFrame]):
         def builder(spark: SparkSession, sf_dir: str) -> DataFrame:
+            configure(spark)
             return present(fn(Tables.from_testdata(spark, sf_dir)))
 
         builder.__name__ = f"q_{name}"

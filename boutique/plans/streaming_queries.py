@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from boutique.plans.registry import QUERIES, ORACLE, present
+from boutique.plans.registry import ORACLE, QUERIES, present
+from boutique.session import configure
 from boutique.plans.shop_queries import _segments_sql
 from boutique.streaming.customer_stats import customer_stats_from_stream
 
 
 def q_customer_stats_stream(spark, sf_dir):
     """Customer statistics maintained by a stream of order events."""
+    configure(spark)
     return present(customer_stats_from_stream(spark, sf_dir))
 
 

@@ -50,6 +50,24 @@ def build_session(
     return spark
 
 
+RUNTIME_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the runtime SQL settings the operators rely on to a session built elsewhere
+    (UTC for zone-less timestamps, ANSI, AQE with skew-join splitting)."""
+    for k, v in RUNTIME_SETTINGS.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Point the SparkContext at the cluster's shared checkpoint folder.
 
