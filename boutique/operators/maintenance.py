@@ -62,10 +62,9 @@ def add_products(t: Tables, batch: DataFrame, as_of: dt.datetime, as_of_year: in
                                            "product_esrb_rating")],
         F.trim(F.col("product_release_year").cast("string")).cast("int").alias("product_release_year"),
         F.col("product_price").cast("double").cast(MONEY).alias("product_price"),
-        F.col("product_price").alias("_raw_price"),
         F.col("product_weight_g").cast("double").cast("int").alias("product_weight_g"),
         F.coalesce(F.col("product_description"), F.lit("")).alias("product_description"),
-    ).drop("_raw_price")
+    )
     prefix, width = K.ID_FORMATS["product_id"]
     order = ["product_name", "product_platform", "product_category", "product_esrb_rating",
              "product_release_year", "product_price", "product_weight_g", "product_description"]

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from boutique.operators import quality as qa
 from boutique.plans import allocation_queries as aq
-from boutique.plans.canonical_sql import sel
 from boutique.plans.canonical_sql import with_canonical as W
 from boutique.plans.registry import register
 
