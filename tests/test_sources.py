@@ -27,3 +27,19 @@ def test_with_defaults(spark):
     r = with_defaults(df, "stock", dt.datetime(2024, 6, 1, 12)).collect()[0]
     assert (r.min_stock_level, r.reorder_point, r.quantity_available, r.stock_condition) == (12, 19, 0, "new")
     assert r.last_updated == dt.datetime(2024, 6, 1, 12)
+
+
+def test_bucketed_catalog_joins_without_shuffle(spark, sf_small, tmp_path):
+    from boutique.operators.customers import customer_segments
+
+    t = Tables.from_testdata(spark, sf_small)
+    db = "boutique_test_catalog"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{tmp_path}'")
+    t.write_catalog(db, buckets=4, names=("orders", "order_items", "customers"), mode="overwrite")
+    b = Tables.from_catalog(spark, db)
+    joined = b.orders.join(b.order_items, "order_id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan  # matching buckets, no shuffle
+    want = sorted(customer_segments(t).collect())
+    got = sorted(customer_segments(b.with_tables(customers=b.customers)).collect())
+    assert got == want
