@@ -136,3 +136,38 @@ FROM c_stock s LEFT JOIN taken k ON k.stock_id = s.stock_id"""))
 def q_stock_after_placement(t):
     """U8: stock after the placed orders took their quantities."""
     return _placement(t)["stock"]
+
+
+@register("placement_customer_stats", W(f"""
+WITH {_LINES},{_PLACED},
+new_items AS (
+  SELECT p.order_id, CAST(pr.product_price AS DECIMAL(10,2)) AS price, a.take AS quantity,
+         CAST(4.99 AS DECIMAL(10,2)) AS freight_value
+  FROM alloc a JOIN placed p ON p.cart_id = a.cart_id LEFT JOIN c_products pr ON pr.product_id = a.product_id),
+all_orders AS (
+  SELECT order_id, customer_id, order_status, order_purchase_timestamp FROM c_orders
+  UNION ALL SELECT order_id, printf('CUST_%06d', cart_id), 'created', TIMESTAMP '2024-06-01 12:00:00' FROM placed),
+all_items AS (
+  SELECT order_id, price, quantity, freight_value FROM c_order_items
+  UNION ALL SELECT order_id, price, quantity, freight_value FROM new_items),
+touched AS (SELECT DISTINCT printf('CUST_%06d', cart_id) AS customer_id FROM placed),
+per_order AS (SELECT order_id, sum(coalesce(price, 0) * coalesce(quantity, 1) + coalesce(freight_value, 0)) AS value
+              FROM all_items GROUP BY order_id),
+stats AS (SELECT o.customer_id, count(*) AS n, sum(p.value) AS spent, max(o.order_purchase_timestamp) AS lp
+          FROM all_orders o JOIN per_order p ON p.order_id = o.order_id
+          WHERE o.order_status <> 'cancelled' GROUP BY o.customer_id)
+SELECT c.customer_id,
+       CASE WHEN t.customer_id IS NOT NULL THEN CAST(coalesce(s.n, 0) AS INTEGER) ELSE c.total_orders END AS total_orders,
+       CASE WHEN t.customer_id IS NOT NULL THEN CAST(round(coalesce(s.spent, 0), 2) AS DOUBLE) ELSE CAST(c.total_spent AS DOUBLE) END AS total_spent,
+       CASE WHEN t.customer_id IS NOT NULL THEN s.lp ELSE c.last_purchase_date END AS last_purchase_date,
+       CASE WHEN t.customer_id IS NOT NULL THEN
+            CASE WHEN coalesce(s.n, 0) = 0 THEN 'nouveau' WHEN coalesce(s.spent, 0) < 200 THEN 'casual'
+                 WHEN coalesce(s.spent, 0) < 1000 THEN 'regular' WHEN coalesce(s.spent, 0) < 2000 THEN 'premium'
+                 ELSE 'vip' END
+            ELSE c.customer_segment END AS customer_segment
+FROM c_customers c LEFT JOIN touched t ON t.customer_id = c.customer_id
+LEFT JOIN stats s ON s.customer_id = c.customer_id"""))
+def q_placement_customer_stats(t):
+    """U8 then U7 (checkout): buyers' statistics after their orders were placed."""
+    c = _placement(t)["customers"]
+    return c.select("customer_id", "total_orders", "total_spent", "last_purchase_date", "customer_segment")
