@@ -78,6 +78,45 @@ def admit_carts(lines: DataFrame, stock: DataFrame, pieces: int | None = None) -
     return materialize(d.groupBy("cart_id").agg(F.bool_and("fits").alias("admitted")))
 
 
+def ranked_sides(lines: DataFrame, stock: DataFrame, pieces: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Supply and demand intervals of the demanded products in one ordered pass.
+
+    Both sides are running sums per product in their own order (stock: largest available
+    first, then stock id; demand: cart order), so they are ranked together, partitioned by
+    (product, side), and materialized once. Returns (supply, demand) as in
+    :func:`supply_intervals` and :func:`demand_intervals`.
+    """
+    demanded = lines.select("product_id").distinct()
+    s = stock.join(demanded, "product_id", "left_semi").filter(F.col("quantity_available") > 0)
+    sup = s.select(
+        "product_id", F.lit("S").alias("side"),
+        (-F.col("quantity_available")).cast("bigint").alias("k1"), F.col("stock_id").alias("k2"),
+        F.col("quantity_available").cast("bigint").alias("amount"),
+        "stock_id", "seller_id", F.lit(None).cast("bigint").alias("cart_id"),
+    )
+    dem = lines.select(
+        "product_id", F.lit("D").alias("side"), F.col("cart_id").cast("bigint").alias("k1"),
+        F.lit("").alias("k2"), F.col("qty").cast("bigint").alias("amount"),
+        F.lit(None).cast("string").alias("stock_id"), F.lit(None).cast("string").alias("seller_id"),
+        F.col("cart_id").cast("bigint").alias("cart_id"),
+    )
+    both = running_sum(
+        sup.unionByName(dem), {"end": F.col("amount"), "rank": F.lit(1)}, ["k1", "k2"],
+        ["product_id", "side"], inclusive=True, bucket_by="k1", per_piece=pieces,
+    )
+    both = materialize(both.select(
+        "product_id", "side", "stock_id", "seller_id", "cart_id", "amount",
+        (F.col("end") - F.col("amount")).alias("start"), F.col("rank").cast("bigint").alias("rank"),
+    ))
+    supply = both.filter(F.col("side") == "S").select(
+        "stock_id", "seller_id", "product_id", F.col("amount").cast("int").alias("quantity_available"),
+        F.col("start").alias("s0"), F.col("rank").alias("s_rank"))
+    demand = both.filter(F.col("side") == "D").select(
+        "cart_id", "product_id", F.col("amount").cast("int").alias("qty"),
+        F.col("start").alias("d0"), F.col("rank").alias("d_rank"))
+    return supply, demand
+
+
 def allocate(lines: DataFrame, stock: DataFrame, pieces: int | None = None) -> DataFrame:
     """Split each admitted cart line over stock rows.
 
@@ -85,9 +124,7 @@ def allocate(lines: DataFrame, stock: DataFrame, pieces: int | None = None) -> D
     (cart_id, product_id, stock_id, seller_id, s_rank, take). Demand beyond a product's
     supply stays unallocated.
     """
-    demanded = lines.select("product_id").distinct()
-    sup = supply_intervals(stock.join(demanded, "product_id", "left_semi"), pieces)
-    dem = demand_intervals(lines.select("cart_id", "product_id", "qty"), pieces)
+    sup, dem = ranked_sides(lines.select("cart_id", "product_id", "qty"), stock, pieces)
     totals = (
         dem.groupBy("product_id").agg(F.sum("qty").cast("bigint").alias("D"))
         .join(sup.groupBy("product_id").agg(F.sum("quantity_available").cast("bigint").alias("S")),
