@@ -370,9 +370,29 @@ def update_stock(t: Tables, changes: DataFrame, as_of: dt.datetime) -> dict:
         _ts(as_of).alias("last_updated"),
         txt("warehouse_location").alias("warehouse_location"),
         txt("stock_condition").alias("stock_condition"),
+        (txt("seller_id") != F.col("s.seller_id")).alias("_moved"),
     )
-    checked = qa.check(upd, [qa.Rule("quantity_available: negative (stock < reserved)",
-                                     F.col("quantity_available") >= 0)])
+    # The (seller, product) pair is unique: a moved row must not land on another row's pair,
+    # nor on a pair another change in the batch moves to.
+    others = t.stock.select(F.col("stock_id").alias("_other"), "seller_id", "product_id")
+    moved = upd.filter("_moved").select("stock_id", "seller_id", "product_id")
+    clash = (
+        moved.join(others, ["seller_id", "product_id"], "left")
+        .filter(F.col("_other").isNotNull() & (F.col("_other") != F.col("stock_id")))
+        .select("stock_id").distinct()
+        .unionByName(
+            moved.join(
+                moved.groupBy("seller_id", "product_id").agg(F.count(F.lit(1)).alias("_pn"))
+                .filter(F.col("_pn") > 1),
+                ["seller_id", "product_id"], "left_semi",
+            ).select("stock_id")
+        ).distinct().withColumn("_clash", F.lit(True))
+    )
+    upd = upd.join(clash, "stock_id", "left")
+    checked = qa.check(upd, [
+        qa.Rule("quantity_available: negative (stock < reserved)", F.col("quantity_available") >= 0),
+        qa.Rule("seller_id: the seller already stocks this product", F.col("_clash").isNull()),
+    ]).drop("_clash", "_moved")
     ok = checked.filter(F.size("errors") == 0).drop("errors")
     stock = t.stock.join(ok.select("stock_id"), "stock_id", "left_anti").unionByName(_conform(ok, t.stock))
     rejects = _rejects(checked, "stock_id").unionByName(

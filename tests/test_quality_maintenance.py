@@ -141,6 +141,18 @@ def test_stock_update(spark):
             got["STOCK_00001"].stock_condition) == (17, "B-2", "new")
     assert got["STOCK_00002"].quantity_available == 5  # rejected: 5 - 50 < 0
     assert [x.key for x in r["rejects"].collect()] == ["STOCK_00002"]
+    # moving a row onto a (seller, product) pair that already exists is refused
+    t2 = tables(spark, stock=[stock("STOCK_00001", "PROD_00001", seller="SELLER_0001"),
+                              stock("STOCK_00002", "PROD_00001", seller="SELLER_0002")])
+    mv = spark.createDataFrame([("STOCK_00002", "SELLER_0001")], "stock_id string, new_seller_id string")
+    for c in ("new_quantity_in_stock", "new_quantity_reserved", "new_min_stock_level", "new_reorder_point"):
+        mv = mv.withColumn(c, F.lit(None).cast("int"))
+    for c in ("new_warehouse_location", "new_stock_condition"):
+        mv = mv.withColumn(c, F.lit(None).cast("string"))
+    r2 = mt.update_stock(t2, mv, AS_OF)
+    assert [x.key for x in r2["rejects"].collect()] == ["STOCK_00002"]
+    assert {x.stock_id: x.seller_id for x in r2["stock"].collect()} == {
+        "STOCK_00001": "SELLER_0001", "STOCK_00002": "SELLER_0002"}
 
 
 def test_key_report(spark):
