@@ -78,7 +78,8 @@ def running_sum(
 
     ``order_by`` must be a total order inside each group; ``bucket_by`` is a numeric
     expression that never decreases along that order (for a descending key pass its
-    negation). Without ``bucket_by`` each group is one piece (a plain window).
+    negation). Without ``bucket_by`` each group is one piece (a plain window). Group keys
+    must not be null (groups are matched to their piece offsets by equality).
     ``inclusive=False`` gives the sum of the rows strictly before each row.
     """
     order = [_col(c) for c in order_by]
