@@ -59,6 +59,28 @@ RUNTIME_SETTINGS = {
 }
 
 
+def cluster_settings(input_bytes: int, executor_cores: int = 4, target_partition_bytes: int = 256 << 20,
+                     cluster_cores: int | None = None) -> dict[str, str]:
+    """Spill-aware sizing for a cluster run over ``input_bytes`` of Parquet.
+
+    Scan splits and shuffle partitions target ``target_partition_bytes`` each, so a task's
+    input fits comfortably in an executor slot's share of memory; the initial shuffle
+    partition count is generous (at least 2x the cores) and AQE coalesces it from the
+    measured sizes and splits skewed partitions.
+    """
+    parts = max(1, -(-input_bytes // target_partition_bytes))
+    if cluster_cores:
+        parts = max(parts, 2 * cluster_cores)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.executor.cores": str(executor_cores),
+    }
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings the operators rely on to a session built elsewhere
     (UTC for zone-less timestamps, ANSI, AQE with skew-join splitting)."""
