@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutique import constants as K
 from boutique.functions.ids import format_id, id_number
+from boutique.functions.text import string_order_key
 from boutique.operators.ordered import max_id_number, row_numbers, running_sum
 from boutique.sources.carts import normalise_carts
 from boutique.sources.schemas import MONEY
@@ -32,6 +33,13 @@ def supply_order():
     return (F.col("quantity_available").desc(), F.col("stock_id").asc())
 
 
+def supply_bucket_key() -> Column:
+    """Numeric key that never decreases along :func:`supply_order`: minus the available
+    quantity plus the stock id's order key scaled into [0, 0.5), so rows with equal
+    availability are still spread over pieces."""
+    return (-F.col("quantity_available")).cast("double") + string_order_key("stock_id").cast("double") / float(2 ** 57)
+
+
 def supply_intervals(stock: DataFrame, pieces: int | None = None) -> DataFrame:
     """Usable stock rows with their interval start ``s0`` and rank ``s_rank`` per product."""
     s = stock.filter(F.col("quantity_available") > 0).select(
@@ -40,7 +48,7 @@ def supply_intervals(stock: DataFrame, pieces: int | None = None) -> DataFrame:
     s = running_sum(
         s, {"s0": F.col("quantity_available").cast("bigint"), "s_rank": F.lit(1)},
         supply_order(), ["product_id"], inclusive=True,
-        bucket_by=-F.col("quantity_available"), per_piece=pieces,
+        bucket_by=supply_bucket_key(), per_piece=pieces,
     )
     return materialize(s.withColumn("s0", F.col("s0") - F.col("quantity_available")).withColumn(
         "s_rank", F.col("s_rank").cast("bigint")
@@ -91,18 +99,20 @@ def ranked_sides(lines: DataFrame, stock: DataFrame, pieces: int | None = None)
     sup = s.select(
         "product_id", F.lit("S").alias("side"),
         (-F.col("quantity_available")).cast("bigint").alias("k1"), F.col("stock_id").alias("k2"),
+        supply_bucket_key().alias("bk"),
         F.col("quantity_available").cast("bigint").alias("amount"),
         "stock_id", "seller_id", F.lit(None).cast("bigint").alias("cart_id"),
     )
     dem = lines.select(
         "product_id", F.lit("D").alias("side"), F.col("cart_id").cast("bigint").alias("k1"),
-        F.lit("").alias("k2"), F.col("qty").cast("bigint").alias("amount"),
+        F.lit("").alias("k2"), F.col("cart_id").cast("double").alias("bk"),
+        F.col("qty").cast("bigint").alias("amount"),
         F.lit(None).cast("string").alias("stock_id"), F.lit(None).cast("string").alias("seller_id"),
         F.col("cart_id").cast("bigint").alias("cart_id"),
     )
     both = running_sum(
         sup.unionByName(dem), {"end": F.col("amount"), "rank": F.lit(1)}, ["k1", "k2"],
-        ["product_id", "side"], inclusive=True, bucket_by="k1", per_piece=pieces,
+        ["product_id", "side"], inclusive=True, bucket_by="bk", per_piece=pieces,
     )
     both = materialize(both.select(
         "product_id", "side", "stock_id", "seller_id", "cart_id", "amount",
