@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from boutique import constants as K
 from boutique.functions.text import blank_to_null_stripped, digits_only_phone, strip_python, string_order_key
+from boutique.functions.ids import id_number
 from boutique.operators import quality as qa
 from boutique.operators.customers import customer_segments
 from boutique.operators.ordered import assign_ids
@@ -79,8 +80,9 @@ def add_products(t: Tables, batch: DataFrame, as_of: dt.datetime, as_of_year: in
     )
     sprefix, swidth = K.ID_FORMATS["stock_id"]
     d = K.NEW_PRODUCT_STOCK
+    pnum = id_number("product_id", K.ID_FORMATS["product_id"][0])
     stock_rows = assign_ids(new_products.select("product_id"), t.stock, "stock_id", sprefix, swidth,
-                            ["product_id"], bucket_by=string_order_key("product_id"))
+                            [pnum, "product_id"], bucket_by=pnum)
     new_stock = stock_rows.select(
         "stock_id", F.lit(d["seller_id"]).alias("seller_id"), "product_id",
         *[F.lit(d[c]).alias(c) for c in ("quantity_in_stock", "quantity_reserved", "quantity_available",
@@ -413,8 +415,9 @@ def add_reviews(t: Tables, batch: DataFrame, as_of: dt.datetime) -> dict:
         blank_to_null_stripped("review_comment_message").alias("review_comment_message"),
         _ts(as_of).alias("review_creation_date"),
     )
-    numbered = assign_ids(clean, t.order_reviews, "review_id", prefix, width, ["order_id"],
-                          bucket_by=string_order_key("order_id"))
+    onum = id_number("order_id", K.ID_FORMATS["order_id"][0])
+    numbered = assign_ids(clean, t.order_reviews, "review_id", prefix, width, [onum, "order_id"],
+                          bucket_by=onum)
     new_rows = _conform(numbered, t.order_reviews)
     return {"order_reviews": t.order_reviews.unionByName(new_rows), "new_reviews": new_rows,
             "rejects": checked.filter(F.size("errors") > 0)}

@@ -87,7 +87,7 @@ def q_add_products(t):
 
 @register("add_products_stock", W(f"""
 WITH {_NEW_PRODUCTS}
-SELECT printf('STOCK_%05d', {_max_id('c_stock', 'stock_id', 'STOCK_')} + row_number() OVER (ORDER BY product_id)) AS stock_id,
+SELECT printf('STOCK_%05d', {_max_id('c_stock', 'stock_id', 'STOCK_')} + row_number() OVER (ORDER BY CAST(NULLIF(regexp_extract(product_id, 'PROD_(\\d+)', 1), '') AS BIGINT) NULLS FIRST, product_id)) AS stock_id,
        'SELLER_0001' AS seller_id, product_id, 10 AS quantity_in_stock, 0 AS quantity_reserved,
        10 AS quantity_available, 3 AS min_stock_level, 5 AS reorder_point, {AS_OF_SQL} AS last_updated,
        'A-00-00' AS warehouse_location, 'new' AS stock_condition
@@ -386,7 +386,7 @@ v AS (SELECT * FROM b
         AND order_id NOT IN (SELECT order_id FROM c_order_reviews)
         AND order_id IN (SELECT order_id FROM b GROUP BY order_id HAVING count(*) = 1)
         AND coalesce(review_score BETWEEN 1 AND 5, false))
-SELECT printf('REVIEW_%06d', {_max_id('c_order_reviews', 'review_id', 'REVIEW_')} + row_number() OVER (ORDER BY order_id)) AS review_id,
+SELECT printf('REVIEW_%06d', {_max_id('c_order_reviews', 'review_id', 'REVIEW_')} + row_number() OVER (ORDER BY CAST(NULLIF(regexp_extract(order_id, 'ORDER_(\\d+)', 1), '') AS BIGINT) NULLS FIRST, order_id)) AS review_id,
        order_id, review_score,
        CASE WHEN review_comment_title IS NULL OR review_comment_title = '' THEN NULL ELSE {_strip('review_comment_title')} END AS review_comment_title,
        CASE WHEN review_comment_message IS NULL OR review_comment_message = '' THEN NULL ELSE {_strip('review_comment_message')} END AS review_comment_message,
