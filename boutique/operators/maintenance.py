@@ -14,7 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutique import constants as K
-from boutique.functions.text import blank_to_null_stripped, digits_only_phone, strip_python, string_order_key
+from boutique.functions.text import (
+    blank_to_null_stripped,
+    common_prefix_length,
+    digits_only_phone,
+    string_order_key,
+    strip_python,
+)
 from boutique.functions.ids import id_number
 from boutique.operators import quality as qa
 from boutique.operators.customers import customer_segments
@@ -70,7 +76,7 @@ def add_products(t: Tables, batch: DataFrame, as_of: dt.datetime, as_of_year: in
     order = ["product_name", "product_platform", "product_category", "product_esrb_rating",
              "product_release_year", "product_price", "product_weight_g", "product_description"]
     numbered = assign_ids(clean, t.products, "product_id", prefix, width, order,
-                          bucket_by=string_order_key("product_name"))
+                          bucket_by=string_order_key("product_name", common_prefix_length(clean, "product_name")))
     new_products = numbered.select(
         "product_id", "product_name", "product_category", "product_platform", "product_esrb_rating",
         "product_release_year", "product_price", "product_weight_g", "product_description",
@@ -177,7 +183,7 @@ def add_customers(t: Tables, batch: DataFrame, as_of: dt.datetime) -> dict:
         F.coalesce(F.col("is_admin").cast("tinyint"), F.lit(0).cast("tinyint")).alias("is_admin"),
     )
     numbered = assign_ids(clean, t.customers, "customer_id", prefix, width, ["email"],
-                          bucket_by=string_order_key("email"))
+                          bucket_by=string_order_key("email", common_prefix_length(clean, "email")))
     new_rows = numbered.select(
         "*", F.lit(None).cast("string").alias("customer_segment"),
         _ts(as_of).alias("registration_date"),

@@ -38,3 +38,15 @@ def test_cluster_settings():
     conf = cluster_settings(100 * 2**40, cluster_cores=8000)
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
     assert int(cluster_settings(10, cluster_cores=16)["spark.sql.shuffle.partitions"]) == 32
+
+
+def test_common_prefix_length_and_skipped_key(spark):
+    from boutique.functions.text import common_prefix_length
+
+    ids = ["ORDER_000123", "ORDER_000009", "ORDER_149998", "ORDER_000124"]
+    df = spark.createDataFrame([(w,) for w in ids], "w string")
+    n = df.select(common_prefix_length(df, "w").alias("n")).first().n
+    assert n == 6  # "ORDER_"
+    rows = df.select("w", string_order_key("w", n).alias("k")).orderBy("w").collect()
+    keys = [r.k for r in rows]
+    assert keys == sorted(keys) and len(set(keys)) == 4  # distinct once the prefix is skipped
