@@ -13,7 +13,11 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from boutique.session import build_session
 
-    s = build_session("local[4]", shuffle_partitions=4)
+    import tempfile
+
+    # The session's catalog lives in a fresh scratch folder, not in the working tree.
+    warehouse = tempfile.mkdtemp(prefix="run-warehouse-", dir="/tmp")
+    s = build_session("local[4]", shuffle_partitions=4, extra={"spark.sql.warehouse.dir": warehouse})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
