@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutique.llm import chat, decontaminate, frames, knn, language, mixing, quality, substring, token_store, toxicity
+from boutique.llm import chat, decontaminate, frames, knn, language, mixing, near_dups, quality, substring, token_store, toxicity
 from boutique.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,12 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_documents(frames.table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near-duplicates of every document."""
+    return near_dups.near_duplicates(frames.table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all formatted conversations, read back from the formatted strings."""
