@@ -70,29 +70,3 @@ def blank_to_null_stripped(col: str | Column) -> Column:
     """Null or empty -> null; otherwise the stripped text (which may be empty)."""
     c = _c(col)
     return F.when(c.isNull() | (c == ""), F.lit(None).cast("string")).otherwise(strip_python(c))
-
-
-def string_order_key(col: str | Column, skip: Column | int | None = None) -> Column:
-    """A bigint that never decreases along the byte order of the string: its first seven
-    UTF-8 bytes (after ``skip`` leading characters shared by every value) read as a
-    big-endian number. Used to cut string-ordered data into pieces."""
-    c = _c(col)
-    if skip is not None:
-        start = (skip if isinstance(skip, Column) else F.lit(skip)) + 1
-        c = F.call_function("substring", c, start)
-    head = F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7))
-    return F.conv(F.rpad(head, 14, "0"), 16, 10).cast("bigint")
-
-
-def common_prefix_length(df, col: str) -> Column:
-    """Number of leading characters shared by every value of ``col`` (a scalar subquery):
-    the common prefix of a set of strings is that of its smallest and largest member."""
-    mm = df.agg(F.min(col).alias("mn"), F.max(col).alias("mx"))
-    mn, mx = F.col("mn"), F.col("mx")
-    n = F.greatest(F.least(F.length(mn), F.length(mx)), F.lit(1))
-
-    def same(i):
-        return F.call_function("substring", mn, F.lit(1), i) == F.call_function("substring", mx, F.lit(1), i)
-
-    lcp = F.greatest(F.coalesce(F.size(F.filter(F.sequence(F.lit(1), n), same)), F.lit(0)), F.lit(0))
-    return F.coalesce(mm.select(lcp).scalar(), F.lit(0))

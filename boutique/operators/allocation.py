@@ -16,12 +16,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutique import constants as K
 from boutique.functions.ids import format_id, id_number
-from boutique.functions.text import string_order_key
 from boutique.operators.ordered import max_id_number, row_numbers, running_sum
 from boutique.sources.carts import normalise_carts
 from boutique.sources.schemas import MONEY
@@ -33,13 +32,6 @@ def supply_order():
     return (F.col("quantity_available").desc(), F.col("stock_id").asc())
 
 
-def supply_bucket_key() -> Column:
-    """Numeric key that never decreases along :func:`supply_order`: minus the available
-    quantity plus the stock id's order key scaled into [0, 0.5), so rows with equal
-    availability are still spread over pieces."""
-    return (-F.col("quantity_available")).cast("double") + string_order_key("stock_id").cast("double") / float(2 ** 57)
-
-
 def supply_intervals(stock: DataFrame, pieces: int | None = None) -> DataFrame:
     """Usable stock rows with their interval start ``s0`` and rank ``s_rank`` per product."""
     s = stock.filter(F.col("quantity_available") > 0).select(
@@ -47,43 +39,51 @@ def supply_intervals(stock: DataFrame, pieces: int | None = None) -> DataFrame:
     )
     s = running_sum(
         s, {"s0": F.col("quantity_available").cast("bigint"), "s_rank": F.lit(1)},
-        supply_order(), ["product_id"], inclusive=True,
-        bucket_by=supply_bucket_key(), per_piece=pieces,
+        supply_order(), ["product_id"], inclusive=True, per_piece=pieces,
     )
     return materialize(s.withColumn("s0", F.col("s0") - F.col("quantity_available")).withColumn(
         "s_rank", F.col("s_rank").cast("bigint")
     ))
 
 
-def demand_intervals(lines: DataFrame, pieces: int | None = None) -> DataFrame:
-    """Cart lines with interval start ``d0`` and rank ``d_rank`` per product (cart order)."""
-    d = running_sum(
-        lines, {"d0": F.col("qty").cast("bigint"), "d_rank": F.lit(1)},
-        ["cart_id"], ["product_id"], inclusive=True, bucket_by="cart_id", per_piece=pieces,
-    )
-    return materialize(d.withColumn("d0", F.col("d0") - F.col("qty")).withColumn(
-        "d_rank", F.col("d_rank").cast("bigint")
-    ))
-
-
 def admit_carts(lines: DataFrame, stock: DataFrame, pieces: int | None = None) -> DataFrame:
-    """Batch admission: a cart is admitted when, for every line, the demand of this and all
-    earlier carts (in cart order) on that product fits the product's supply.
+    """Serial checkout (V15, U8): carts in order of their id; a cart is admitted when, for
+    every line, what the admitted carts before it have left of the product suffices.
 
-    Earlier carts count even when they are rejected themselves, so the rule never
-    over-commits stock; it can refuse a cart that a one-by-one run would accept.
+    Availability is the sum of the product's stock rows as they are; a product without stock
+    rows has none. Solved in rounds over the undecided carts: with the demand of all earlier
+    admitted and undecided carts taken off, a cart all of whose lines fit is admitted; with
+    only the admitted ones taken off, a cart with a line that does not fit is rejected. The
+    first undecided cart is decided in every round, so the rounds end, at the serial result.
     Returns ``(cart_id, admitted)``.
     """
     demanded = lines.select("product_id").distinct()
     supply = stock.join(demanded, "product_id", "left_semi").groupBy("product_id").agg(
-        F.sum(F.greatest(F.col("quantity_available"), F.lit(0))).cast("bigint").alias("supply")
-    )
-    d = running_sum(lines, {"d1": F.col("qty").cast("bigint")}, ["cart_id"], ["product_id"],
-                    inclusive=True, bucket_by="cart_id", per_piece=pieces)
-    d = d.join(supply, "product_id", "left").withColumn(
-        "fits", F.col("d1") <= F.coalesce("supply", F.lit(0))
-    )
-    return materialize(d.groupBy("cart_id").agg(F.bool_and("fits").alias("admitted")))
+        F.sum("quantity_available").cast("bigint").alias("supply"))
+    # status of a line's cart: U undecided, A admitted, R rejected.
+    active = materialize(lines.join(supply, "product_id", "left").select(
+        "cart_id", "product_id", F.col("qty").cast("bigint").alias("qty"),
+        F.coalesce("supply", F.lit(0)).alias("supply"), F.lit("U").alias("status")))
+    rows = active.count()  # never grows: a bound for all rounds
+    verdicts = active.select("cart_id", F.lit(True).alias("admitted")).limit(0)
+    left = F.col("supply") - F.col("qty")
+    while not active.filter("status = 'U'").isEmpty():
+        # Only products that an undecided cart still asks for matter.
+        open_products = active.filter("status = 'U'").select("product_id").distinct()
+        before = running_sum(
+            active.join(open_products, "product_id", "left_semi"),
+            {"taken": F.when(F.col("status") == "A", F.col("qty")).otherwise(0), "claimed": F.col("qty")},
+            ["cart_id"], ["product_id"], inclusive=False, per_piece=pieces, rows=rows)
+        carts = before.filter("status = 'U'").groupBy("cart_id").agg(
+            F.bool_and(F.col("claimed") <= left).alias("fits"), F.bool_and(F.col("taken") <= left).alias("may_fit"))
+        now = F.when(F.col("fits"), "A").when(~F.col("may_fit"), "R").otherwise(F.col("status"))
+        judged = materialize(active.join(carts, "cart_id", "left").select(
+            "cart_id", "product_id", "qty", "supply", now.alias("status"),
+            (F.col("fits").isNotNull() & (now != "U")).alias("new")))
+        verdicts = verdicts.unionByName(
+            judged.filter("new").groupBy("cart_id").agg(F.bool_and(F.col("status") == "A").alias("admitted")))
+        active = judged.filter("status <> 'R'").drop("new")
+    return materialize(verdicts)
 
 
 def ranked_sides(lines: DataFrame, stock: DataFrame, pieces: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -99,20 +99,19 @@ def ranked_sides(lines: DataFrame, stock: DataFrame, pieces: int | None = None)
     sup = s.select(
         "product_id", F.lit("S").alias("side"),
         (-F.col("quantity_available")).cast("bigint").alias("k1"), F.col("stock_id").alias("k2"),
-        supply_bucket_key().alias("bk"),
         F.col("quantity_available").cast("bigint").alias("amount"),
         "stock_id", "seller_id", F.lit(None).cast("bigint").alias("cart_id"),
     )
     dem = lines.select(
         "product_id", F.lit("D").alias("side"), F.col("cart_id").cast("bigint").alias("k1"),
-        F.lit("").alias("k2"), F.col("cart_id").cast("double").alias("bk"),
+        F.lit("").alias("k2"),
         F.col("qty").cast("bigint").alias("amount"),
         F.lit(None).cast("string").alias("stock_id"), F.lit(None).cast("string").alias("seller_id"),
         F.col("cart_id").cast("bigint").alias("cart_id"),
     )
     both = running_sum(
         sup.unionByName(dem), {"end": F.col("amount"), "rank": F.lit(1)}, ["k1", "k2"],
-        ["product_id", "side"], inclusive=True, bucket_by="bk", per_piece=pieces,
+        ["product_id", "side"], inclusive=True, per_piece=pieces,
     )
     both = materialize(both.select(
         "product_id", "side", "stock_id", "seller_id", "cart_id", "amount",
@@ -153,7 +152,7 @@ def allocate(lines: DataFrame, stock: DataFrame, pieces: int | None = None) -> D
     )
     ev = running_sum(
         events, {"d_rank": F.col("is_d"), "s_rank": F.col("is_s"), "e_idx": F.lit(1)},
-        ["x"], ["product_id"], inclusive=True, bucket_by="x", per_piece=pieces,
+        ["x"], ["product_id"], inclusive=True, per_piece=pieces,
     )
     nxt = ev.select("product_id", (F.col("e_idx") - 1).alias("e_idx"), F.col("x").alias("x_next"))
     seg = ev.join(nxt, ["product_id", "e_idx"], "left").select(
@@ -182,19 +181,18 @@ def snapshot_allocation(lines: DataFrame, stock: DataFrame, pieces: int | None =
     """
     ln = lines.select("cart_id", "product_id", "qty").filter(F.col("qty") > 0)
     sup = supply_intervals(stock.join(ln.select("product_id").distinct(), "product_id", "left_semi"), pieces)
+    # Lines of one product and quantity use the same ranks: counted once, joined back.
     events = ln.select(
-        "product_id", (F.col("qty") - 1).cast("bigint").alias("x"), F.lit(1).alias("kind"),
-        F.col("cart_id").alias("tb"), F.lit(0).alias("is_s"),
-    ).unionByName(
-        sup.select("product_id", F.col("s0").alias("x"), F.lit(0).alias("kind"),
-                   F.lit(-1).cast("bigint").alias("tb"), F.lit(1).alias("is_s"))
+        "product_id", (F.col("qty") - 1).cast("bigint").alias("x"), F.lit(1).alias("kind"), F.lit(0).alias("is_s"),
+    ).distinct().unionByName(
+        sup.select("product_id", F.col("s0").alias("x"), F.lit(0).alias("kind"), F.lit(1).alias("is_s"))
     )
-    counted = running_sum(materialize(events), {"k": F.col("is_s")}, ["x", "kind", "tb"], ["product_id"],
-                          inclusive=True, bucket_by="x", per_piece=pieces)
+    counted = running_sum(events, {"k": F.col("is_s")}, ["x", "kind"], ["product_id"],
+                          inclusive=True, per_piece=pieces)
     k = counted.filter(F.col("kind") == 1).select(
-        "product_id", F.col("tb").alias("cart_id"), F.col("k").cast("int").alias("k")
+        "product_id", (F.col("x") + 1).cast("int").alias("qty"), F.col("k").cast("int").alias("k")
     )
-    used = ln.join(k, ["cart_id", "product_id"], "inner").filter(F.col("k") > 0).select(
+    used = ln.join(k, ["product_id", "qty"], "inner").filter(F.col("k") > 0).select(
         "cart_id", "product_id", "qty",
         F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("k").cast("bigint"))).alias("s_rank"),
     )
@@ -219,9 +217,11 @@ def place_orders(
     (cart_id -> order_id) and ``rejected`` carts.
     """
     prices = t.products.select("product_id", "product_price")
-    lines = normalise_carts(carts).join(prices.select("product_id"), "product_id", "left_semi")
+    lines = materialize(normalise_carts(carts))
     verdict = admit_carts(lines, t.stock, pieces)
-    ok = lines.join(verdict.filter("admitted"), "cart_id", "left_semi")
+    # A line of an unknown product that has stock nevertheless is passed over, as in the shop.
+    ok = lines.join(verdict.filter("admitted"), "cart_id", "left_semi").join(
+        prices.select("product_id"), "product_id", "left_semi")
     alloc = allocate(ok, t.stock, pieces)
 
     ts = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
@@ -229,7 +229,7 @@ def place_orders(
     prefix, width = K.ID_FORMATS["order_id"]
     base = max_id_number(t.orders, "order_id", prefix)
     placed = row_numbers(verdict.filter("admitted").select("cart_id"), "_n", ["cart_id"], (),
-                         bucket_by="cart_id", per_piece=pieces)
+                         per_piece=pieces)
     placed = materialize(
         placed.select("cart_id", format_id(prefix, width, base + F.col("_n")).alias("order_id")))
 
@@ -243,7 +243,7 @@ def place_orders(
     # Lines of a new order follow the product number, then the stock rank.
     alloc = alloc.withColumn("_pnum", id_number("product_id", K.ID_FORMATS["product_id"][0]))
     items = row_numbers(alloc, "order_item_id", ["_pnum", "product_id", "s_rank"], ["cart_id"],
-                        bucket_by="_pnum", per_piece=pieces)
+                        per_piece=pieces)
     new_items = items.join(placed, "cart_id", "inner").join(prices, "product_id", "left").select(
         "order_id",
         F.col("order_item_id").cast("int").alias("order_item_id"),

@@ -16,15 +16,14 @@ from pyspark.sql import functions as F
 from boutique import constants as K
 from boutique.functions.text import (
     blank_to_null_stripped,
-    common_prefix_length,
     digits_only_phone,
-    string_order_key,
     strip_python,
 )
 from boutique.functions.ids import id_number
 from boutique.operators import quality as qa
 from boutique.operators.customers import customer_segments
-from boutique.operators.ordered import assign_ids
+from boutique.operators.ordered import assign_ids, row_numbers
+from boutique.session import materialize
 from boutique.sources.schemas import AMOUNT, MONEY
 from boutique.sources.tables import Tables
 
@@ -55,28 +54,23 @@ def _dedupe_batch(changes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 
 
 # --------------------------------------------------------------------------------- products
-PRODUCT_FIELDS = ("product_name", "product_category", "product_platform", "product_esrb_rating",
-                  "product_release_year", "product_price", "product_weight_g", "product_description")
-
-
 def add_products(t: Tables, batch: DataFrame, as_of: dt.datetime, as_of_year: int | None = None) -> dict:
     """Validate, number (PROD_, then one default stock row each, STOCK_), append."""
     year = as_of_year or as_of.year
-    checked = qa.check(batch, qa.product_rules(year))
+    checked = materialize(qa.check(batch, qa.product_rules(year)))
     valid = checked.filter(F.size("errors") == 0).drop("errors")
     clean = valid.select(
         *[strip_python(c).alias(c) for c in ("product_name", "product_category", "product_platform",
                                            "product_esrb_rating")],
-        F.trim(F.col("product_release_year").cast("string")).cast("int").alias("product_release_year"),
-        F.col("product_price").cast("double").cast(MONEY).alias("product_price"),
-        F.col("product_weight_g").cast("double").cast("int").alias("product_weight_g"),
+        strip_python(F.col("product_release_year").cast("string")).try_cast("int").alias("product_release_year"),
+        F.col("product_price").cast("string").try_cast("double").try_cast(MONEY).alias("product_price"),
+        F.col("product_weight_g").cast("string").try_cast("double").try_cast("int").alias("product_weight_g"),
         F.coalesce(F.col("product_description"), F.lit("")).alias("product_description"),
     )
     prefix, width = K.ID_FORMATS["product_id"]
     order = ["product_name", "product_platform", "product_category", "product_esrb_rating",
              "product_release_year", "product_price", "product_weight_g", "product_description"]
-    numbered = assign_ids(clean, t.products, "product_id", prefix, width, order,
-                          bucket_by=string_order_key("product_name", common_prefix_length(clean, "product_name")))
+    numbered = assign_ids(clean, t.products, "product_id", prefix, width, order)
     new_products = numbered.select(
         "product_id", "product_name", "product_category", "product_platform", "product_esrb_rating",
         "product_release_year", "product_price", "product_weight_g", "product_description",
@@ -88,7 +82,7 @@ def add_products(t: Tables, batch: DataFrame, as_of: dt.datetime, as_of_year: in
     d = K.NEW_PRODUCT_STOCK
     pnum = id_number("product_id", K.ID_FORMATS["product_id"][0])
     stock_rows = assign_ids(new_products.select("product_id"), t.stock, "stock_id", sprefix, swidth,
-                            [pnum, "product_id"], bucket_by=pnum)
+                            [pnum, "product_id"])
     new_stock = stock_rows.select(
         "stock_id", F.lit(d["seller_id"]).alias("seller_id"), "product_id",
         *[F.lit(d[c]).alias(c) for c in ("quantity_in_stock", "quantity_reserved", "quantity_available",
@@ -124,8 +118,10 @@ def update_products(t: Tables, changes: DataFrame, as_of_year: int) -> dict:
         qa.Rule("product_release_year: out of range",
                 nn("new_product_release_year") | qa.valid_year("new_product_release_year", as_of_year)),
         qa.Rule("product_price: must be > 0", nn("new_product_price") | qa.positive_number("new_product_price")),
+        qa.Rule("product_price: too large", qa.storable_money("new_product_price")),
         qa.Rule("product_weight_g: must be > 0",
                 nn("new_product_weight_g") | qa.positive_number("new_product_weight_g")),
+        qa.Rule("product_weight_g: too large", qa.storable_int("new_product_weight_g")),
     ]
     checked = qa.check(found, rules)
     ok = checked.filter(F.size("errors") == 0).drop("errors")
@@ -134,9 +130,9 @@ def update_products(t: Tables, changes: DataFrame, as_of_year: int) -> dict:
         "product_category": strip_python("new_product_category"),
         "product_platform": strip_python("new_product_platform"),
         "product_esrb_rating": strip_python("new_product_esrb_rating"),
-        "product_release_year": F.trim(F.col("new_product_release_year").cast("string")).cast("int"),
-        "product_price": F.col("new_product_price").cast("double").cast(MONEY),
-        "product_weight_g": F.col("new_product_weight_g").cast("double").cast("int"),
+        "product_release_year": strip_python(F.col("new_product_release_year").cast("string")).try_cast("int"),
+        "product_price": F.col("new_product_price").cast("string").try_cast("double").try_cast(MONEY),
+        "product_weight_g": F.col("new_product_weight_g").cast("string").try_cast("double").try_cast("int"),
         "product_description": F.col("new_product_description"),
     }
     ch = ok.select("product_id", *[v.alias(f"_n_{k}") for k, v in casts.items()])
@@ -170,20 +166,19 @@ def delete_products(t: Tables, product_ids: DataFrame) -> dict:
 def add_customers(t: Tables, batch: DataFrame, as_of: dt.datetime) -> dict:
     """U4: validate (V1, V5-V9), number (CUST_, width 6) in email order, append with zeroed
     statistics and registration time ``as_of``."""
-    checked = qa.customer_batch_check(batch, t.customers, t.geolocation)
+    checked = materialize(qa.customer_batch_check(batch, t.customers, t.geolocation))
     valid = checked.filter(F.size("errors") == 0).drop("errors")
     prefix, width = K.ID_FORMATS["customer_id"]
     clean = valid.select(
         strip_python("first_name").alias("first_name"), strip_python("last_name").alias("last_name"),
         "email", F.coalesce("phone", F.lit("")).alias("phone"),
-        F.trim(F.col("zip_code_prefix").cast("string")).cast("int").alias("zip_code_prefix"),
+        strip_python(F.col("zip_code_prefix").cast("string")).try_cast("int").alias("zip_code_prefix"),
         "city", "state",
         F.coalesce("address_line1", F.lit("")).alias("address_line1"),
         F.coalesce("address_line2", F.lit("")).alias("address_line2"),
         F.coalesce(F.col("is_admin").cast("tinyint"), F.lit(0).cast("tinyint")).alias("is_admin"),
     )
-    numbered = assign_ids(clean, t.customers, "customer_id", prefix, width, ["email"],
-                          bucket_by=string_order_key("email", common_prefix_length(clean, "email")))
+    numbered = assign_ids(clean, t.customers, "customer_id", prefix, width, ["email"])
     new_rows = numbered.select(
         "*", F.lit(None).cast("string").alias("customer_segment"),
         _ts(as_of).alias("registration_date"),
@@ -195,10 +190,6 @@ def add_customers(t: Tables, batch: DataFrame, as_of: dt.datetime) -> dict:
             "rejects": checked.filter(F.size("errors") > 0)}
 
 
-CUSTOMER_FIELDS = ("first_name", "last_name", "email", "phone", "zip_code_prefix", "city", "state",
-                   "address_line1", "address_line2", "is_admin")
-
-
 def update_customers(t: Tables, changes: DataFrame, admin: bool = True) -> dict:
     """Sparse customer update. Self-service changes may not touch email or is_admin.
 
@@ -212,12 +203,14 @@ def update_customers(t: Tables, changes: DataFrame, admin: bool = True) -> dict:
         found = found.withColumn("new_email", F.lit(None).cast("string")).withColumn(
             "new_is_admin", F.lit(None).cast("tinyint"))
     nn = lambda c: F.col(c).isNull()
+    found = found.withColumn("new_email", strip_python("new_email"))
     flagged = qa.geo_flags(found, t.geolocation, "new_zip_code_prefix", "new_city", "new_state")
-    others = t.customers.select(F.col("customer_id").alias("_owner"), F.trim("email").alias("_em"))
-    flagged = flagged.join(others, F.trim("new_email") == F.col("_em"), "left").withColumn(
-        "_email_free", F.col("_owner").isNull() | (F.col("_owner") == F.col("customer_id"))
-    ).drop("_owner", "_em")
-    flagged = qa.with_unique_flag(flagged, "new_email", "_email_once")
+    # An email is free unless a customer has it; its own customer may keep it.
+    wanted = flagged.select("customer_id", "new_email").filter(F.col("new_email").isNotNull())
+    owners = t.customers.select(F.col("customer_id").alias("_owner"), strip_python("email").alias("_em"))
+    taken = wanted.join(owners, F.col("new_email") == F.col("_em")).filter("_owner <> customer_id").select(
+        "customer_id", F.lit(False).alias("_email_free")).distinct()
+    flagged = flagged.join(taken, "customer_id", "left").withColumn("_email_free", F.coalesce("_email_free", F.lit(True)))
     rules = [
         qa.Rule("first_name: must not be empty", nn("new_first_name") | qa.non_empty("new_first_name")),
         qa.Rule("last_name: must not be empty", nn("new_last_name") | qa.non_empty("new_last_name")),
@@ -227,17 +220,17 @@ def update_customers(t: Tables, changes: DataFrame, admin: bool = True) -> dict:
         qa.Rule("zip_code_prefix: unknown", F.col("zip_ok")),
         qa.Rule("city: unknown", F.col("city_ok")),
         qa.Rule("state: unknown", F.col("state_ok")),
-        qa.Rule("email: already registered", nn("new_email") | F.col("_email_free")),
-        qa.Rule("email: duplicated in batch", nn("new_email") | F.col("_email_once")),
+        qa.Rule("email: already registered", F.col("_email_free")),
     ]
-    checked = qa.check(flagged, rules).drop("zip_ok", "city_ok", "state_ok", "_email_free", "_email_once")
+    checked = qa.check_unique(qa.check(flagged, rules), "new_email", "email: duplicated in batch")
+    checked = materialize(checked.drop("zip_ok", "city_ok", "state_ok", "_email_free"))
     ok = checked.filter(F.size("errors") == 0)
     casts = {
         "first_name": strip_python("new_first_name"),
         "last_name": strip_python("new_last_name"),
-        "email": F.trim("new_email"),
+        "email": F.col("new_email"),
         "phone": F.when(F.trim("new_phone") == "", F.lit("")).otherwise(digits_only_phone("new_phone")),
-        "zip_code_prefix": F.trim(F.col("new_zip_code_prefix").cast("string")).cast("int"),
+        "zip_code_prefix": strip_python(F.col("new_zip_code_prefix").cast("string")).try_cast("int"),
         "city": F.col("new_city"),
         "state": F.col("new_state"),
         "address_line1": F.col("new_address_line1"),
@@ -295,12 +288,13 @@ def refresh_customer_stats(t: Tables, customer_ids: DataFrame | None = None,
 
 # ----------------------------------------------------------------------------------- orders
 def update_order_status(t: Tables, changes: DataFrame, as_of: dt.datetime) -> dict:
-    """U9 + U10: apply status changes (the last one per order, by ``seq``).
+    """U9 + U10: apply status changes, per order in the order of ``seq``.
 
-    approved / shipped / delivered stamp their timestamp column with ``as_of``. An order
-    moving into ``cancelled`` gives its line quantities back to the (product, seller) stock
-    row; an order already cancelled restores nothing. Customer statistics of the touched
-    customers are recomputed. No transition order is enforced (as in the shop).
+    The last status of an order stands. Every approved / shipped / delivered among its
+    changes stamps its timestamp column with ``as_of``. Whenever the changes enter
+    ``cancelled`` from another status, the order's line quantities go back to the (product,
+    seller) stock rows; a repeated cancel restores nothing. Customer statistics of the
+    touched customers are recomputed. No transition order is enforced (as in the shop).
     """
     if "seq" not in changes.columns:
         changes = changes.withColumn("seq", F.lit(0))
@@ -308,24 +302,26 @@ def update_order_status(t: Tables, changes: DataFrame, as_of: dt.datetime) -> di
     bad = _rejects(checked, "order_id")
     ok = checked.filter(F.size("errors") == 0).drop("errors")
     found, missing = qa.split_existing(ok, t.orders, "order_id")
-    last = found.groupBy("order_id").agg(
-        F.max_by("new_status", F.struct("seq", "new_status")).alias("_new"))
+    steps = materialize(row_numbers(found.select("order_id", "new_status", "seq"), "_n", ["seq", "new_status"], ["order_id"]))
+    earlier = steps.select("order_id", (F.col("_n") + 1).alias("_n"), F.col("new_status").alias("_from"))
+    steps = steps.join(earlier, ["order_id", "_n"], "left").join(
+        t.orders.select("order_id", F.col("order_status").alias("_stored")), "order_id")
+    enters = (F.col("new_status") == K.CANCELLED) & (F.coalesce("_from", "_stored", F.lit("")) != K.CANCELLED)
+    per_order = materialize(steps.groupBy("order_id").agg(
+        F.max_by("new_status", "_n").alias("_new"), F.sum(enters.cast("int")).alias("_cancels"),
+        *[F.bool_or(F.col("new_status") == s).alias(f"_did_{s}") for s in K.STATUS_STAMP_COLUMNS]))
     ts = _ts(as_of)
-    j = t.orders.join(last, "order_id", "left")
-    new = F.col("_new")
-    cols = []
-    for c in t.orders.columns:
-        if c == "order_status":
-            cols.append(F.coalesce(new, F.col(c)).alias(c))
-        elif c in K.STATUS_STAMP_COLUMNS.values():
-            status = [s for s, col in K.STATUS_STAMP_COLUMNS.items() if col == c][0]
-            cols.append(F.when(new == status, ts).otherwise(F.col(c)).alias(c))
-        else:
-            cols.append(F.col(c))
-    orders = j.select(*cols)
-    into_cancel = j.filter((new == K.CANCELLED) & (F.col("order_status") != K.CANCELLED)).select("order_id")
-    stock = restore_stock(t, into_cancel, as_of)
-    touched = t.orders.join(last, "order_id", "left_semi").select("customer_id")
+    j = t.orders.join(per_order, "order_id", "left")
+    stamps = {col: s for s, col in K.STATUS_STAMP_COLUMNS.items()}
+    orders = j.select(*[
+        F.coalesce("_new", F.col(c)).alias(c) if c == "order_status"
+        else F.when(F.col(f"_did_{stamps[c]}"), ts).otherwise(F.col(c)).alias(c) if c in stamps
+        else F.col(c)
+        for c in t.orders.columns
+    ])
+    cancels = per_order.filter("_cancels > 0").select("order_id", F.col("_cancels").alias("times"))
+    stock = restore_stock(t, cancels, as_of)
+    touched = t.orders.join(per_order.select("order_id"), "order_id", "left_semi").select("customer_id")
     t2 = t.with_tables(orders=orders, stock=stock)
     customers = refresh_customer_stats(t2, touched)
     rejects = bad.unionByName(missing.select(F.col("order_id").alias("key"), "errors"))
@@ -333,12 +329,15 @@ def update_order_status(t: Tables, changes: DataFrame, as_of: dt.datetime) -> di
 
 
 def restore_stock(t: Tables, cancelled_orders: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Add the line quantities of the cancelled orders back to the stock row of the
-    same (product, seller); all lines on one stock row are summed."""
+    """Add the line quantities of the cancelled orders (order_id and, optionally, how
+    many ``times``) back to the stock row of the same (product, seller); all lines on one
+    stock row are summed."""
+    if "times" not in cancelled_orders.columns:
+        cancelled_orders = cancelled_orders.select("order_id").distinct().withColumn("times", F.lit(1))
     back = (
-        t.order_items.join(cancelled_orders.select("order_id").distinct(), "order_id", "left_semi")
+        t.order_items.join(cancelled_orders.select("order_id", "times"), "order_id")
         .groupBy("product_id", "seller_id")
-        .agg(F.sum(F.coalesce("quantity", F.lit(K.DEFAULT_QUANTITY))).cast("int").alias("_back"))
+        .agg(F.sum(F.coalesce("quantity", F.lit(K.DEFAULT_QUANTITY)) * F.col("times")).cast("int").alias("_back"))
     )
     j = t.stock.join(back, ["product_id", "seller_id"], "left")
     hit = F.col("_back").isNotNull()
@@ -360,7 +359,9 @@ def update_stock(t: Tables, changes: DataFrame, as_of: dt.datetime) -> dict:
     j = cur.join(found.alias("c"), "stock_id", "inner")
 
     def num(c):
-        return F.coalesce(F.col(f"c.new_{c}").cast("int"), F.col(f"s.{c}"))
+        return F.coalesce(strip_python(F.col(f"c.new_{c}").cast("string")).try_cast("int"), F.col(f"s.{c}"))
+
+    numbers = ("quantity_in_stock", "quantity_reserved", "min_stock_level", "reorder_point")
 
     def txt(c):
         v = strip_python(F.col(f"c.new_{c}"))
@@ -372,13 +373,14 @@ def update_stock(t: Tables, changes: DataFrame, as_of: dt.datetime) -> dict:
         F.col("s.product_id").alias("product_id"),
         num("quantity_in_stock").alias("quantity_in_stock"),
         num("quantity_reserved").alias("quantity_reserved"),
-        (num("quantity_in_stock") - num("quantity_reserved")).alias("quantity_available"),
+        (num("quantity_in_stock").cast("bigint") - num("quantity_reserved")).alias("quantity_available"),
         num("min_stock_level").alias("min_stock_level"),
         num("reorder_point").alias("reorder_point"),
         _ts(as_of).alias("last_updated"),
         txt("warehouse_location").alias("warehouse_location"),
         txt("stock_condition").alias("stock_condition"),
         (txt("seller_id") != F.col("s.seller_id")).alias("_moved"),
+        *[qa.integer_or_null(f"c.new_{c}").alias(f"_ok_{c}") for c in numbers],
     )
     # The (seller, product) pair is unique: a moved row must not land on another row's pair,
     # nor on a pair another change in the batch moves to.
@@ -398,9 +400,11 @@ def update_stock(t: Tables, changes: DataFrame, as_of: dt.datetime) -> dict:
     )
     upd = upd.join(clash, "stock_id", "left")
     checked = qa.check(upd, [
+        *[qa.Rule(f"{c}: must be an integer", F.col(f"_ok_{c}")) for c in numbers],
+        qa.Rule("quantity_available: too large", F.col("quantity_available") < 2_147_483_648),
         qa.Rule("quantity_available: negative (stock < reserved)", F.col("quantity_available") >= 0),
         qa.Rule("seller_id: the seller already stocks this product", F.col("_clash").isNull()),
-    ]).drop("_clash", "_moved")
+    ]).drop("_clash", "_moved", *[f"_ok_{c}" for c in numbers])
     ok = checked.filter(F.size("errors") == 0).drop("errors")
     stock = t.stock.join(ok.select("stock_id"), "stock_id", "left_anti").unionByName(_conform(ok, t.stock))
     rejects = _rejects(checked, "stock_id").unionByName(
@@ -411,19 +415,18 @@ def update_stock(t: Tables, changes: DataFrame, as_of: dt.datetime) -> dict:
 # ---------------------------------------------------------------------------------- reviews
 def add_reviews(t: Tables, batch: DataFrame, as_of: dt.datetime) -> dict:
     """Validate (V10, V11), number (REVIEW_, width 6) in order-id order, append."""
-    checked = qa.review_batch_check(batch, t.orders, t.order_reviews)
+    checked = materialize(qa.review_batch_check(batch, t.orders, t.order_reviews))
     valid = checked.filter(F.size("errors") == 0).drop("errors")
     prefix, width = K.ID_FORMATS["review_id"]
     clean = valid.select(
         "order_id",
-        F.trim(F.col("review_score").cast("string")).cast("int").alias("review_score"),
+        strip_python(F.col("review_score").cast("string")).try_cast("int").alias("review_score"),
         blank_to_null_stripped("review_comment_title").alias("review_comment_title"),
         blank_to_null_stripped("review_comment_message").alias("review_comment_message"),
         _ts(as_of).alias("review_creation_date"),
     )
     onum = id_number("order_id", K.ID_FORMATS["order_id"][0])
-    numbered = assign_ids(clean, t.order_reviews, "review_id", prefix, width, [onum, "order_id"],
-                          bucket_by=onum)
+    numbered = assign_ids(clean, t.order_reviews, "review_id", prefix, width, [onum, "order_id"])
     new_rows = _conform(numbered, t.order_reviews)
     return {"order_reviews": t.order_reviews.unionByName(new_rows), "new_reviews": new_rows,
             "rejects": checked.filter(F.size("errors") > 0)}
@@ -445,7 +448,7 @@ def update_reviews(t: Tables, changes: DataFrame) -> dict:
     j = t.order_reviews.join(ok.select("review_id", *[f"new_{c}" for c in (
         "review_score", "review_comment_title", "review_comment_message")]), "review_id", "left")
     reviews = j.select(*[
-        F.coalesce(F.trim(F.col("new_review_score").cast("string")).cast("int"), F.col(c)).alias(c)
+        F.coalesce(strip_python(F.col("new_review_score").cast("string")).try_cast("int"), F.col(c)).alias(c)
         if c == "review_score" else text(c).alias(c) if c in ("review_comment_title", "review_comment_message")
         else F.col(c)
         for c in t.order_reviews.columns

@@ -2,19 +2,18 @@
 
 A window ``PARTITION BY g ORDER BY o`` puts each group in one task, so a group holding a
 third of the data becomes a third of the job in a single task. ``running_sum`` instead
-cuts every group into pieces along a numeric leading order key (``bucket_by``):
-
-1. per group, ``count``, ``min`` and ``max`` of the key (a partial aggregate);
-2. piece = the row's equal-width bucket of the key within its group, with about
-   ``rows_per_piece`` rows per bucket on average (order-preserving: a later row never
-   gets an earlier piece);
-3. running sums inside each (group, piece) - a window over a bounded partition;
-4. piece totals -> per-group running offsets over the pieces (one row per piece);
-5. result = offset of the piece + local running sum.
-
-The piece is a pure function of the row and of deterministic aggregates, so any
-recomputation (a second consumer of the same rows, a task retried after an executor
-loss) assigns the same piece. The order must be total (ties broken by a key).
+range-partitions the rows on the group and the *whole* order key, at boundaries that Spark
+takes from the data, into pieces of about ``rows_per_piece`` rows:
+
+1. the sorted pieces are written to a checkpoint, which fixes the partitioning: a retried
+   task can't move a row to another piece;
+2. running sums inside each (piece, group), a window over a bounded partition;
+3. sums per (piece, group), and per group their running offsets over the pieces (one row
+   per piece);
+4. result = offset of the piece + local running sum.
+
+Only rows that agree in the whole order key can't be separated, and the order must be total
+(ties broken by a key). Inputs of at most one piece are bounded, so they use a plain window.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from boutique.functions.ids import format_id, id_number
 from boutique.session import materialize
 
-_PIECE = "_piece"
+_PLACE, _PIECE = "_place", "_piece"
 ROWS_PER_PIECE_CONF = "boutique.rowsPerPiece"
 DEFAULT_ROWS_PER_PIECE = 1_000_000
 
@@ -42,27 +41,14 @@ def rows_per_piece(df: DataFrame, given: int | None = None) -> int:
     return int(df.sparkSession.conf.get(ROWS_PER_PIECE_CONF, str(DEFAULT_ROWS_PER_PIECE)))
 
 
-def with_pieces(
-    df: DataFrame, partition_by: Sequence[str], bucket_by: Column | None, per_piece: int
-) -> DataFrame:
-    """Add ``_piece``: an order-preserving bucket of ``bucket_by`` within each group."""
-    if bucket_by is None:
-        return df.withColumn(_PIECE, F.lit(0).cast("bigint"))
-    d = df.withColumn("_bk", bucket_by.cast("double"))
-    stats_aggs = [F.count(F.lit(1)).alias("_n"), F.min("_bk").alias("_mn"), F.max("_bk").alias("_mx")]
-    if partition_by:
-        stats = d.groupBy(*partition_by).agg(*stats_aggs)
-        d = d.join(stats, list(partition_by), "inner")
-        n, mn, mx = F.col("_n"), F.col("_mn"), F.col("_mx")
-    else:
-        st = d.agg(F.struct(*stats_aggs).alias("_st")).scalar()
-        n, mn, mx = st.getField("_n"), st.getField("_mn"), st.getField("_mx")
-    nb = F.ceil(n / F.lit(per_piece))
-    piece = F.when((nb <= 1) | (mx <= mn), F.lit(0)).otherwise(
-        F.least(nb - 1, F.floor((F.col("_bk") - mn) / (mx - mn) * nb))
-    )
-    out = d.withColumn(_PIECE, F.coalesce(piece.cast("bigint"), F.lit(0).cast("bigint")))
-    return out.drop("_bk", "_n", "_mn", "_mx")
+def with_pieces(df: DataFrame, keys: Sequence[str | Column], rows: int, per_piece: int) -> DataFrame:
+    """Rows with ``_piece`` and ``_place``, both ascending along ``keys``; materialized."""
+    cols = [_col(k) for k in keys]
+    pieces = max(1, -(-rows // per_piece))
+    placed = df.repartitionByRange(pieces, *cols).sortWithinPartitions(*cols).withColumn(
+        _PLACE, F.monotonically_increasing_id())
+    # The upper bits of the id are the number of the partition.
+    return materialize(placed).withColumn(_PIECE, F.shiftright(_PLACE, 33))
 
 
 def running_sum(
@@ -71,23 +57,29 @@ def running_sum(
     order_by: Sequence[str | Column],
     partition_by: Sequence[str] = (),
     inclusive: bool = True,
-    bucket_by: str | Column | None = None,
     per_piece: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add one running-sum column per ``values`` entry (name -> value expression).
 
-    ``order_by`` must be a total order inside each group; ``bucket_by`` is a numeric
-    expression that never decreases along that order (for a descending key pass its
-    negation). Without ``bucket_by`` each group is one piece (a plain window). Group keys
-    must not be null (groups are matched to their piece offsets by equality).
-    ``inclusive=False`` gives the sum of the rows strictly before each row.
+    ``order_by`` must be a total order inside each group. Group keys must not be null (groups
+    are matched to their piece offsets by equality). ``inclusive=False`` gives the sum of the
+    rows strictly before each row. ``rows``: the number of rows, where the caller knows it and
+    has materialized ``df``; otherwise both are done here.
     """
     order = [_col(c) for c in order_by]
-    bk = _col(bucket_by) if bucket_by is not None else None
     vals = {f"_v_{k}": _col(v) for k, v in values.items()}
-    d = with_pieces(df.withColumns(vals), partition_by, bk, rows_per_piece(df, per_piece))
+    per_piece = rows_per_piece(df, per_piece)
+    d = df.withColumns(vals)
+    if rows is None:
+        d = materialize(d)
+        rows = d.count()
     frame = (Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    w_local = Window.partitionBy(*partition_by, _PIECE).orderBy(*order).rowsBetween(*frame)
+    if rows <= per_piece:
+        w = Window.partitionBy(*partition_by).orderBy(*order).rowsBetween(*frame)
+        return d.withColumns({k: F.coalesce(F.sum(f"_v_{k}").over(w), F.lit(0)) for k in values}).drop(*vals)
+    d = with_pieces(d, [*partition_by, *order], rows, per_piece)
+    w_local = Window.partitionBy(*partition_by, _PIECE).orderBy(_PLACE).rowsBetween(*frame)
     local = d.withColumns(
         {f"_l_{k}": F.coalesce(F.sum(f"_v_{k}").over(w_local), F.lit(0)) for k in values}
     )
@@ -103,16 +95,16 @@ def running_sum(
     )
     out = local.join(offsets, [*partition_by, _PIECE], "inner")
     out = out.withColumns({k: F.col(f"_o_{k}") + F.col(f"_l_{k}") for k in values})
-    drop = [_PIECE] + [f"_{p}_{k}" for k in values for p in ("v", "l", "o")]
+    drop = [_PIECE, _PLACE] + [f"_{p}_{k}" for k in values for p in ("v", "l", "o")]
     return out.drop(*drop)
 
 
 def row_numbers(
     df: DataFrame, out: str, order_by: Sequence[str | Column], partition_by: Sequence[str] = (),
-    bucket_by: str | Column | None = None, per_piece: int | None = None,
+    per_piece: int | None = None, rows: int | None = None,
 ) -> DataFrame:
     """1-based row number per group in a total order, without a one-task-per-group window."""
-    r = running_sum(df, {out: F.lit(1)}, order_by, partition_by, True, bucket_by, per_piece)
+    r = running_sum(df, {out: F.lit(1)}, order_by, partition_by, True, per_piece, rows)
     return r.withColumn(out, F.col(out).cast("bigint"))
 
 
@@ -130,7 +122,6 @@ def assign_ids(
     prefix: str,
     width: int,
     order_by: Sequence[str | Column],
-    bucket_by: str | Column | None = None,
     per_piece: int | None = None,
 ) -> DataFrame:
     """Give ``new_rows`` ids ``prefix + (max existing + 1 ..)`` in ``order_by`` order.
@@ -139,6 +130,6 @@ def assign_ids(
     than once, and ids must not be recomputed after they have been handed out.
     """
     base = max_id_number(existing, column, prefix)
-    numbered = row_numbers(new_rows, "_seq", order_by, (), bucket_by, per_piece)
+    numbered = row_numbers(new_rows, "_seq", order_by, (), per_piece)
     return materialize(
         numbered.withColumn(column, format_id(prefix, width, base + F.col("_seq"))).drop("_seq"))

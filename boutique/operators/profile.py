@@ -99,8 +99,8 @@ def describe(wide: DataFrame, numeric=NUMERIC, datetime=DATETIME, pieces: int |
         F.min("x").alias("mnu"),
         F.max("x").alias("mxu"),
     ).withColumn("sc", scale_of[F.col("c")])
-    cum = running_sum(hist, {"ce": F.col("cnt")}, ["x"], ["c"], inclusive=True, bucket_by="x",
-                      per_piece=pieces)
+    cum = running_sum(hist, {"ce": F.col("cnt")}, ["x"], ["c"], inclusive=True,
+                      per_piece=pieces, rows=hist.count())
     cum = materialize(cum.withColumn("cb", F.col("ce") - F.col("cnt")))
 
     # Target ranks: for each column and quantile the two order statistics around p*(n-1).

@@ -41,6 +41,23 @@ def positive_number(col: str) -> Column:
     return F.coalesce((v > 0) & ~F.isnan(v), F.lit(False))
 
 
+def storable_money(col: str) -> Column:
+    """Not a number, or one that a money column holds (below 10**8)."""
+    v = _s(col).try_cast("double")
+    return F.coalesce(F.abs(v) < 99_999_999.99, F.lit(True))
+
+
+def storable_int(col: str) -> Column:
+    """Not a number, or one that an integer column holds."""
+    v = _s(col).try_cast("double")
+    return F.coalesce(F.abs(v) < 2_147_483_647.0, F.lit(True))
+
+
+def integer_or_null(col: str) -> Column:
+    """Null, or parses as a 32-bit integer."""
+    return F.col(col).isNull() | strip_python(_s(col)).try_cast("int").isNotNull()
+
+
 def non_negative_int(col: str) -> Column:
     """V3: parses as an integer and is >= 0."""
     return F.coalesce(strip_python(_s(col)).try_cast("bigint") >= 0, F.lit(False))
@@ -117,6 +134,20 @@ def with_unique_flag(df: DataFrame, key: str, flag: str) -> DataFrame:
     ).drop("_kn")
 
 
+def check_unique(checked: DataFrame, key: str, message: str, seq: str | None = "seq") -> DataFrame:
+    """Among the rows without errors so far, keys must be unique: with a batch sequence
+    (column ``seq``, if there is one) the first valid row of a key stands and the later ones
+    get ``message``; without, all of them do. Invalid rows don't count."""
+    ordered = seq is not None and seq in checked.columns
+    valid = F.size("errors") == 0
+    keys = checked.filter(valid & F.col(key).isNotNull()).groupBy(key).agg(
+        F.count(F.lit(1)).alias("_kn"), (F.min(seq) if ordered else F.lit(None)).alias("_first"))
+    stands = (F.col("_kn") == 1) | (F.col(seq) == F.col("_first")) if ordered else F.col("_kn") == 1
+    return checked.join(keys, key, "left").withColumn(
+        "errors", F.when(valid & ~F.coalesce(stands, F.lit(True)), F.array(F.lit(message))).otherwise(F.col("errors"))
+    ).drop("_kn", "_first")
+
+
 def with_absent_flag(df: DataFrame, table: DataFrame, key: str, flag: str,
                      table_key: str | None = None, normalise=None) -> DataFrame:
     """Add ``flag`` = the key is not present in ``table`` (an anti-membership via left join
@@ -131,9 +162,9 @@ def with_absent_flag(df: DataFrame, table: DataFrame, key: str, flag: str,
 # ---- rule sets of the shop ----------------------------------------------------------------
 def customer_batch_check(batch: DataFrame, customers: DataFrame, geolocation: DataFrame) -> DataFrame:
     """V1, V5-V9 for customer rows about to be added (the shop's add/register checks)."""
-    b = geo_flags(batch, geolocation)
-    b = with_absent_flag(b, customers, "email", "_email_new", normalise=F.trim)
-    b = with_unique_flag(b, "email", "_email_once")
+    # One stripped email is validated, compared and stored.
+    b = geo_flags(batch.withColumn("email", strip_python("email")), geolocation)
+    b = with_absent_flag(b, customers, "email", "_email_new", normalise=strip_python)
     rules = [
         Rule("first_name: must not be empty", non_empty("first_name")),
         Rule("last_name: must not be empty", non_empty("last_name")),
@@ -144,12 +175,10 @@ def customer_batch_check(batch: DataFrame, customers: DataFrame, geolocation: Da
         Rule("city: unknown", F.col("city_ok")),
         Rule("state: unknown", F.col("state_ok")),
         Rule("email: already registered", F.col("_email_new")),
-        Rule("email: duplicated in batch", F.col("_email_once")),
     ]
-    out = check(b, rules)
-    return out.drop("zip_ok", "city_ok", "state_ok", "_email_new", "_email_once").withColumn(
-        "email", F.trim("email")
-    ).withColumn("phone", F.when(F.trim("phone") == "", F.lit("")).otherwise(digits_only_phone("phone")))
+    out = check_unique(check(b, rules), "email", "email: duplicated in batch")
+    return out.drop("zip_ok", "city_ok", "state_ok", "_email_new").withColumn(
+        "phone", F.when(F.trim("phone") == "", F.lit("")).otherwise(digits_only_phone("phone")))
 
 
 def customer_table_check(customers: DataFrame, geolocation: DataFrame) -> DataFrame:
@@ -179,7 +208,9 @@ def product_rules(as_of_year: int) -> list[Rule]:
         Rule("product_esrb_rating: must not be empty", non_empty("product_esrb_rating")),
         Rule("product_release_year: out of range", valid_year("product_release_year", as_of_year)),
         Rule("product_price: must be > 0", positive_number("product_price")),
+        Rule("product_price: too large", storable_money("product_price")),
         Rule("product_weight_g: must be > 0", positive_number("product_weight_g")),
+        Rule("product_weight_g: too large", storable_int("product_weight_g")),
     ]
 
 
@@ -187,14 +218,13 @@ def review_batch_check(batch: DataFrame, orders: DataFrame, reviews: DataFrame)
     """Score 1..5; the order exists; no review yet; one per order in the batch."""
     b = with_absent_flag(batch, orders, "order_id", "_no_order")
     b = with_absent_flag(b, reviews, "order_id", "_not_reviewed")
-    b = with_unique_flag(b, "order_id", "_once")
     rules = [
         Rule("order_id: unknown order", ~F.col("_no_order")),
         Rule("order_id: already reviewed", F.col("_not_reviewed")),
-        Rule("order_id: duplicated in batch", F.col("_once")),
         Rule("review_score: integer from 1 to 5", valid_score("review_score")),
     ]
-    return check(b, rules).drop("_no_order", "_not_reviewed", "_once")
+    checked = check_unique(check(b, rules), "order_id", "order_id: duplicated in batch")
+    return checked.drop("_no_order", "_not_reviewed")
 
 
 def stock_check(stock: DataFrame) -> DataFrame:

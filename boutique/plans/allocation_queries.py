@@ -24,18 +24,28 @@ def _cart_customers(t, carts):
     )
 
 
+# Admission as the shop runs it: cart after cart, each against what the admitted ones left.
 _LINES = f"""
 carts AS ({carts_sql(ALLOC_FACTOR)}),
-lines AS (SELECT * FROM carts WHERE qty > 0 AND product_id IN (SELECT product_id FROM c_products)),
-supply_tot AS (SELECT product_id, sum(greatest(quantity_available, 0)) AS supply FROM c_stock GROUP BY 1),
-verdict AS (
-  SELECT p.cart_id, bool_and(p.d1 <= coalesce(s.supply, 0)) AS admitted
-  FROM (SELECT *, sum(qty) OVER (PARTITION BY product_id ORDER BY cart_id) AS d1 FROM lines) p
-  LEFT JOIN supply_tot s ON s.product_id = p.product_id
-  GROUP BY p.cart_id),
+lines AS (SELECT * FROM carts WHERE qty > 0),
+supply_tot AS (SELECT product_id, sum(quantity_available) AS supply FROM c_stock GROUP BY 1),
+in_order AS (
+  SELECT cart_id, row_number() OVER (ORDER BY cart_id) AS k,
+         list({{'p': l.product_id, 'q': l.qty::BIGINT, 's': coalesce(s.supply, 0)::BIGINT}}) AS items
+  FROM lines l LEFT JOIN supply_tot s ON s.product_id = l.product_id GROUP BY cart_id),
+serial(k, cart_id, admitted, taken) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, NULL::BOOLEAN, []::STRUCT(p VARCHAR, q BIGINT, s BIGINT)[]
+  UNION ALL
+  SELECT k, cart_id, ok, CASE WHEN ok THEN list_concat(taken, items) ELSE taken END
+  FROM (SELECT o.k, o.cart_id, o.items, r.taken,
+          len(list_filter(o.items, lambda i: i.q + coalesce(list_sum(list_transform(
+            list_filter(r.taken, lambda t: t.p = i.p), lambda t: t.q)), 0) > i.s)) = 0 AS ok
+        FROM serial r JOIN in_order o ON o.k = r.k + 1)),
+verdict AS (SELECT cart_id, admitted FROM serial WHERE k > 0),
 dem AS (
   SELECT l.*, sum(l.qty) OVER (PARTITION BY l.product_id ORDER BY l.cart_id) - l.qty AS d0
-  FROM lines l JOIN verdict v ON v.cart_id = l.cart_id WHERE v.admitted),
+  FROM lines l JOIN verdict v ON v.cart_id = l.cart_id
+  WHERE v.admitted AND l.product_id IN (SELECT product_id FROM c_products)),
 sup AS (
   SELECT stock_id, seller_id, product_id, quantity_available,
          sum(quantity_available) OVER (PARTITION BY product_id ORDER BY quantity_available DESC, stock_id
@@ -49,21 +59,19 @@ alloc AS (
     ON s.product_id = d.product_id AND s.s0 < d.d0 + d.qty AND d.d0 < s.s0 + s.quantity_available)"""
 
 
-@register("cart_verdicts", W(f"WITH {_LINES}\nSELECT * FROM verdict"))
+@register("cart_verdicts", W(f"WITH RECURSIVE {_LINES}\nSELECT * FROM verdict"))
 def q_cart_verdicts(t):
     """Batch admission of the purchase carts (all-or-nothing, cart order)."""
-    lines = normalise_carts(t.carts(ALLOC_FACTOR)).join(
-        t.products.select("product_id"), "product_id", "left_semi")
-    return al.admit_carts(lines, t.stock)
+    return al.admit_carts(normalise_carts(t.carts(ALLOC_FACTOR)), t.stock)
 
 
-@register("batch_allocation", W(f"WITH {_LINES}\nSELECT * FROM alloc"))
+@register("batch_allocation", W(f"WITH RECURSIVE {_LINES}\nSELECT * FROM alloc"))
 def q_batch_allocation(t):
     """Admitted cart lines split over stock rows (interval overlap)."""
-    lines = normalise_carts(t.carts(ALLOC_FACTOR)).join(
-        t.products.select("product_id"), "product_id", "left_semi")
+    lines = normalise_carts(t.carts(ALLOC_FACTOR))
     verdict = al.admit_carts(lines, t.stock)
-    ok = lines.join(verdict.filter("admitted"), "cart_id", "left_semi")
+    ok = lines.join(verdict.filter("admitted"), "cart_id", "left_semi").join(
+        t.products.select("product_id"), "product_id", "left_semi")
     return al.allocate(ok, t.stock)
 
 
@@ -97,7 +105,7 @@ placed AS (
 
 
 @register("order_placement", W(f"""
-WITH {_LINES},{_PLACED}
+WITH RECURSIVE {_LINES},{_PLACED}
 SELECT p.order_id,
        CAST(row_number() OVER (PARTITION BY a.cart_id
              ORDER BY CAST(NULLIF(regexp_extract(a.product_id, 'PROD_(\\d+)', 1), '') AS BIGINT), a.product_id, a.s_rank) AS INTEGER) AS order_item_id,
@@ -113,7 +121,7 @@ def q_order_placement(t):
 
 
 @register("placed_orders", W(f"""
-WITH {_LINES},{_PLACED}
+WITH RECURSIVE {_LINES},{_PLACED}
 SELECT p.order_id, printf('CUST_%06d', p.cart_id) AS customer_id, 'created' AS order_status,
        TIMESTAMP '2024-06-01 12:00:00' AS order_purchase_timestamp,
        CAST(NULL AS TIMESTAMP) AS order_approved_at, CAST(NULL AS TIMESTAMP) AS order_delivered_carrier_date,
@@ -125,7 +133,7 @@ def q_placed_orders(t):
 
 
 @register("stock_after_placement", W(f"""
-WITH {_LINES},
+WITH RECURSIVE {_LINES},
 taken AS (SELECT stock_id, CAST(sum(take) AS INTEGER) AS tk FROM alloc GROUP BY stock_id)
 SELECT s.stock_id, s.seller_id, s.product_id, s.quantity_in_stock, s.quantity_reserved,
        s.quantity_available - coalesce(k.tk, 0) AS quantity_available,
@@ -139,7 +147,7 @@ def q_stock_after_placement(t):
 
 
 @register("placement_customer_stats", W(f"""
-WITH {_LINES},{_PLACED},
+WITH RECURSIVE {_LINES},{_PLACED},
 new_items AS (
   SELECT p.order_id, CAST(pr.product_price AS DECIMAL(10,2)) AS price, a.take AS quantity,
          CAST(4.99 AS DECIMAL(10,2)) AS freight_value

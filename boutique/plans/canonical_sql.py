@@ -143,6 +143,8 @@ def with_canonical(body: str, extra: dict[str, str] | None = None) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({defs[n]}\n)" for n in needed)
     stripped = body.lstrip()
+    if re.match(r"(?i)WITH RECURSIVE\s", stripped):
+        return f"WITH RECURSIVE {ctes},\n{stripped[len('WITH RECURSIVE '):]}"
     if re.match(r"(?i)WITH\s", stripped):
         return f"WITH {ctes},\n{stripped[5:]}"
     return f"WITH {ctes}\n{body}"

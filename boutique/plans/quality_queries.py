@@ -136,6 +136,18 @@ def q_dq_foreign_keys(t):
     return qa.foreign_key_report(_tables(t))
 
 
+# Customers deleted without their orders: every order of theirs loses its parent.
+_BEREFT = "c_kept AS (SELECT * FROM c_customers WHERE customer_id NOT IN (SELECT printf('CUST_%06d', c_custkey) FROM customer WHERE c_acctbal < 0))"
+
+
+@register("dq_foreign_keys_orphans", W(f"WITH {_BEREFT}\n" + _fk_sql().replace("c_customers p", "c_kept p")))
+def q_dq_foreign_keys_orphans(t):
+    """V14 with orphans: customers with a negative balance are gone, their orders stayed."""
+    gone = t.adapter.raw("customer").filter("c_acctbal < 0").select(F.format_string("CUST_%06d", "c_custkey").alias("customer_id"))
+    kept = t.customers.join(gone, "customer_id", "left_anti")
+    return qa.foreign_key_report(_tables(t.with_tables(customers=kept)))
+
+
 _STOCK_AFTER = aq._LINES + """,
 taken AS (SELECT stock_id, CAST(sum(take) AS INTEGER) AS tk FROM alloc GROUP BY stock_id),
 st AS (SELECT s.stock_id, s.quantity_in_stock, s.quantity_reserved,
@@ -144,7 +156,7 @@ st AS (SELECT s.stock_id, s.quantity_in_stock, s.quantity_reserved,
 
 
 @register("dq_stock", W(f"""
-WITH {_STOCK_AFTER}
+WITH RECURSIVE {_STOCK_AFTER}
 SELECT stock_id,
        concat_ws('; ', CASE WHEN NOT coalesce(quantity_available = quantity_in_stock - quantity_reserved
                                               AND quantity_available >= 0, false)
@@ -192,15 +204,18 @@ chk AS (
   SELECT b.*,
          b.order_id IN (SELECT order_id FROM c_orders) AS has_order,
          b.order_id NOT IN (SELECT order_id FROM c_order_reviews) AS not_reviewed,
-         count(*) OVER (PARTITION BY b.order_id) = 1 AS once
-  FROM b)
+         coalesce(review_score BETWEEN 1 AND 5, false) AS score_ok
+  FROM b),
+once AS (SELECT *, NOT (has_order AND not_reviewed AND score_ok)
+                   OR count(*) FILTER (WHERE has_order AND not_reviewed AND score_ok) OVER (PARTITION BY order_id) = 1 AS once
+         FROM chk)
 SELECT order_id, review_score,
        concat_ws('; ',
          CASE WHEN NOT has_order THEN 'order_id: unknown order' END,
          CASE WHEN NOT not_reviewed THEN 'order_id: already reviewed' END,
-         CASE WHEN NOT once THEN 'order_id: duplicated in batch' END,
-         CASE WHEN NOT coalesce(review_score BETWEEN 1 AND 5, false) THEN 'review_score: integer from 1 to 5' END) AS errors
-FROM chk"""))
+         CASE WHEN NOT score_ok THEN 'review_score: integer from 1 to 5' END,
+         CASE WHEN NOT once THEN 'order_id: duplicated in batch' END) AS errors
+FROM once"""))
 def q_dq_reviews(t):
     """V10, V11 over a batch of review proposals."""
     chk = qa.review_batch_check(review_batch(t), t.orders, t.order_reviews)

@@ -18,6 +18,7 @@ def normalise_carts(carts: DataFrame) -> DataFrame:
     """One row per (cart, product) with the quantities added; non-positive lines dropped."""
     return (
         carts.groupBy("cart_id", "product_id")
-        .agg(F.sum("qty").cast("int").alias("qty"))
+        # More than an integer holds is more than any stock: clamped, not an error.
+        .agg(F.least(F.sum(F.col("qty").cast("bigint")), F.lit(2_147_483_647).cast("bigint")).cast("int").alias("qty"))
         .filter(F.col("qty") > 0)
     )

@@ -23,26 +23,22 @@ def serial_greedy(stock_rows, qty):
     return out
 
 
-def batch_reference(stock_rows, carts):
-    """Batch rule: admitted if every line's cumulative demand (all earlier carts) fits;
-    then admitted carts served in cart order from one fixed stock order."""
-    supply = sum(max(a, 0) for _, a in stock_rows)
-    cum, admitted = 0, []
-    for cid, q in carts:
-        cum += q
-        if cum <= supply:
-            admitted.append((cid, q))
-    order = [(s, a) for s, a in sorted(stock_rows, key=lambda r: (-r[1], r[0])) if a > 0]
-    out, i, left = {}, 0, [a for _, a in order]
-    for cid, q in admitted:
-        while q > 0:
-            use = min(left[i], q)
-            out[(cid, order[i][0])] = out.get((cid, order[i][0]), 0) + use
-            left[i] -= use
-            q -= use
-            if left[i] == 0:
-                i += 1
-    return {c for c, _ in admitted}, out
+def serial_checkout(stock_rows, carts):
+    """The shop's loop: cart after cart, {product: qty} each, against the current stock
+    (stock id, product, available): all lines must fit, then largest available first."""
+    available = {s: a for s, _, a in stock_rows}
+    admitted, taken = {}, {}
+    for cid, cart in carts:
+        total = lambda p: sum(available[s] for s, q, _ in stock_rows if q == p)
+        admitted[cid] = all(total(p) >= q for p, q in cart.items())
+        if admitted[cid]:
+            for p, q in cart.items():
+                for s, _, _ in sorted((r for r in stock_rows if r[1] == p), key=lambda r: (-available[r[0]], r[0])):
+                    use = max(0, min(available[s], q))
+                    available[s] -= use
+                    q -= use
+                taken[(cid, p)] = cart[p]
+    return admitted, taken, available
 
 
 stock_lists = st.lists(st.integers(min_value=0, max_value=30), min_size=1, max_size=6)
@@ -60,21 +56,34 @@ def test_snapshot_allocation_equals_loop(spark, avail, qty):
     assert sum(got.values()) == min(qty, sum(avail))
 
 
-@settings(max_examples=8, deadline=None)
-@given(avail=stock_lists, qtys=st.lists(st.integers(min_value=1, max_value=25), min_size=1, max_size=6))
-def test_batch_allocation_equals_reference(spark, avail, qtys):
-    rows = [(f"STOCK_{i:05d}", a) for i, a in enumerate(avail)]
-    carts = [(c + 1, q) for c, q in enumerate(qtys)]
-    t = tables(spark, products=[product("PROD_00001")],
-               stock=[stock(s, "PROD_00001", seller=f"SELLER_{i:04d}", avail=a) for i, (s, a) in enumerate(rows)])
-    lines = spark.createDataFrame([(c, "PROD_00001", q) for c, q in carts],
+products = st.sampled_from(["PROD_00001", "PROD_00002", "PROD_00003", "PROD_00009"])  # the last has no stock
+
+
+@settings(max_examples=10, deadline=None)
+@given(avail=st.lists(st.tuples(st.sampled_from(["PROD_00001", "PROD_00002", "PROD_00003"]), st.integers(-3, 30)), min_size=1, max_size=7),
+       carts=st.lists(st.dictionaries(products, st.integers(1, 25), min_size=1, max_size=3), min_size=1, max_size=8))
+def test_admission_equals_serial_checkout(spark, avail, carts):
+    rows = [(f"STOCK_{i:05d}", p, a) for i, (p, a) in enumerate(avail)]
+    t = tables(spark, products=[product(p) for p in ("PROD_00001", "PROD_00002", "PROD_00003")],
+               stock=[stock(s, p, seller=f"SELLER_{i:04d}", avail=a) for i, (s, p, a) in enumerate(rows)])
+    numbered = [(c + 1, cart) for c, cart in enumerate(carts)]
+    lines = spark.createDataFrame([(c, p, q) for c, cart in numbered for p, q in cart.items()],
                                   "cart_id long, product_id string, qty int")
-    verdict = {r.cart_id: r.admitted for r in al.admit_carts(lines, t.stock, pieces=2).collect()}
-    want_admitted, want = batch_reference(rows, carts)
-    assert {c for c, ok in verdict.items() if ok} == want_admitted
-    ok = lines.join(al.admit_carts(lines, t.stock, pieces=2).filter("admitted"), "cart_id", "left_semi")
-    got = {(r.cart_id, r.stock_id): r.take for r in al.allocate(ok, t.stock, pieces=2).collect()}
-    assert got == want
+    want, taken, left = serial_checkout(rows, numbered)
+    verdicts = al.admit_carts(lines, t.stock, pieces=2)
+    assert {r.cart_id: r.admitted for r in verdicts.collect()} == want
+    ok = lines.join(verdicts.filter("admitted"), "cart_id", "left_semi")
+    got = al.allocate(ok, t.stock, pieces=2).groupBy("cart_id", "product_id").sum("take").collect()
+    assert {(r.cart_id, r.product_id): r["sum(take)"] for r in got} == taken
+
+
+def test_rejected_demand_is_free_again(spark):
+    """One cart asking for too much, or for an unknown product, does not block later carts."""
+    t = tables(spark, products=[product("PROD_00001")], stock=[stock("STOCK_00001", "PROD_00001", avail=10)])
+    lines = spark.createDataFrame([(1, "PROD_00001", 1000), (2, "PROD_00001", 4), (3, "PROD_00001", 1), (3, "PROD_00077", 1), (4, "PROD_00001", 6)],
+                                  "cart_id long, product_id string, qty int")
+    got = {r.cart_id: r.admitted for r in al.admit_carts(lines, t.stock).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: True}
 
 
 def test_place_orders_and_cancel_restores_stock(spark):
@@ -144,8 +153,11 @@ def test_hot_product_many_carts(spark):
         s = sp[(sp.product_id == pid) & (sp.quantity_available > 0)].sort_values(
             ["quantity_available", "stock_id"], ascending=[False, True])
         supply = int(s.quantity_available.sum())
-        d = d.assign(d1=d.qty.cumsum())
-        d = d[d.d1 <= supply]  # one line per cart here, so the batch rule is per line
+        keep, used = [], 0  # one line per cart here: served while it fits what is left
+        for q in d.qty:
+            keep.append(used + q <= supply)
+            used += q if keep[-1] else 0
+        d = d[keep]
         d = d.assign(d1=d.qty.cumsum())
         d = d.assign(d0=d.d1 - d.qty)
         s = s.assign(s1=s.quantity_available.cumsum())

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from boutique.functions.ids import format_id, id_number, padded
-from boutique.functions.text import blank_to_null_stripped, string_order_key, strip_python
+from boutique.functions.text import blank_to_null_stripped, strip_python
 from boutique.session import cluster_settings
 
 
@@ -20,14 +20,6 @@ def test_id_number(spark):
     assert [r.n for r in df.select(id_number("s", "PROD_").alias("n")).collect()] == [42, 7, None, None]
 
 
-def test_string_order_key_is_monotone(spark):
-    words = sorted(["", "a", "ab", "abc", "abcdefgh", "abd", "b", "Zed", "zèbre", "~"])
-    df = spark.createDataFrame([(w,) for w in words], "w string")
-    rows = df.select("w", string_order_key("w").alias("k")).orderBy("w").collect()
-    keys = [r.k for r in rows]
-    assert keys == sorted(keys)
-
-
 def test_strip_and_blank(spark):
     df = spark.createDataFrame([("\t a \n",), ("",), ("  ",), (None,)], "s string")
     got = df.select(strip_python("s").alias("a"), blank_to_null_stripped("s").alias("b")).collect()
@@ -38,15 +30,3 @@ def test_cluster_settings():
     conf = cluster_settings(100 * 2**40, cluster_cores=8000)
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
     assert int(cluster_settings(10, cluster_cores=16)["spark.sql.shuffle.partitions"]) == 32
-
-
-def test_common_prefix_length_and_skipped_key(spark):
-    from boutique.functions.text import common_prefix_length
-
-    ids = ["ORDER_000123", "ORDER_000009", "ORDER_149998", "ORDER_000124"]
-    df = spark.createDataFrame([(w,) for w in ids], "w string")
-    n = df.select(common_prefix_length(df, "w").alias("n")).first().n
-    assert n == 6  # "ORDER_"
-    rows = df.select("w", string_order_key("w", n).alias("k")).orderBy("w").collect()
-    keys = [r.k for r in rows]
-    assert keys == sorted(keys) and len(set(keys)) == 4  # distinct once the prefix is skipped

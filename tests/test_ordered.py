@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from boutique.operators.ordered import assign_ids, row_numbers, running_sum
+from boutique.operators.ordered import assign_ids, row_numbers, running_sum, with_pieces
 
 
 def test_running_sum_matches_window(spark):
@@ -12,7 +12,7 @@ def test_running_sum_matches_window(spark):
     w = Window.partitionBy("g").orderBy("x")
     for incl in (True, False):
         frame = w.rowsBetween(Window.unboundedPreceding, 0 if incl else -1)
-        r = running_sum(df, {"rs": "v"}, ["x"], ["g"], inclusive=incl, bucket_by="x", per_piece=37)
+        r = running_sum(df, {"rs": "v"}, ["x"], ["g"], inclusive=incl, per_piece=37)
         bad = r.withColumn("ref", F.coalesce(F.sum("v").over(frame), F.lit(0))).filter("rs != ref").count()
         assert bad == 0
 
@@ -21,15 +21,14 @@ def test_hot_group_and_descending_key(spark):
     # one group holds almost everything; order by value descending
     df = spark.range(3000).select(F.when(F.col("id") < 2900, 0).otherwise(1).alias("g"),
                                   F.col("id").alias("k"), (F.col("id") % 13 + 1).alias("v"))
-    r = running_sum(df, {"rs": "v"}, [F.col("v").desc(), F.col("k")], ["g"], bucket_by=-F.col("v"),
-                    per_piece=50)
+    r = running_sum(df, {"rs": "v"}, [F.col("v").desc(), F.col("k")], ["g"], per_piece=50)
     w = Window.partitionBy("g").orderBy(F.col("v").desc(), "k").rowsBetween(Window.unboundedPreceding, 0)
     assert r.withColumn("ref", F.sum("v").over(w)).filter("rs != ref").count() == 0
 
 
 def test_global_row_numbers_and_ids(spark):
     df = spark.range(1000).select((F.col("id") * 17 % 1000).alias("k"))
-    r = row_numbers(df, "n", ["k"], bucket_by="k", per_piece=64)
+    r = row_numbers(df, "n", ["k"], per_piece=64)
     assert r.filter(F.col("n") != F.col("k") + 1).count() == 0
     existing = spark.createDataFrame([("PROD_00007",), ("X_9",), ("PROD_abc",)], "product_id string")
     ids = assign_ids(df.limit(3).select(F.col("k").alias("o")), existing, "product_id", "PROD_", 5, ["o"])
@@ -40,15 +39,29 @@ def test_global_row_numbers_and_ids(spark):
 
 
 def test_no_window_over_a_whole_group(spark):
-    """The per-row window of running_sum is partitioned by (group, piece), never by the
-    group alone, so a hot group is spread over many tasks."""
+    """Beyond one piece, the per-row window of running_sum is partitioned by (group, piece),
+    never by the group alone, so a hot group is spread over many tasks."""
     df = spark.range(100).select((F.col("id") % 2).alias("g"), F.col("id").alias("x"), F.lit(1).alias("v"))
-    plan = running_sum(df, {"rs": "v"}, ["x"], ["g"], bucket_by="x")._jdf.queryExecution().optimizedPlan().toString()
+    plan = running_sum(df, {"rs": "v"}, ["x"], ["g"], per_piece=10)._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
     per_row = [w for w in windows if "currentrow" in w]  # the running sum over the rows
-    per_piece = [w for w in windows if "currentrow" not in w]  # offsets over piece totals
     assert per_row and all("], [g#" in w and "_piece#" in w.split("], [")[1] for w in per_row)
-    assert per_piece and all("_piece" in w.split("], [")[2] for w in per_piece)
+
+
+def test_pieces_are_of_even_size(spark):
+    """Boundaries come from the data over the whole order key: equal leading keys, one odd
+    value among many alike, and far outliers do not make one large piece."""
+    n, per_piece = 20_000, 500
+    cases = {
+        "equal availability": (spark.range(n).select(F.lit("P").alias("g"), F.lit(-5).alias("a"), F.format_string("STOCK_%07d", "id").alias("b")), ["g", "a", "b"]),
+        "one odd email": (spark.range(n).select(F.format_string("customer%07d@x.fr", "id").alias("e")).unionByName(
+            spark.createDataFrame([("a@x.fr",)], "e string")), ["e"]),
+        "one far cart": (spark.range(n).select(F.col("id").alias("c")).unionByName(spark.createDataFrame([(1 << 60,)], "c long")), ["c"]),
+        "no group": (spark.range(n).select(F.col("id").alias("x")), [F.col("x").desc()]),
+    }
+    for name, (df, keys) in cases.items():
+        sizes = [r["count"] for r in with_pieces(df, keys, n, per_piece).groupBy("_piece").count().collect()]
+        assert len(sizes) >= n / per_piece / 2 and max(sizes) <= 4 * per_piece, (name, len(sizes), max(sizes))
 
 
 def test_same_result_under_different_partitionings(spark, sf_small):

@@ -47,7 +47,8 @@ def test_customer_batch(spark):
     assert [(r.customer_id, r.email, r.zip_code_prefix) for r in new] == [("CUST_000005", "new@x.fr", 75001)]
     e = errs(res["rejects"], "email")
     assert e["taken@x.fr"] == ["email: already registered"]
-    assert set(e["dup@x.fr"]) >= {"email: duplicated in batch"}
+    # Invalid rows don't count as duplicates of each other.
+    assert not [m for m in e["dup@x.fr"] if "duplicated" in m]
     assert "last_name: must not be empty" in [m for r in res["rejects"].collect() for m in r.errors]
     assert any("zip_code_prefix: unknown" in r.errors and "city: unknown" in r.errors
                for r in res["rejects"].collect())
@@ -185,3 +186,59 @@ def test_update_customers_admin_and_self(spark):
     own = {r.customer_id: r for r in mt.update_customers(t, ch, admin=False)["customers"].collect()}
     assert (own["CUST_000001"].email, own["CUST_000001"].is_admin) == ("a@x.fr", 0)
     assert (own["CUST_000002"].zip_code_prefix, own["CUST_000002"].city) == (6000, "nice")
+
+
+def _people(spark, rows):
+    return spark.createDataFrame(
+        [(s, "Ana", "Lima", e, "0612345678", z, "Paris", "IDF", None, None, None) for s, e, z in rows],
+        "seq long, first_name string, last_name string, email string, phone string, zip_code_prefix string, "
+        "city string, state string, address_line1 string, address_line2 string, is_admin tinyint")
+
+
+def test_one_stripped_email_and_first_valid_row(spark):
+    """Whitespace of any kind is stripped before every use of an email; the first valid row
+    of an email stands, and an invalid row blocks nobody."""
+    t = tables(spark, geolocation=[dict(zip_code_prefix=75001, city="Paris", state="IDF")],
+               customers=[customer("CUST_000001", email="taken@x.fr")])
+    batch = _people(spark, [(1, "taken@x.fr\t", "75001"), (2, "a@x.fr", "99999"), (3, " a@x.fr", "75001"),
+                            (4, "a@x.fr\n", "75001"), (5, "b@x.fr", "75001")])
+    res = mt.add_customers(t, batch, AS_OF)
+    assert sorted(r.email for r in res["new_customers"].collect()) == ["a@x.fr", "b@x.fr"]
+    errors = {r.seq: r.errors for r in res["rejects"].collect()}
+    assert errors[1] == ["email: already registered"] and errors[4] == ["email: duplicated in batch"]
+    assert errors[2] == ["zip_code_prefix: unknown"] and set(errors) == {1, 2, 4}
+    # Without a sequence nobody is first: both valid rows are refused.
+    res = mt.add_customers(t, batch.drop("seq"), AS_OF)
+    assert [r.email for r in res["new_customers"].collect()] == ["b@x.fr"]
+
+
+def test_bad_numbers_are_rejects(spark):
+    """A value that is no number, or that no column holds, refuses its row, not the job."""
+    t = tables(spark, products=[product("PROD_00001")], stock=[stock("STOCK_00001", "PROD_00001"), stock("STOCK_00002", "PROD_00001", seller="SELLER_0002")])
+    batch = spark.createDataFrame([("A", "1e12"), ("B", "abc"), ("C", "12.5")], "product_name string, product_price string").selectExpr(
+        "*", "'c' product_category", "'p' product_platform", "'16' product_esrb_rating", "'2020' product_release_year",
+        "'5' product_weight_g", "'' product_description")
+    res = mt.add_products(t, batch, AS_OF, 2024)
+    assert [r.product_name for r in res["new_products"].collect()] == ["C"]
+    assert errs(res["rejects"], "product_name") == {"A": ["product_price: too large"], "B": ["product_price: must be > 0"]}
+    changes = spark.createDataFrame([("STOCK_00001", "abc"), ("STOCK_00002", " 7 ")], "stock_id string, new_min_stock_level string").selectExpr(
+        "*", "cast(null as int) new_quantity_in_stock", "cast(null as int) new_quantity_reserved", "cast(null as int) new_reorder_point",
+        "cast(null as string) new_seller_id", "cast(null as string) new_warehouse_location", "cast(null as string) new_stock_condition")
+    res = mt.update_stock(t, changes, AS_OF)
+    assert {r.stock_id: r.min_stock_level for r in res["stock"].collect()} == {"STOCK_00001": 12, "STOCK_00002": 7}
+    assert errs(res["rejects"], "key") == {"STOCK_00001": ["min_stock_level: must be an integer"]}
+
+
+def test_several_status_changes_of_one_order(spark):
+    t = tables(spark, products=[product("PROD_00001")], customers=[customer("CUST_000001")],
+               stock=[stock("STOCK_00001", "PROD_00001", avail=1)],
+               orders=[order("ORDER_000001", "CUST_000001", "created"), order("ORDER_000002", "CUST_000001", "created")],
+               order_items=[item("ORDER_000002", 1, "PROD_00001", qty=3)])
+    changes = spark.createDataFrame(
+        [("ORDER_000001", "shipped", 2), ("ORDER_000001", "approved", 1), ("ORDER_000002", "cancelled", 1), ("ORDER_000002", "created", 2),
+         ("ORDER_000002", "cancelled", 3), ("ORDER_000002", "cancelled", 4)], "order_id string, new_status string, seq int")
+    res = mt.update_order_status(t, changes, AS_OF)
+    got = {r.order_id: r for r in res["orders"].collect()}
+    assert got["ORDER_000001"].order_status == "shipped" and got["ORDER_000002"].order_status == "cancelled"
+    assert got["ORDER_000001"].order_approved_at == got["ORDER_000001"].order_delivered_carrier_date == AS_OF
+    assert [r.quantity_available for r in res["stock"].collect()] == [1 + 3 + 3]  # entered cancelled twice
