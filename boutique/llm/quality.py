@@ -73,7 +73,7 @@ def pooled(buf: np.ndarray, offsets: np.ndarray, model: Model, piece: int = 1 <<
     full = np.flatnonzero(ends > starts)
     lot = (starts[full] // piece) if len(full) else np.zeros(0, int)
     cuts = np.flatnonzero(np.diff(lot, prepend=-1))
-    for a, b in zip(cuts, [*cuts[1:], len(full)], strict=True):
+    for a, b in zip(cuts, np.append(cuts, len(full))[1:], strict=True):
         s, e = starts[full[a:b]], ends[full[a:b]]
         values = _activations(buf[s[0]:e[-1]], model)
         out[full[a:b]] = np.maximum.reduceat(values, s - s[0], axis=0)
