@@ -53,7 +53,7 @@ def stock_by_product(stock: DataFrame) -> DataFrame:
 def product_ratings(t: Tables) -> DataFrame:
     """A3: mean score (1 decimal) and count per product, one count per matching order line."""
     lines = t.order_items.select("order_id", "product_id")
-    rev = t.order_reviews.select("order_id", "review_score")
+    rev = t.review_facts.select("order_id", "review_score")
     return (
         lines.join(rev, "order_id", "inner")
         .groupBy("product_id")
@@ -71,10 +71,12 @@ def product_scores(t: Tables, product_id: str | None = None) -> DataFrame:
     if product_id is not None:
         lines = lines.filter(F.col("product_id") == product_id)
         prods = prods.filter(F.col("product_id") == product_id)
-    pairs = lines.select("order_id", "product_id").distinct()
-    rev = t.order_reviews.select("order_id", "review_score")
+    rev = t.review_facts.select("review_id", "order_id", "review_score")
     agg = (
-        pairs.join(rev, "order_id", "inner")
+        # Joined first: the join's partitioning by order also serves the removal of repeats,
+        # and only lines of reviewed orders take part in it.
+        lines.select("order_id", "product_id").join(rev, "order_id", "inner")
+        .dropDuplicates(["order_id", "product_id", "review_id"])
         .groupBy("product_id")
         .agg(F.round(F.avg("review_score"), 1).alias("avg_score"), F.count(F.lit(1)).alias("n"))
     )

@@ -3,12 +3,16 @@ summarised per numeric and datetime column like a ``describe()``: count, mean, s
 standard deviation, min, 25/50/75 % (linear interpolation between order statistics), max.
 
 Scale notes:
-* Joins run in key order: the order_id-keyed tables first (orders, lines, payments,
-  reviews share one partitioning), then customers, products, sellers and stock.
-* Values are unpivoted to (column index, value) and reduced to a histogram of distinct
-  values with map-side combining; moments are exact decimal sums over the histogram and
-  percentiles come from running counts (``running_sum``), so no task ever holds all the
-  values of a column (``percentile`` would, in its final merge).
+* The join is never built. A row of a table appears in it as often as its order has other
+  lines, payments and reviews (at least once each), so each table's histogram is built from
+  its own rows, weighted: orders by lines x payments x reviews of the order, lines by
+  payments x reviews, and so on; customers, products, sellers and stock by the sums of the
+  weights of the orders or lines that refer to them. Only keys and counts are shuffled.
+  Keys of customers, products, sellers and (product, seller) of stock are unique.
+* A histogram holds (column index, value, count) of distinct values, combined map-side;
+  moments are exact decimal sums over it and percentiles come from running counts
+  (``running_sum``), so no task ever holds all the values of a column (``percentile`` would,
+  in its final merge).
 """
 
 from __future__ import annotations
@@ -38,30 +42,42 @@ DATETIME = (
 QUANTILES = (0.25, 0.5, 0.75)
 
 
-def wide_join(t: Tables) -> DataFrame:
-    """Orders left-joined to customers, lines, products, sellers, payments, reviews and
-    stock (on product and seller). Fan-out (lines x payments x reviews) is kept."""
-    o = t.orders
-    items = t.order_items
-    pay = t.order_payments
-    rev = t.order_reviews
-    cust = t.customers.withColumnsRenamed(
-        {"zip_code_prefix": "customer_zip_code_prefix", "city": "customer_city",
-         "state": "customer_state"})
-    prod = t.products.withColumnRenamed("created_at", "product_created_at")
-    sell = t.sellers.withColumnsRenamed(
-        {"zip_code_prefix": "seller_zip_code_prefix", "city": "seller_city",
-         "state": "seller_state", "created_at": "seller_created_at"})
-    stock = t.stock
-    return (
-        o.join(items, "order_id", "left")
-        .join(pay, "order_id", "left")
-        .join(rev, "order_id", "left")
-        .join(cust, "customer_id", "left")
-        .join(prod, "product_id", "left")
-        .join(sell, "seller_id", "left")
-        .join(stock, ["product_id", "seller_id"], "left")
+def weighted_tables(t: Tables) -> list[DataFrame]:
+    """Each table of the wide join with the number of its rows there, column ``_w``."""
+
+    def per_order(table: DataFrame, name: str) -> DataFrame:
+        return table.groupBy("order_id").agg(F.count(F.lit(1)).alias(name))
+
+    one = F.lit(1).cast("bigint")
+    counts = (
+        t.orders.select("order_id", "customer_id")
+        .join(per_order(t.order_items, "_i"), "order_id", "left")
+        .join(per_order(t.order_payments, "_p"), "order_id", "left")
+        .join(per_order(t.review_facts, "_r"), "order_id", "left")
+        .select("order_id", "customer_id", *[F.coalesce(c, one).alias(c) for c in ("_i", "_p", "_r")])
     )
+    counts = materialize(counts)
+
+    def of_order(table: DataFrame, *others: str) -> DataFrame:
+        weight = F.col(others[0])
+        for c in others[1:]:
+            weight = weight * F.col(c)
+        return table.join(counts.select("order_id", weight.alias("_w")), "order_id")
+
+    lines = of_order(t.order_items, "_p", "_r")
+    pairs = materialize(lines.groupBy("product_id", "seller_id").agg(F.sum("_w").alias("_w")))
+
+    def referred(table: DataFrame, weights: DataFrame, *keys: str) -> DataFrame:
+        return table.join(weights.groupBy(*keys).agg(F.sum("_w").alias("_w")), list(keys))
+
+    buyers = counts.select("customer_id", (F.col("_i") * F.col("_p") * F.col("_r")).alias("_w"))
+    return [
+        of_order(t.orders, "_i", "_p", "_r"), lines, of_order(t.order_payments, "_i", "_r"), of_order(t.review_facts, "_i", "_p"),
+        referred(t.customers.withColumnRenamed("zip_code_prefix", "customer_zip_code_prefix"), buyers, "customer_id"),
+        referred(t.products.withColumnRenamed("created_at", "product_created_at"), pairs, "product_id"),
+        referred(t.sellers.withColumnsRenamed({"zip_code_prefix": "seller_zip_code_prefix", "created_at": "seller_created_at"}), pairs, "seller_id"),
+        referred(t.stock, pairs, "product_id", "seller_id"),
+    ]
 
 
 def _scaled(wide: DataFrame, name: str) -> tuple[Column, int]:
@@ -75,21 +91,26 @@ def _scaled(wide: DataFrame, name: str) -> tuple[Column, int]:
     return F.col(name).cast("bigint"), 0
 
 
-def describe(wide: DataFrame, numeric=NUMERIC, datetime=DATETIME, pieces: int | None = None) -> DataFrame:
-    """A10 over ``wide``: one row per column (datetimes in epoch seconds, no std).
+def histogram(table: DataFrame, names: list[str]) -> DataFrame:
+    """(c, x, cnt): weighted counts of the values of the profiled columns of ``table``, as
+    exact longs in each column's smallest unit; c is the place in ``names``."""
+    own = [(i, n) for i, n in enumerate(names) if n in table.columns]
+    pairs = ", ".join(f"{i}, _x{i}" for i, _ in own)
+    long = table.select("_w", *[_scaled(table, n)[0].alias(f"_x{i}") for i, n in own]).selectExpr(
+        "_w", f"stack({len(own)}, {pairs}) AS (c, x)").filter(F.col("x").isNotNull())
+    return long.groupBy("c", "x").agg(F.sum("_w").alias("cnt"))
+
 
-    Values are unpivoted as exact longs in each column's smallest unit, so the histogram of
-    (column, value) hashes plain longs; sums are then taken exactly as decimals over the
-    (much smaller) histogram and scaled back.
-    """
+def describe(tables: list[DataFrame], numeric=NUMERIC, datetime=DATETIME, pieces: int | None = None) -> DataFrame:
+    """A10 over weighted tables (column ``_w``): one row per column (datetimes in epoch
+    seconds, no std). Sums are taken exactly as decimals over the histogram and scaled back."""
     names = list(numeric) + list(datetime)
-    scaled = [_scaled(wide, n) for n in names]
+    scaled = [next(_scaled(d, n) for d in tables if n in d.columns) for n in names]
     scale_of = F.create_map(*[x for i, (_, sc) in enumerate(scaled) for x in (F.lit(i), F.lit(sc))])
-    pairs = ", ".join(f"{i}, _x{i}" for i in range(len(names)))
-    long = wide.select(*[e.alias(f"_x{i}") for i, (e, _) in enumerate(scaled)]).selectExpr(
-        f"stack({len(names)}, {pairs}) AS (c, x)"
-    ).filter(F.col("x").isNotNull())
-    hist = materialize(long.groupBy("c", "x").agg(F.count(F.lit(1)).alias("cnt")))
+    hist = histogram(tables[0], names)
+    for d in tables[1:]:
+        hist = hist.unionByName(histogram(d, names))
+    hist = materialize(hist)
 
     xd = F.col("x").cast("decimal(38,0)")
     moments = hist.groupBy("c").agg(
@@ -158,7 +179,7 @@ def describe(wide: DataFrame, numeric=NUMERIC, datetime=DATETIME, pieces: int |
         return F.round(c, 6)
 
     # Every profiled column gets a row, also when it holds no value at all (count 0).
-    columns = wide.sparkSession.range(len(names)).select(F.col("id").cast("int").alias("c"))
+    columns = hist.sparkSession.range(len(names)).select(F.col("id").cast("int").alias("c"))
     out = columns.join(moments, "c", "left").join(qs.drop("sc"), "c", "left").select(
         "c",
         name_map[F.col("c")].alias("column_name"),
@@ -178,4 +199,4 @@ def describe(wide: DataFrame, numeric=NUMERIC, datetime=DATETIME, pieces: int |
 
 def wide_profile(t: Tables, pieces: int | None = None) -> DataFrame:
     """Q10: describe() of the wide join."""
-    return describe(wide_join(t), pieces=pieces)
+    return describe(weighted_tables(t), pieces=pieces)

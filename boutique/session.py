@@ -104,6 +104,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError(f"set {_CHECKPOINT_KEY} to a shared folder before cutting lineage")
         path = tempfile.mkdtemp(prefix="boutique-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set(_CHECKPOINT_KEY, path)
+    if path.startswith("file:") and not sc.master.startswith("local"):
+        raise RuntimeError(f"{_CHECKPOINT_KEY} names a machine-local folder; a cluster needs a shared one")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path

@@ -115,6 +115,14 @@ class Tables:
             return self.table(name)
         raise AttributeError(name)
 
+    @property
+    def review_facts(self) -> DataFrame:
+        """The reviews without their messages, for readers that don't need the text (the
+        test-data adapter has it in a table of its own, which they then don't read)."""
+        if "order_reviews" in self._cache or self.adapter is None:
+            return self.table("order_reviews").drop("review_comment_message")
+        return self.adapter.review_facts()
+
     def carts(self, qty_factor: int = 1) -> DataFrame:
         if self.adapter is None:
             raise ValueError("carts come from the test-data events; pass a carts DataFrame")

@@ -38,6 +38,21 @@ def _plus(ts: str | Column, interval: str) -> Column:
     return c + F.expr(f"INTERVAL {interval}")
 
 
+#: The columns used of the raw tables, declared so that no file is opened to infer them.
+RAW_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+}
+
+
 class TestDataAdapter:
     """Builds canonical tables from ``{sf_dir}/{name}.parquet`` on demand (memoised, lazy)."""
 
@@ -48,7 +63,7 @@ class TestDataAdapter:
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._raw:
-            self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            self._raw[name] = self.spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
         return self._raw[name]
 
     # ---- canonical tables ------------------------------------------------------------
@@ -190,28 +205,30 @@ class TestDataAdapter:
             F.lit("new").alias("stock_condition"),
         )
 
+    def _reviewed(self) -> DataFrame:
+        return self.raw("orders").filter((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 2 == 0))
+
+    @staticmethod
+    def _review_columns() -> dict:
+        score = (F.col("o_orderkey") * 7 % 5 + 1).cast("int")
+        return {
+            "review_id": _fmt("REVIEW_%06d", "o_orderkey"),
+            "order_id": _fmt("ORDER_%06d", "o_orderkey"),
+            "review_score": score,
+            "review_comment_title": F.element_at(F.array(*[F.lit(t) for t in REVIEW_TITLES]), score),
+            "review_comment_message": F.col("text"),
+            "review_creation_date": _plus("o_orderdate", "7 DAYS"),
+        }
+
+    def review_facts(self) -> DataFrame:
+        """The reviews without their messages: ``documents`` isn't read."""
+        return self._reviewed().select(*[e.alias(c) for c, e in self._review_columns().items() if c != "review_comment_message"])
+
     def order_reviews(self) -> DataFrame:
-        o = self.raw("orders").filter(
-            (F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 2 == 0)
-        )
         docs = self.raw("documents").select("doc_id", "text")
         n_docs = docs.select(F.count(F.lit(1))).scalar()
-        o = o.select(
-            "o_orderkey",
-            "o_orderdate",
-            (F.col("o_orderkey") * 7 % 5 + 1).cast("int").alias("review_score"),
-            (F.col("o_orderkey") % n_docs).alias("doc_id"),
-        )
-        titles = F.array(*[F.lit(t) for t in REVIEW_TITLES])
-        j = o.join(docs, "doc_id", "left")
-        return j.select(
-            _fmt("REVIEW_%06d", "o_orderkey").alias("review_id"),
-            _fmt("ORDER_%06d", "o_orderkey").alias("order_id"),
-            "review_score",
-            F.element_at(titles, F.col("review_score")).alias("review_comment_title"),
-            F.col("text").alias("review_comment_message"),
-            _plus("o_orderdate", "7 DAYS").alias("review_creation_date"),
-        )
+        j = self._reviewed().withColumn("doc_id", F.col("o_orderkey") % n_docs).join(docs, "doc_id", "left")
+        return j.select(*[e.alias(c) for c, e in self._review_columns().items()])
 
     def order_payments(self) -> DataFrame:
         o = self.raw("orders")
