@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+import boutique.plans.all_queries  # noqa: F401
 from boutique.operators import catalog, reviews
 from boutique.plans.registry import QUERIES
 from boutique.sources.tables import Tables
