@@ -6,9 +6,9 @@ import pytest
 from tools.check_oracle import RAW, digest
 
 import __spark_entry__ as entry_mod
+from boutique.plans.registry import ORACLE, QUERIES
 
-NAMES = sorted(entry_mod.queries())
-ORACLE = entry_mod.oracle_sql()
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +27,7 @@ def test_entry_runs(spark):
 
 def test_every_query_has_an_oracle():
     assert set(ORACLE) == set(NAMES)
+    assert set(NAMES) <= set(entry_mod.queries()) and set(ORACLE) <= set(entry_mod.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
