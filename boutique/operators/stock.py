@@ -51,3 +51,17 @@ def cart_admission(t: Tables, carts: DataFrame) -> DataFrame:
     ).withColumn("line_ok", F.col("requested") <= F.col("available"))
     verdict = lines.groupBy("cart_id").agg(F.bool_and("line_ok").alias("cart_ok"))
     return lines.join(verdict, "cart_id", "inner")
+
+
+def cart_additions(t: Tables, carts: DataFrame, requests: DataFrame) -> DataFrame:
+    """V15, adding to a cart: each request (cart_id, product_id, qty) is granted if what the
+    cart already holds of the product plus the request does not exceed its availability.
+    Requested quantities below one count as one, as in the shop."""
+    held = normalise_carts(carts).select("cart_id", "product_id", F.col("qty").alias("in_cart"))
+    asked = requests.select("cart_id", "product_id", F.greatest(F.col("qty"), F.lit(1)).alias("requested"))
+    j = asked.join(held, ["cart_id", "product_id"], "left").join(stock_by_product(t.stock), "product_id", "left")
+    in_cart, available = F.coalesce("in_cart", F.lit(0)), F.coalesce("stock_available", F.lit(0)).cast("bigint")
+    granted = in_cart.cast("bigint") + F.col("requested") <= available
+    return j.select(
+        "cart_id", "product_id", in_cart.alias("in_cart"), "requested", available.alias("available"), granted.alias("granted"),
+        F.when(granted, in_cart + F.col("requested")).otherwise(in_cart).alias("quantity"))

@@ -3,17 +3,24 @@ except where a cap is the feature)."""
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
+from pyspark.sql import functions as F
+
 from boutique.operators import customers as cu
 from boutique.operators import orders as od
 from boutique.plans.canonical_sql import carts_sql, sel
 from boutique.plans.canonical_sql import with_canonical as W
 from boutique.plans.registry import register
+from boutique.session import ensure_checkpoint_dir
+from boutique.sources.carts import carts_from_map, normalise_carts
+from boutique.sources.tables import Tables, with_defaults
+
 
 def _nullable_as_double(df, *cols):
     """Integer columns that hold nulls are presented as double (one numeric type on every
     client, whether it maps a null integer to NaN or not)."""
-    from pyspark.sql import functions as F
-
     return df.withColumns({c: F.col(c).cast("double") for c in cols})
 
 
@@ -273,6 +280,60 @@ def q_cart_admission(t):
     return sk.cart_admission(t, t.carts(CART_FACTOR))
 
 
+def _requests(t):
+    """Requests derived from the carts: every cart asks again for its products, some for none."""
+    return t.carts(CART_FACTOR).select("cart_id", "product_id", (F.col("qty") * (F.col("cart_id") % 3)).alias("qty"))
+
+
+@register("cart_additions", W(f"""
+WITH carts AS ({carts_sql(CART_FACTOR)}),
+j AS (SELECT c.cart_id, c.product_id, c.qty AS in_cart, CAST(greatest(c.qty * (c.cart_id % 3), 1) AS BIGINT) AS requested,
+             coalesce(s.stock_available, 0) AS available
+      FROM carts c LEFT JOIN ({_STOCK_BY_PRODUCT}) s ON s.product_id = c.product_id)
+SELECT *, in_cart + requested <= available AS granted,
+       CASE WHEN in_cart + requested <= available THEN in_cart + requested ELSE in_cart END AS quantity FROM j"""))
+def q_cart_additions(t):
+    """Requests on top of what the carts already hold."""
+    return sk.cart_additions(t, t.carts(CART_FACTOR), _requests(t))
+
+
+@register("map_carts", W(f"SELECT cart_id, product_id, qty FROM ({carts_sql(CART_FACTOR)}) WHERE qty > 0"))
+def q_map_carts(t):
+    """SRC2: carts given as a map of product to quantity, as rows."""
+    maps = t.carts(CART_FACTOR).groupBy("cart_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("product_id", "qty"))).alias("items"))
+    return normalise_carts(carts_from_map(maps))
+
+
+@register("product_by_id", W(f"""
+SELECT {sel("products")} FROM c_products WHERE product_id = (SELECT max(product_id) FROM c_order_items)"""))
+def q_product_by_id(t):
+    """the product of the largest id on any order line."""
+    wanted = t.order_items.agg(F.max("product_id")).scalar()
+    return ca.filter_products(t.products, product_id=wanted)
+
+
+@register("stored_orders", W("SELECT * FROM c_orders"))
+def q_stored_orders(t):
+    """SNK2: orders written as a table version and read back with their declared schema."""
+    root = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/version-{uuid.uuid4().hex}"
+    t.write(root, names=("orders",))
+    return Tables.from_parquet(t.spark, root).orders
+
+
+@register("stock_defaults", W("""
+SELECT stock_id, seller_id, product_id, CAST(NULL AS VARCHAR) AS warehouse_location,
+       CASE WHEN quantity_reserved > 0 THEN quantity_in_stock ELSE 0 END AS quantity_in_stock,
+       0 AS quantity_reserved, 0 AS quantity_available, 12 AS min_stock_level, 19 AS reorder_point,
+       TIMESTAMP '2024-06-01 12:00:00' AS last_updated, 'new' AS stock_condition
+FROM c_stock"""))
+def q_stock_defaults(t):
+    """Inserted stock rows that leave most columns to their defaults."""
+    given = t.stock.select("stock_id", "seller_id", "product_id", F.lit(None).cast("string").alias("warehouse_location"),
+                           F.when(F.col("quantity_reserved") > 0, F.col("quantity_in_stock")).alias("quantity_in_stock"))
+    return with_defaults(given, "stock", dt.datetime(2024, 6, 1, 12, 0, 0))
+
+
 # --------------------------------------------------------------------------------- geo
 @register("distinct_cities", W("SELECT DISTINCT city FROM c_geolocation WHERE city IS NOT NULL"))
 def q_distinct_cities(t):
