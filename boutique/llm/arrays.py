@@ -62,7 +62,7 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return buf, off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose ``column`` holds about ``most`` bytes (one row at least)."""
     if batch.num_rows == 0:
         return
@@ -71,6 +71,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
     starts = np.flatnonzero(np.diff(block, prepend=-1))
     for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
         yield batch.slice(int(a), int(b - a))
+    pa.default_memory_pool().release_unused()  # workers live on: give the memory back
 
 
 def _power(base: int, n: int) -> np.ndarray:

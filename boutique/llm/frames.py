@@ -5,16 +5,19 @@ from __future__ import annotations
 import pathlib
 import tempfile
 import uuid
+import weakref
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boutique.session import ensure_checkpoint_dir
+from boutique.session import configure, ensure_checkpoint_dir
 
 #: Labels are joined by broadcast up to so many rows (16 bytes each), else by a shuffle.
 LABELS_BROADCAST_ROWS = 2_000_000
+#: Rows in an Arrow batch: texts are long, and a batch is held by the JVM and by Python.
+ARROW_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,29 +33,45 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_made: list[str] = []
+_path_of: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: computed
     once, lineage cut, safe against lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    _path_of[out] = path
+    return out
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a scratch table that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if f"/llm-{spark.sparkContext.applicationId}/" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def scratch_mark() -> int:
+    """A point in time for :func:`drop_since`."""
+    return len(_made)
+
+
+def drop_since(spark: SparkSession, mark: int, *kept: DataFrame) -> None:
+    """Delete the scratch tables written since ``mark`` but for ``kept``, which must be
+    scratch tables themselves (nothing lazy may need the others any more)."""
+    keep = {_path_of[d] for d in kept}
+    for path in [p for p in _made[mark:] if p not in keep]:
+        _delete(spark, path)
+        _made.remove(path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete all scratch tables of this application (when its results are written)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_root(spark))
+    _made.clear()
 
 
 def as_rows(df: DataFrame, text: str = "text") -> DataFrame:
@@ -91,6 +110,13 @@ def with_labels(documents: DataFrame, labels: DataFrame) -> DataFrame:
 _shipped: set[str] = set()
 
 
+def ready(spark: SparkSession) -> None:
+    """Settings and code that the corpus operators rely on, for a session built elsewhere."""
+    configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    ship_code(spark)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Give the executors this package, once per application: tasks import it by name."""
     app = spark.sparkContext.applicationId

@@ -7,16 +7,17 @@ connected components of the links.
 1. Equal word sequences (64-bit fingerprint) are one node from the start, so thousands of
    copies cost one node.
 2. A node's k-mers (``K`` consecutive words) are labelled with their occurrence number, so
-   repeated k-mers count. Each of ``SKETCHES`` hash functions picks the two smallest labelled
-   k-mers and keeps them in text order; the pair is one key. Nodes sharing a key are a bucket.
+   repeated k-mers count. Each hash function picks the smallest labelled k-mers and keeps
+   them in text order; they are one key, and nodes sharing a key are a bucket. ``SKETCHES``
+   functions pick two k-mers, which brings together all that may be alike; ``STRICT``
+   functions pick ``STRICT_SIZE``, which hardly brings together anything else.
 3. Candidates are checked by an alignment in a band around the diagonal, widened while the
    distance exceeds it up to the allowed distance, many pairs at a time.
-4. In every bucket the members are compared with its smallest node, not with each other:
-   first one leader per node, then the other leaders where the classes still differ. What
-   is left are pairs of members of one bucket that are still in different classes. Buckets
-   with few of them give all; a bucket with many (texts that share a passage, but not the
-   rest) is split by further sketches of its members, again and again, so that no bucket
-   yields pairs by the square of its size.
+4. In every bucket of the first kind the members are compared with its smallest node, not
+   with each other. What is left are pairs of members of one bucket of the second kind that
+   are still in different classes. Buckets with few of them give all; a bucket with many is
+   split by the members' further keys, again and again, so that no bucket yields pairs by
+   the square of its size.
 5. Components are found by hooking and jumping on the links, with stored tables between the
    rounds. Nothing but counts reaches the driver.
 
@@ -35,14 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutique.llm.arrays import TERM_WORDS, U64, Words, mix, slices, window_hashes
-from boutique.llm.frames import as_rows, drop_stored, schema_with, stored
+from boutique.llm.frames import as_rows, drop_since, schema_with, scratch_mark, stored
 
-K, SKETCHES, REFINING, SIMILAR = 5, 20, 8, 0.8
-#: Pairs that a bucket may give per member before it is split by further sketches.
-PAIRS_PER_MEMBER = 32
+K, SKETCHES, STRICT, STRICT_SIZE, SIMILAR = 5, 20, 12, 6, 0.8
+#: Pairs that a bucket may give per member before it is split by further keys.
+PAIRS_PER_MEMBER = 8
 #: Rows of 16 bytes up to which a side is broadcast instead of shuffled.
 BROADCAST_ROWS = 1_000_000
-_FACTORS = np.random.default_rng(41).integers(1, 1 << 63, SKETCHES + REFINING, dtype=np.uint64) * U64(2) + U64(1)
+_FACTORS = np.random.default_rng(41).integers(1, 1 << 63, SKETCHES + STRICT, dtype=np.uint64) * U64(2) + U64(1)
 _TOP = U64(0xFFFFFFFFFFFFFFFF)
 _STEP = U64(0x9E3779B97F4A7C15)
 
@@ -69,31 +70,33 @@ def _labelled(kmers: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return mix(kmers + nth * _STEP)
 
 
+def _smallest(g: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Place of each row's smallest value (the first, among equal ones)."""
+    at = np.flatnonzero(g == np.repeat(np.minimum.reduceat(g, starts), counts))
+    if len(at) > len(starts):
+        at = at[np.unique(np.searchsorted(starts, at, "right"), return_index=True)[1]]
+    return at
+
+
 def sketches(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, keys): for each row of K words or more, SKETCHES + REFINING keys."""
+    """(rows, keys): for each row of K words or more, SKETCHES + STRICT keys."""
     _, kmers = window_hashes(words.hashes, words.offsets, K)
     counts = np.maximum(words.counts - K + 1, 0)
     rows = np.flatnonzero(counts)
     counts = counts[rows]
+    keys = np.zeros((len(rows), len(_FACTORS)), np.uint64)
     if not len(rows):
-        return rows, np.zeros((0, len(_FACTORS)), np.uint64)
+        return rows, keys
     starts = np.cumsum(counts) - counts
     labelled = _labelled(kmers, np.repeat(rows, counts))
-    keys = np.empty((len(rows), len(_FACTORS)), np.uint64)
-    several = counts > 1
     for f, factor in enumerate(_FACTORS):
         g = labelled * factor
-        least = np.minimum.reduceat(g, starts)
-        at = np.flatnonzero(g == np.repeat(least, counts))
-        if len(at) > len(rows):  # equal hashes in a row: the first
-            at = at[np.unique(np.searchsorted(starts, at, "right"), return_index=True)[1]]
-        g[at] = _TOP
-        second = np.minimum.reduceat(g, starts)
-        at2 = np.flatnonzero(g == np.repeat(second, counts))
-        if len(at2) > len(rows):
-            at2 = at2[np.unique(np.searchsorted(starts, at2, "right"), return_index=True)[1]]
-        early, late = labelled[np.minimum(at, at2)], labelled[np.maximum(at, at2)]
-        keys[:, f] = mix(np.where(several, early * U64(3) + mix(late), labelled[at]) + U64(f + 1))
+        places = []
+        for _ in range(2 if f < SKETCHES else STRICT_SIZE):
+            places.append(_smallest(g, starts, counts))
+            g[places[-1]] = _TOP  # a row of fewer k-mers gives its first one again
+        for at in np.sort(np.stack(places), axis=0):
+            keys[:, f] = mix(keys[:, f] * U64(3) + labelled[at] + U64(f + 1))
     return rows, keys
 
 
@@ -219,29 +222,28 @@ def components(links: DataFrame) -> DataFrame:
     component. Every node hooks to its smallest neighbour, then jumps once; links are
     contracted to the hooks. Nodes are hashes, hence in random order, so chains are short
     and the links run out after about log(nodes) rounds."""
-    links = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
     roots = None
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up")), "hooks")
+        hooks = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("up"))
         jump = hooks.select(F.col("a").alias("up"), F.col("up").alias("upper"))
         hooks = stored(hooks.join(jump, "up").select("a", F.col("upper").alias("up")), "hooks")
         down = hooks.select(F.col("a").alias("b"), F.col("up").alias("b_up"))
         contracted = links.join(hooks, "a").join(down, "b").filter("up <> b_up").select(
             F.greatest("up", "b_up").alias("a"), F.least("up", "b_up").alias("b")).distinct()
+        links = stored(contracted, "links")
         new = hooks.select(F.col("a").alias("node"), F.col("up").alias("root"))
-        if roots is not None:
-            # Earlier nodes follow their roots; nodes of this round were all roots before.
-            moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
-            new = moved.select("node", F.coalesce("next", "root").alias("root"))
-        old, roots = roots, stored(new, "roots")
-        before, links = links, stored(contracted, "links")
-        drop_stored(before)
-        if old is not None:
-            drop_stored(old)
+        roots = new if roots is None else compose(roots, new)
     if roots is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots
+    return stored(roots, "roots")
+
+
+def compose(roots: DataFrame, later: DataFrame) -> DataFrame:
+    """Earlier nodes follow their roots in ``later`` (whose nodes were roots before)."""
+    moved = roots.join(later.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
+    return moved.select("node", F.coalesce("next", "root").alias("root"))
 
 
 def sketch_documents(documents: DataFrame) -> DataFrame:
@@ -251,85 +253,87 @@ def sketch_documents(documents: DataFrame) -> DataFrame:
 
 
 class _Search:
-    """State of one run: nodes, their buckets and word arrays, verified links so far."""
+    """State of one run: nodes, their buckets and word arrays, classes found so far."""
 
     def __init__(self, documents: DataFrame, sketched: DataFrame, similar: float):
         self.similar = similar
         useful = sketched.filter(F.size("keys") > 0)
         self.nodes = stored(useful.groupBy("node").agg(
             F.min("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), F.any_value("keys").alias("keys")), "nodes")
-        bands = self.nodes.select("node", "n_words", F.posexplode(F.slice("keys", 1, SKETCHES)).alias("band", "key"))
-        shared = bands.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        members = bands.join(shared, ["band", "key"])
-        lengths = members.filter("node = leader").select("band", "key", F.col("n_words").alias("leader_words"))
-        self.members = stored(members.join(lengths, ["band", "key"]).select(
-            F.xxhash64("band", "key").alias("bucket"), "node", "n_words", "leader", "leader_words"), "buckets")
-        wanted = stored(self.members.select("node").distinct().join(self.nodes.select("node", "doc_id"), "node"), "wanted")
+        bands = self.nodes.select("node", "doc_id", "n_words", F.posexplode(F.slice("keys", 1, SKETCHES)).alias("band", "key"))
+        shared = bands.groupBy("band", "key").agg(
+            F.min("node").alias("leader"), F.min_by("n_words", "node").alias("leader_words"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        self.members = stored(bands.join(shared, ["band", "key"]).select(
+            F.xxhash64("band", "key").alias("bucket"), "node", "doc_id", "n_words", "leader", "leader_words"), "buckets")
+        wanted = _small(stored(self.members.groupBy("node").agg(F.min("doc_id").alias("own_id")), "wanted"))
         texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-        chosen = texts.join(_small(wanted.select("doc_id").distinct()), "doc_id", "left_semi") if not self._has_null_ids(wanted) else texts
+        chosen = texts.join(wanted.select("own_id"), F.col("doc_id").eqNullSafe(F.col("own_id")), "left_semi")
         arrays = chosen.mapInArrow(_word_arrays, "doc_id long, node long, words binary")
-        arrays = arrays.join(_small(wanted.select("node", F.col("doc_id").alias("own_id"))), "node").filter(F.col("doc_id").eqNullSafe(F.col("own_id")))
+        arrays = arrays.join(wanted, "node").filter(F.col("doc_id").eqNullSafe(F.col("own_id")))
         self.words = stored(arrays.select("node", "words").dropDuplicates(["node"]), "words")
-        self.links = None
-
-    @staticmethod
-    def _has_null_ids(wanted: DataFrame) -> bool:
-        return not wanted.filter(F.col("doc_id").isNull()).isEmpty()
 
     def close(self, a: str, b: str):
         """Lengths that allow the similarity."""
         return F.least(a, b) >= F.greatest(a, b) * self.similar - 1e-9
 
-    def verify(self, pairs: DataFrame) -> None:
-        """Align the distinct (a, b) and add those alike to the links."""
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The distinct (a, b), a > b, that are alike by alignment; stored."""
         joined = (pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
                   .join(self.words.select(F.col("node").alias("a"), F.col("words").alias("left_words")), "a")
                   .join(self.words.select(F.col("node").alias("b"), F.col("words").alias("right_words")), "b"))
-        found = stored(joined.mapInArrow(_verify(self.similar), "a long, b long"), "links")
-        self.links = found if self.links is None else self.links.unionByName(found)
+        return stored(joined.mapInArrow(_verify(self.similar), "a long, b long"), "links")
 
     def rooted(self, rows: DataFrame, node: str, root: str) -> DataFrame:
         roots = self.roots.select(F.col("node").alias(node), F.col("root").alias("_root"))
         return rows.join(roots, node, "left").withColumn(root, F.coalesce("_root", node)).drop("_root")
 
     def leaders(self) -> None:
+        """Every member against the leaders of its buckets."""
         usable = self.members.filter((F.col("node") != F.col("leader")) & self.close("n_words", "leader_words"))
-        self.verify(usable.groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("b")))
-        self.roots = components(self.links)
-        others = usable.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        others = self.rooted(self.rooted(others, "a", "a_root"), "b", "b_root").filter("a_root <> b_root")
-        self.verify(others)
-        self.roots = components(self.links)
+        self.roots = components(self.verified(usable.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
 
     def rest(self) -> None:
-        """Members of one bucket that no leader has brought together."""
-        mixed = self.rooted(self.members.select("bucket", "node", "n_words", "leader"), "node", "root")
-        level = mixed.withColumn("last", F.lit(-1))
+        """Members of one strict bucket that no leader has brought together."""
+        strict = F.slice("keys", SKETCHES + 1, STRICT)
+        keyed = self.nodes.select("node", "n_words", F.posexplode(strict).alias("last", "key"))
+        level = self.rooted(keyed.select(F.xxhash64("last", "key").alias("bucket"), "node", "n_words", "last"), "node", "root")
+        found = []
         while True:
             sizes = (level.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"), F.max("last").alias("last"))
                      .groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max("last").alias("last"))
                      .withColumn("pairs", (F.col("n") * F.col("n") - F.col("squares")) / 2).filter("pairs > 0"))
-            sizes = stored(sizes.select("bucket", ((F.col("pairs") > PAIRS_PER_MEMBER * F.col("n")) & (F.col("last") < REFINING - 1)).alias("split")), "sizes")
-            marked = stored(level.join(sizes, "bucket"), "mixed")
+            split = (F.col("pairs") > PAIRS_PER_MEMBER * F.col("n")) & (F.col("last") < STRICT - 1)
+            marked = stored(level.join(sizes.select("bucket", split.alias("split")), "bucket"), "mixed")
             few = marked.filter(~F.col("split"))
             roots = few.select("bucket", "root").distinct()
             meets = roots.join(roots.select("bucket", F.col("root").alias("other")), "bucket").filter("root < other")
-            pairs = (few.select("bucket", "root", F.col("node").alias("a"), F.col("n_words").alias("a_words"), "leader")
+            pairs = (few.select("bucket", "root", F.col("node").alias("a"), F.col("n_words").alias("a_words"))
                      .join(meets, ["bucket", "root"])
                      .join(few.select("bucket", F.col("root").alias("other"), F.col("node").alias("b"), F.col("n_words").alias("b_words")), ["bucket", "other"]))
-            self.verify(pairs.filter((F.col("a") != F.col("leader")) & (F.col("b") != F.col("leader")) & self.close("a_words", "b_words")))
+            found.append(pairs.filter(self.close("a_words", "b_words")).select("a", "b"))
             many = marked.filter("split")
             if many.isEmpty():
                 break
-            extra = self.nodes.select("node", F.posexplode(F.slice("keys", SKETCHES + 1, REFINING)).alias("next", "extra"))
-            finer = many.join(extra, "node").filter(F.col("next") > F.col("last"))
-            level = stored(finer.select(F.xxhash64("bucket", "next", "extra").alias("bucket"), "node", "n_words", "leader", "root", F.col("next").alias("last")), "level")
-        self.roots = components(self.links)
+            # Only members of split buckets are given their further keys.
+            extra = many.join(self.nodes.select("node", strict.alias("keys")), "node")
+            finer = extra.select("bucket", "node", "n_words", "root", "last", F.posexplode("keys").alias("next", "extra")).filter(
+                F.col("next") > F.col("last"))
+            level = stored(finer.select(F.xxhash64("bucket", "next", "extra").alias("bucket"), "node", "n_words", "root", F.col("next").alias("last")), "level")
+        pairs = found[0]
+        for p in found[1:]:
+            pairs = pairs.unionByName(p)
+        links = self.verified(pairs)
+        if not links.isEmpty():  # links between classes: the classes' own components, then all nodes follow
+            between = self.rooted(self.rooted(links, "a", "a_root"), "b", "b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+            later = components(stored(between.filter("a <> b").distinct(), "links"))
+            alone = later.join(self.roots, "node", "left_anti")  # roots that no earlier link names
+            self.roots = stored(compose(self.roots, later).unionByName(alone), "roots")
 
 
 def classes(documents: DataFrame, sketched: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(node, class_id, class_node): for every fingerprint with words, the smallest doc_id of
-    its class and the fingerprint of that document."""
+    its class and the fingerprint of that document; stored, the steps' tables deleted."""
+    mark = scratch_mark()
     search = _Search(documents, sketched, similar)
     search.leaders()
     search.rest()
@@ -337,13 +341,15 @@ def classes(documents: DataFrame, sketched: DataFrame, similar: float = SIMILAR)
     rooted = stored(search.rooted(ids, "node", "root"), "rooted")
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     first = rooted.join(named, "root").filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("node").alias("class_node"))
-    return rooted.join(named, "root").join(first, "root").select("node", "class_id", "class_node")
+    out = stored(rooted.join(named, "root").join(first, "root").select("node", "class_id", "class_node"), "classes")
+    drop_since(documents.sparkSession, mark, out)
+    return out
 
 
 def near_duplicates(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), is_first for every row."""
     sketched = sketch_documents(documents)
-    found = stored(classes(documents, sketched, similar), "classes")
+    found = classes(documents, sketched, similar)
     rows = sketched.select("doc_id", "node", "n_words").join(found, "node", "left")
     class_id = F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("is_first"))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutique.llm import chat, decontaminate, frames, knn, language, mixing, near_dups, quality, substring, token_store, toxicity
-from boutique.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -16,8 +15,7 @@ ORACLE: dict[str, str] = {}
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        configure(spark)
-        frames.ship_code(spark)
+        frames.ready(spark)
         return fn(spark, sf_dir)
 
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
