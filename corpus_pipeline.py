@@ -12,41 +12,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from boutique.llm import decontaminate, frames, mixing, near_dups, token_store, toxicity
-from boutique.session import configure
-
-
-def _ready(spark: SparkSession) -> None:
-    configure(spark)
-    frames.ship_code(spark)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator does not reject (score below 0.5)."""
-    _ready(spark)
+    frames.ready(spark)
     return toxicity.clean_documents(docs, frames.table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, the one of the smallest id."""
-    _ready(spark)
+    frames.ready(spark)
     return near_dups.first_documents(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages make up less than a twentieth."""
-    _ready(spark)
+    frames.ready(spark)
     return decontaminate.clean_documents(docs, frames.table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    _ready(spark)
+    frames.ready(spark)
     return mixing.mix_documents(docs)
 
 
 def store_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token store of the mix: doc_id, start, n_tokens, ids_crc32, read back."""
-    _ready(spark)
+    frames.ready(spark)
     return token_store.store_documents(docs)
 
 
@@ -63,11 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and reread."""
-    _ready(spark)
+    """All stages over ``documents``; each result is written to the shared folder and reread,
+    and what the stage has needed for it is deleted (but for the token store, the product)."""
+    frames.ready(spark)
     docs = frames.table(spark, sf_dir, "documents")
+    mark = frames.scratch_mark()
     for name, stage in STAGES:
         docs = frames.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        frames.drop_since(spark, mark, docs)
     return docs
 
 
