@@ -16,7 +16,7 @@ COLUMNS = {
 }
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op1_quality", "op9_language"}))
 def test_query(spark, sf_small, name):
     got = entry_mod.queries()[name](spark, sf_small).toPandas()
     assert list(got.columns)[:len(COLUMNS[name.split("_")[0]])] == COLUMNS[name.split("_")[0]] and len(got)
@@ -32,10 +32,14 @@ def test_query(spark, sf_small, name):
 def test_held_out_labels(spark, sf_small):
     """Held-out documents are scored better than by their most frequent label or language."""
     labels = spark.read.parquet(f"{sf_small}/labels.parquet").toPandas().set_index("doc_id")
-    quality = entry_mod.queries()["op1_quality"](spark, sf_small).toPandas().set_index("doc_id").join(labels, how="inner")
+    scored = entry_mod.queries()["op1_quality"](spark, sf_small).toPandas()
+    assert list(scored.columns) == COLUMNS["op1"] and scored.score.between(0, 1).all()
+    quality = scored.set_index("doc_id").join(labels, how="inner")
     held = quality[quality.held_out]
     assert (held.predicted == held.quality).mean() >= 0.9
     lang = spark.read.parquet(f"{sf_small}/documents.parquet").toPandas().set_index("doc_id").lang
-    found = entry_mod.queries()["op9_language"](spark, sf_small).toPandas().set_index("doc_id").join(lang)
+    predicted = entry_mod.queries()["op9_language"](spark, sf_small).toPandas()
+    assert list(predicted.columns) == COLUMNS["op9"] and len(predicted) == len(lang)
+    found = predicted.set_index("doc_id").join(lang)
     found = found[found.held_out & (found.lang_pred != "und")]
     assert (found.lang == found.lang_pred).mean() >= 0.97
