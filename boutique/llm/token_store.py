@@ -7,10 +7,11 @@ delta encoding where a row group has too many distinct ids, by the v2 page forma
 groups and pages are small and carry a page index, so that readers skip by doc_id and read
 n_tokens without the ids. Files are named in doc_id order.
 
-Tokenizing: every whole text is encoded; each distinct blank-separated piece of a batch is
-encoded once. That equals encoding the text as a whole for tokenizers whose pre-tokenizer
-never joins characters across ASCII white space and drops it (checked for the tokenizer by
-:func:`piecewise`; others get whole texts).
+Tokenizing: every whole text is encoded; each distinct piece of text is encoded once and
+remembered. Pieces end at ASCII white space and between ASCII letters and other ASCII marks,
+where the pre-tokenizer cuts anyway, and are lower-cased (A-Z) as its normalizer does.
+:func:`piecewise` checks that for the tokenizer; others, and texts that hold one of the
+tokenizer's own special strings, are encoded in one go.
 
 Defined cases: null texts are empty (the end id alone); ids are in order of (doc_id, text);
 null doc_ids come first.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boutique.llm.arrays import slices
+from boutique.llm.arrays import column_bytes, slices
 from boutique.llm.frames import scratch_path, stored
 
 END_ID = 2
@@ -39,8 +41,8 @@ WRITER = {
     "parquet.page.row.count.limit": "1000", "parquet.enable.dictionary": "true",
     "parquet.dictionary.page.size": str(1 << 20), "parquet.writer.version": "v2",
 }
-#: Pieces a worker remembers (about 30 bytes each), and pieces encoded in one call.
-_CACHE_PIECES = 800_000
+#: Pieces a worker remembers (about 150 bytes each), and pieces encoded in one call.
+_CACHE_PIECES = 1_200_000
 _LOT = 50
 
 
@@ -51,18 +53,41 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: What piecewise encoding relies on: the alternatives of the pre-tokenizer's pattern (a
+#: contraction starts with an apostrophe; letters, digits and other marks never mix) ...
+_ALTERNATIVES = (r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+")
+_LETTER = np.zeros(256, bool)
+_LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+_MARK = np.zeros(256, bool)  # ... and the ASCII marks other than space, digits and apostrophe.
+_MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27]] = True
+
+
 def piecewise(spec: dict) -> bool:
-    """Whether text may be cut at ASCII white space: it is matched by no pattern of the
-    pre-tokenizer, which drops what is unmatched, and no normalizer looks across it."""
+    """Whether pieces encode like the whole: the pre-tokenizer drops what its pattern doesn't
+    match, the pattern has only the known alternatives, and the normalizer is a lower-casing
+    one that doesn't look across pieces."""
     pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
     split = [p for p in pre if p.get("type") == "Split"]
     drops = bool(split) and split[0].get("behavior") == "Removed" and split[0].get("invert") and all(
-        alternative in (r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+") or alternative.startswith("'")
-        for alternative in split[0]["pattern"].get("Regex", " ").split("|"))
+        a in _ALTERNATIVES or (a.startswith("'") and a[1:].isalpha()) for a in split[0]["pattern"].get("Regex", " ").split("|"))
     norm = spec.get("normalizer") or {}
-    known = {n.get("type") for n in norm.get("normalizers", [norm]) if n} <= {"NFC", "Replace", "Lowercase"}
-    plain = not any(t.get("lstrip") or t.get("rstrip") or any(c in " \t\n\v\f\r" for c in t["content"]) for t in spec.get("added_tokens", []))
-    return bool(drops and known and plain)
+    return bool(drops) and [n.get("type") for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+
+
+def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(pieces, offsets by row): lower-cased, cut between ASCII letters and marks and at
+    ASCII white space. A mark before a letter isn't cut off if it is an apostrophe, which may
+    begin a contraction; a letter before one may be."""
+    buf, offsets = column_bytes(texts)
+    if not len(buf):
+        return pa.array([], pa.string()), np.zeros(len(offsets), np.int64)
+    letter, mark = _LETTER[buf], _MARK[buf]
+    cut = np.flatnonzero((letter[:-1] & (mark[1:] | (buf[1:] == 0x27))) | (mark[:-1] & letter[1:])) + 1
+    spaced = np.insert(buf, cut, 0x20)
+    new_offsets = offsets + np.searchsorted(cut, offsets)  # a cut at a border belongs to the row before it
+    spaced = pa.StringArray.from_buffers(len(texts), pa.py_buffer(new_offsets.astype(np.int32)), pa.py_buffer(spaced))
+    split = pc.ascii_split_whitespace(pc.ascii_lower(spaced))
+    return split.flatten(), np.asarray(split.offsets, dtype=np.int64)
 
 
 class Encoder:
@@ -75,12 +100,13 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.piecewise = piecewise(spec)
-        special = [t for t in spec.get("added_tokens", []) if t.get("special") and not t.get("normalized") and not t.get("single_word")]
-        self.mark, self.mark_id = (special[0]["content"], special[0]["id"]) if special else (None, -1)
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        marks = [t for t in spec.get("added_tokens", []) if t.get("special") and not t.get("normalized") and not t.get("single_word")]
+        self.mark, self.mark_id = (marks[0]["content"], marks[0]["id"]) if marks else (None, -1)
         self._forget()
 
     def _forget(self) -> None:
-        self.known = pa.array([], pa.string())
+        self.known: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.offsets = np.zeros(1, np.int64)
 
@@ -90,50 +116,51 @@ class Encoder:
         flat = np.concatenate([np.array(ids, np.uint32) for ids in found]) if found else np.zeros(0, np.uint32)
         return flat, np.concatenate([[0], np.cumsum(sizes)])
 
-    def _encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces in joined lots, with the tokenizer's own first special string, which is cut
-        out of a text before anything else, between them; pieces holding it go alone."""
-        if self.mark is None or pc.any(pc.match_substring(pieces, self.mark)).as_py():
-            return self._encode(pieces.to_pylist())
-        texts = pieces.to_pylist()
-        lots = [self.mark.join(texts[k:k + _LOT]) + self.mark for k in range(0, len(texts), _LOT)]
-        flat, _ = self._encode(lots)
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces in joined lots, with a special string of the tokenizer's, which it cuts out
+        before anything else, between them. (No piece holds one.)"""
+        if self.mark is None:
+            return self._encode(pieces)
+        flat, _ = self._encode([self.mark.join(pieces[k:k + _LOT]) + self.mark for k in range(0, len(pieces), _LOT)])
         marks = np.flatnonzero(flat == self.mark_id)
-        ends = marks - np.arange(len(marks))
-        return flat[flat != self.mark_id], np.concatenate([[0], ends])
+        return flat[flat != self.mark_id], np.concatenate([[0], marks - np.arange(len(marks))])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
-        if not self.piecewise:
-            return self._encode(texts.to_pylist())
-        pieces = pc.ascii_split_whitespace(texts)
-        row_offsets = np.asarray(pieces.offsets, dtype=np.int64)
-        row_offsets = row_offsets - row_offsets[0]
-        coded = pieces.flatten().dictionary_encode()
-        places = self._places(coded.dictionary)[np.asarray(coded.indices)]
-        sizes = (self.offsets[1:] - self.offsets[:-1])[places]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        take = np.arange(ends[-1]) + np.repeat(self.offsets[places] - ends[:-1], sizes)
-        return self.ids[take], ends[row_offsets]
-
-    def _places(self, pieces: pa.Array) -> np.ndarray:
-        """Places of the pieces among the known ones; unknown ones are encoded and kept.
-        (ASCII split leaves empty pieces at the borders of a text; they have no ids.)"""
+        whole = np.full(len(texts), not self.piecewise)
+        for content in self.special:
+            whole |= np.asarray(pc.match_substring(texts, content))
+        if not whole.any():
+            return self._by_pieces(texts)
+        parts = [self._encode([t.as_py()]) if w else self._by_pieces(texts.slice(k, 1)) for k, (t, w) in enumerate(zip(texts, whole, strict=True))]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
+
+    def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        pieces, row_offsets = _pieces(texts)
+        coded = pieces.dictionary_encode()
+        places = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        index = np.asarray(coded.indices)
+        sizes = (self.offsets[places + 1] - self.offsets[places]).astype(np.int32)[index]
+        ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])  # a slice has few tokens
+        take = np.repeat(self.offsets[places].astype(np.int32)[index] - ends[:-1], sizes)
+        take += np.arange(ends[-1], dtype=np.int32)
+        return self.ids[take], ends[row_offsets - row_offsets[0]].astype(np.int64)
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        """Places of the pieces among the known ones; new ones are encoded and kept.
+        (The split leaves empty pieces at the borders of a text; they have no ids.)"""
         if len(self.known) > _CACHE_PIECES:
             self._forget()
-        if pieces.type != self.known.type:
-            pieces = pieces.cast(self.known.type)
-        places = pc.index_in(pieces, value_set=self.known) if len(self.known) else pa.nulls(len(pieces), pa.int32())
-        new = pieces.filter(places.is_null())
-        if len(new):
+        places = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            new = [pieces[k] for k in missing.tolist()]
             ids, offsets = self._encode_pieces(new)
             self.offsets = np.concatenate([self.offsets, offsets[1:] + self.offsets[-1]])
             self.ids = np.concatenate([self.ids, ids])
-            out = np.asarray(pc.fill_null(places, -1)).astype(np.int64)
-            out[out < 0] = len(self.known) + np.arange(len(new))
-            self.known = pa.concat_arrays([self.known, new])
-            return out
-        return np.asarray(places).astype(np.int64)
+            places[missing] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(new, places[missing].tolist(), strict=True))
+        return places
 
 
 _encoders: dict[str, Encoder] = {}
@@ -145,10 +172,12 @@ def _encode(name: str, end_id: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         path = name if os.path.isabs(name) else tokenizer_path(name)
-        encoder = _encoders.setdefault(path, Encoder(path)) if path not in _encoders else _encoders[path]
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)
+        encoder = _encoders[path]
         before = 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 ids, offsets = encoder(part.column("text"))
                 rows = part.num_rows
                 with_end = np.full(len(ids) + rows, end_id, np.uint32)
