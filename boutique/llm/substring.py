@@ -10,9 +10,10 @@ windows are judged on the input.
    So a passage shared by a third of all documents costs one entry per run, not per copy.
 2. The entries travel as compact blocks, one row per (run, bucket of hashes), which keeps
    the shuffle at about 8 bytes per distinct window; each bucket finds the smallest
-   document of every hash and answers with the hashes of the documents that repeat it.
-3. Answers and settled windows are gathered per document, joined to the texts, and the
-   windows are merged into maximal removal intervals.
+   document of every hash and answers with the hashes of the documents that repeat it, one
+   block per group of documents.
+3. Answers and settled windows meet the texts by group of documents (a prime modulus of the
+   id), and the windows are merged into maximal removal intervals.
 
 Defined cases: null or empty texts and texts shorter than a window keep everything; rows
 with the same doc_id are one document for the "smaller id" rule (none removes the other);
@@ -34,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutique.llm.arrays import SPACE_WORDS, Words, column_bytes, covered, slices, window_hashes
+from boutique.llm.arrays import SPACE_WORDS, U64, Words, column_bytes, covered, slices, window_hashes
 
 WINDOW = 13
 #: Windows of a run: bounds a task's memory (about 50 bytes each).
@@ -55,52 +56,62 @@ def unpack(data: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).reshape(-1)
 
 
-_ENTRY = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary())])
-_REPEAT = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
+#: Blocks of entries carry a bucket; blocks of answers (group given) pass the buckets by.
+_BLOCK = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary())])
+_BLOCK_DDL = "bucket int, grp int, hashes binary, docs binary, ids binary"
 
 
-def _emit(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(rows, schema=schema)
+def _blocks(keys: np.ndarray, hashes: np.ndarray, doc: np.ndarray, ids: np.ndarray, bucket, grp) -> pa.RecordBatch:
+    """One block for each run of equal ``keys`` (ascending): its hashes, the documents used
+    (``doc`` indexes ``ids``) and each hash's place among those."""
+    cuts = np.flatnonzero(np.diff(keys, prepend=-1))
+    out: dict[str, list] = {k: [] for k in _BLOCK.names}
+    for hs, ds in zip(np.split(hashes, cuts[1:]), np.split(doc, cuts[1:]), strict=True):
+        used, local = np.unique(ds, return_inverse=True)
+        out["hashes"].append(pack(hs))
+        out["docs"].append(pack(local.astype(np.uint32)))
+        out["ids"].append(pack(ids[used]))
+    out["bucket"], out["grp"] = bucket(keys[cuts]), grp(keys[cuts])
+    return pa.RecordBatch.from_pydict(out, schema=_BLOCK)
+
+
+def _unblock(hashes: bytes, docs: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, doc ids) of a block."""
+    return unpack(hashes, np.uint64), unpack(ids, np.int64)[unpack(docs, np.uint32)]
+
+
+def _none(keys: np.ndarray) -> list:
+    return [None] * len(keys)
 
 
-def _settle(hashes: np.ndarray, doc: np.ndarray, ids: np.ndarray, buckets: int, spread: int) -> Iterator[pa.RecordBatch]:
-    """One run: ``doc`` indexes ``ids``, which ascend. Gives the run's entries by bucket and
-    the windows settled within the run by document."""
+def _answers(hashes: np.ndarray, doc_ids: np.ndarray, groups: int, bucket) -> pa.RecordBatch:
+    """Blocks by group of documents of the (hash, document) pairs to give up."""
+    grp = doc_ids % groups
+    order = np.lexsort((hashes, doc_ids, grp))
+    hashes, doc_ids, grp = hashes[order], doc_ids[order], grp[order]
+    fresh = np.concatenate([[True], (doc_ids[1:] != doc_ids[:-1]) | (hashes[1:] != hashes[:-1])])
+    hashes, doc_ids, grp = hashes[fresh], doc_ids[fresh], grp[fresh]
+    ids, doc = np.unique(doc_ids, return_inverse=True)
+    return _blocks(grp, hashes, doc, ids, bucket, lambda k: k.astype(np.int32))
+
+
+def _settle(hashes: np.ndarray, doc: np.ndarray, ids: np.ndarray, buckets: int, groups: int) -> Iterator[pa.RecordBatch]:
+    """One run: ``doc`` indexes ``ids``, which ascend. Gives the windows settled within the
+    run, by group of documents, and the run's entries, by bucket."""
     order = np.lexsort((doc, hashes))
     h, d = hashes[order], doc[order]
-    new = np.empty(len(h), bool)
-    new[:1] = True
-    new[1:] = h[1:] != h[:-1]
+    new = np.concatenate([[True], h[1:] != h[:-1]])
     first = np.flatnonzero(new)
     smallest = d[first][np.cumsum(new) - 1]
     repeat = (d != smallest) & (ids[d] != _NO_ID)
     if repeat.any():
-        rd, rh = d[repeat], h[repeat]
-        by_doc = np.lexsort((rh, rd))
-        rd, rh = rd[by_doc], rh[by_doc]
-        fresh = np.ones(len(rd), bool)
-        fresh[1:] = (rd[1:] != rd[:-1]) | (rh[1:] != rh[:-1])
-        rd, rh = rd[fresh], rh[fresh]
-        cuts = np.flatnonzero(np.diff(rd, prepend=-1))
-        doc_ids = ids[rd[cuts]]
-        yield _emit({
-            "bucket": (buckets + (doc_ids % spread)).astype(np.int32), "doc_id": doc_ids,
-            "hashes": [pack(x) for x in np.split(rh, cuts[1:])], "docs": [None] * len(cuts), "ids": [None] * len(cuts),
-        }, _ENTRY)
-    h, d = h[first], d[first].astype(np.uint32)  # ascending hashes: buckets are hash ranges
-    bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    cuts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
-    out: dict[str, list] = {k: [] for k in _ENTRY.names}
-    for hs, ds in zip(np.split(h, cuts[1:]), np.split(d, cuts[1:]), strict=True):
-        used, local = np.unique(ds, return_inverse=True)
-        out["hashes"].append(pack(hs))
-        out["docs"].append(pack(local.astype(np.uint16 if len(used) <= 65536 else np.uint32)))
-        out["ids"].append(np.int8(2 if len(used) <= 65536 else 4).tobytes() + pack(ids[used]))
-    out["bucket"], out["doc_id"] = bucket[cuts].astype(np.int32), [None] * len(cuts)
-    yield _emit(out, _ENTRY)
+        yield _answers(h[repeat], ids[d[repeat]], groups, lambda k: (buckets + k % buckets).astype(np.int32))
+    h, d = h[first], d[first]  # ascending hashes: buckets are hash ranges
+    bucket = (((h >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
+    yield _blocks(bucket, h, d, ids, lambda k: k.astype(np.int32), _none)
 
 
-def _windows(size: int, buckets: int, spread: int, run_windows: int):
+def _windows(size: int, buckets: int, groups: int, run_windows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -110,10 +121,10 @@ def _windows(size: int, buckets: int, spread: int, run_windows: int):
             ids, index = np.unique(np.concatenate([i for i, _, _ in held]), return_inverse=True)
             begun = np.cumsum([0, *(len(i) for i, _, _ in held)])
             doc = np.concatenate([index[b + d] for b, (_, _, d) in zip(begun, held, strict=False)])
-            yield from _settle(np.concatenate([h for _, h, _ in held]), doc, ids, buckets, spread)
+            yield from _settle(np.concatenate([h for _, h, _ in held]), doc, ids, buckets, groups)
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 words = Words(part.column("text"), SPACE_WORDS)
                 first, hashes = window_hashes(words.hashes, words.offsets, size)
                 ids = np.asarray(part.column("doc_id").fill_null(_NO_ID), dtype=np.int64)
@@ -127,72 +138,80 @@ def _windows(size: int, buckets: int, spread: int, run_windows: int):
     return run
 
 
-def _answer(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket: which documents repeat a window of a smaller one. Rows that were settled
-    in their run pass through."""
-    hashes, ids = [], []
-    for batch in group:
-        settled = batch.column("doc_id").is_valid()
-        if (keep := batch.filter(settled)).num_rows:
-            yield keep.select(["doc_id", "hashes"])
-        entries = batch.filter(pc.invert(settled))
-        for h, d, i in zip(*(entries.column(c).to_pylist() for c in ("hashes", "docs", "ids")), strict=True):
-            local = unpack(d, np.uint16 if i[0] == 2 else np.uint32)
-            hashes.append(unpack(h, np.uint64))
-            ids.append(unpack(i[1:], np.int64)[local])
-    if not hashes:
-        return
-    h, d = np.concatenate(hashes), np.concatenate(ids)
-    del hashes, ids
-    order = np.argsort(h, kind="stable")
-    h, d = h[order], d[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    if len(first) == len(h):
-        return
-    sizes = np.diff(np.append(first, len(h)))
-    smallest = np.repeat(np.minimum.reduceat(d, first), sizes)
-    repeat = (d > smallest) & (d != _NO_ID)
-    h, d = h[repeat], d[repeat]
-    if not len(h):
-        return
-    order = np.lexsort((h, d))
-    h, d = h[order], d[order]
-    cuts = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-    yield _emit({"doc_id": d[cuts], "hashes": [pack(x) for x in np.split(h, cuts[1:])]}, _REPEAT)
-
-
-def repeated_windows(documents: DataFrame, size: int = WINDOW, buckets: int | None = None, run_windows: int = RUN_WINDOWS) -> DataFrame:
-    """(doc_id, parts): packed hashes of the windows that each document must give up."""
-    spark = documents.sparkSession
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or 2 * spread
-    entries = documents.select("doc_id", "text").mapInArrow(
-        _windows(size, buckets, spread, run_windows), "bucket int, doc_id long, hashes binary, docs binary, ids binary")
-    answers = entries.groupBy("bucket").applyInArrow(_answer, "doc_id long, hashes binary")
-    return answers.groupBy("doc_id").agg(F.collect_list("hashes").alias("parts"))
+def _answer(groups: int):
+    def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One bucket: which documents repeat a window of a smaller one. Answers given
+        within a run pass through."""
+        hashes, ids = [], []
+        for batch in group:
+            settled = batch.column("grp").is_valid()
+            if (keep := batch.filter(settled)).num_rows:
+                yield keep
+            entries = batch.filter(pc.invert(settled))
+            for block in zip(*(entries.column(c).to_pylist() for c in ("hashes", "docs", "ids")), strict=True):
+                h, d = _unblock(*block)
+                hashes.append(h)
+                ids.append(d)
+        if not hashes:
+            return
+        h, d = np.concatenate(hashes), np.concatenate(ids)
+        del hashes, ids
+        order = np.argsort(h, kind="stable")
+        h, d = h[order], d[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        smallest = np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(h))))
+        repeat = (d > smallest) & (d != _NO_ID)
+        if repeat.any():
+            yield _answers(h[repeat], d[repeat], groups, _none)
+
+    return run
+
+
+def _prime(least: int) -> int:
+    return next(n for n in range(max(least, 2), 2 * max(least, 2) + 2) if all(n % k for k in range(2, int(n ** 0.5) + 1)))
 
 
-def _removed(size: int, with_text: bool):
-    def intervals(part: pa.RecordBatch) -> dict[int, np.ndarray]:
-        """Masks of removed words of the rows that have any, by row."""
-        rows = np.flatnonzero(np.asarray(part.column("parts").is_valid()))
-        some = part.take(pa.array(rows))
-        words = Words(some.column("text"), SPACE_WORDS)
-        masks = {}
-        for k, parts in enumerate(some.column("parts").to_pylist()):
-            a, b = int(words.offsets[k]), int(words.offsets[k + 1])
-            first, h = window_hashes(words.hashes[a:b], np.array([0, b - a]), size)
-            listed = np.unique(np.concatenate([unpack(p, np.uint64) for p in parts]))
-            at = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
-            masks[int(rows[k])] = covered(first[listed[at] == h], size, b - a)
-        return masks
+def repeated_windows(documents: DataFrame, groups: int, size: int = WINDOW, buckets: int | None = None, run_windows: int = RUN_WINDOWS) -> DataFrame:
+    """(grp, hashes, docs, ids): blocks, by group of documents (doc_id modulo ``groups``), of
+    the hashes of the windows that documents must give up."""
+    buckets = buckets or 2 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = documents.select("doc_id", "text").mapInArrow(_windows(size, buckets, groups, run_windows), _BLOCK_DDL)
+    return entries.groupBy("bucket").applyInArrow(_answer(groups), _BLOCK_DDL).drop("bucket")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+
+_REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:int,end:int>>, kept string"
+
+
+def _masks(part: pa.RecordBatch, given: dict[int, np.ndarray], size: int) -> dict[int, np.ndarray]:
+    """Masks of removed words, by row, of the rows whose document has ``given`` hashes."""
+    doc_ids = part.column("doc_id").to_pylist()
+    rows = [r for r, i in enumerate(doc_ids) if i in given]
+    words = Words(part.column("text").take(pa.array(rows, pa.int64())), SPACE_WORDS)
+    masks = {}
+    for k, r in enumerate(rows):
+        a, b = int(words.offsets[k]), int(words.offsets[k + 1])
+        first, h = window_hashes(words.hashes[a:b], np.array([0, b - a]), size)
+        listed = given[doc_ids[r]]
+        at = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
+        masks[r] = covered(first[listed[at] == h], size, b - a)
+    return masks
+
+
+def _removed(size: int, with_text: bool):
+    def run(documents: pa.Table, answers: pa.Table) -> pa.Table:
+        given: dict[int, np.ndarray] = {}
+        if answers.num_rows:
+            blocks = [_unblock(*b) for b in zip(*(answers.column(c).to_pylist() for c in ("hashes", "docs", "ids")), strict=True)]
+            h, d = np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
+            order = np.lexsort((h, d))
+            h, d = h[order], d[order]
+            cuts = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+            given = dict(zip(d[cuts].tolist(), np.split(h, cuts[1:]), strict=True))
+        spans, kept, n_words, n_removed, digest = [], [], [], [], []
+        for batch in documents.combine_chunks().to_batches():
             for part in slices(batch, "text"):
-                masks = intervals(part)
+                masks = _masks(part, given, size)
                 buf, offsets = column_bytes(part.column("text"))
-                spans, kept, n_words, n_removed, digest = [], [], [], [], []
                 for r in range(part.num_rows):
                     words = buf[offsets[r]:offsets[r + 1]].tobytes().split()
                     n_words.append(len(words))
@@ -207,11 +226,11 @@ def _removed(size: int, with_text: bool):
                     text = b" ".join(words)
                     kept.append(text if with_text else None)
                     digest.append(hashlib.sha256(text).hexdigest())
-                yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
-                    pa.array(digest, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))),
-                    pa.array(kept, pa.binary()).cast(pa.string()),
-                ], names=["doc_id", "n_words", "n_removed", "kept_sha256", "removed", "kept"])
+        return pa.Table.from_arrays([
+            documents.column("doc_id").combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+            pa.array(digest, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))),
+            pa.array(kept, pa.binary()).cast(pa.string()),
+        ], names=["doc_id", "n_words", "n_removed", "kept_sha256", "removed", "kept"])
 
     return run
 
@@ -221,8 +240,8 @@ def remove_repeats(documents: DataFrame, size: int = WINDOW, buckets: int | None
     """Every document with its maximal removal intervals (word positions, end exclusive) and
     the kept words joined by one space (null unless ``with_text``): doc_id, n_words,
     n_removed, kept_sha256, removed, kept."""
-    gone = repeated_windows(documents, size, buckets, run_windows)
-    joined = documents.select("doc_id", "text").join(gone, "doc_id", "left")
-    return joined.mapInArrow(
-        _removed(size, with_text),
-        "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:int,end:int>>, kept string")
+    groups = _prime(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    answers = repeated_windows(documents, groups, size, buckets, run_windows)
+    by_group = F.coalesce(F.pmod("doc_id", F.lit(groups)), F.pmod(F.xxhash64("text"), F.lit(groups))).cast("int")
+    texts = documents.select("doc_id", "text", by_group.alias("grp"))
+    return texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_removed(size, with_text), _REMOVED)
