@@ -13,11 +13,11 @@ connected components of the links.
    functions pick ``STRICT_SIZE``, which hardly brings together anything else.
 3. Candidates are checked by an alignment in a band around the diagonal, widened while the
    distance exceeds it up to the allowed distance, many pairs at a time.
-4. In every bucket of the first kind the members are compared with its smallest node, not
-   with each other. What is left are pairs of members of one bucket of the second kind that
-   are still in different classes. Buckets with few of them give all; a bucket with many is
-   split by the members' further keys, again and again, so that no bucket yields pairs by
-   the square of its size.
+4. In every bucket of the first kind the members are compared with its smallest node
+   first. Then all of its members that are still in different classes are compared with each
+   other, tile by tile, so that large buckets are shared out; pairs whose lengths or word
+   counts rule them out aren't aligned. Buckets of the second kind give all pairs of
+   different classes; one with many is split by the members' further keys.
 5. Components are found by hooking and jumping on the links, with stored tables between the
    rounds. Nothing but counts reaches the driver.
 
@@ -41,6 +41,11 @@ from boutique.llm.frames import as_rows, drop_since, schema_with, scratch_mark,
 K, SKETCHES, STRICT, STRICT_SIZE, SIMILAR = 5, 20, 12, 6, 0.8
 #: Pairs that a bucket may give per member before it is split by further keys.
 PAIRS_PER_MEMBER = 8
+#: Members of a bucket, and their words, that meet at once; larger buckets are compared
+#: tile by tile.
+TILE, TILE_WORDS = 1024, 1 << 20
+#: Bins of the words of a node, a byte each; pairs whose bins differ too much aren't aligned.
+BINS = 256
 #: Rows of 16 bytes up to which a side is broadcast instead of shuffled.
 BROADCAST_ROWS = 1_000_000
 _FACTORS = np.random.default_rng(41).integers(1, 1 << 63, SKETCHES + STRICT, dtype=np.uint64) * U64(2) + U64(1)
@@ -125,6 +130,11 @@ def _word_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "node", "words"])
 
 
+def _bins(words: np.ndarray) -> np.ndarray:
+    """How many words fall into each of BINS bins, 255 at most."""
+    return np.minimum(np.bincount(words % BINS, minlength=BINS), 255).astype(np.uint8)
+
+
 def _banded(a: list[np.ndarray], b: list[np.ndarray], t: int) -> np.ndarray:
     """Edit distances within a band of t diagonals to either side; t + 1 or more where the
     distance exceeds t."""
@@ -212,6 +222,68 @@ def _verify(similar: float):
     return run
 
 
+def _close_pairs(tile: np.ndarray, side: np.ndarray, root: np.ndarray, n_words: np.ndarray, leads: np.ndarray, band: np.ndarray, keys: np.ndarray,
+                 bins: np.ndarray, similar: float, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (of rows) of one tile that aren't of one class, have no earlier key in common
+    (they meet there) and aren't ruled out by their lengths or bins: every edit changes at
+    most one word of either text, so a text has at most as many words beyond the other's,
+    bin by bin, as there are edits."""
+    n = len(tile)
+    partners = np.searchsorted(tile, tile, "right") - np.arange(n) - 1
+    total = np.concatenate([[0], np.cumsum(partners)])
+    sums = bins.sum(axis=1, dtype=np.int64)
+    first = 0
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(total, total[first] + most, "right")) - 1)
+        a = np.repeat(np.arange(first, last), partners[first:last])
+        b = a + 1 + np.arange(len(a)) - np.repeat(total[first:last] - total[first], partners[first:last])
+        limit = np.floor((1 - similar) * np.maximum(n_words[a], n_words[b]) + 1e-9)
+        keep = (root[a] != root[b]) & ((side[a] == 0) | (side[a] != side[b])) & ~leads[a] & ~leads[b] & (np.abs(n_words[a] - n_words[b]) <= limit)
+        a, b, limit = a[keep], b[keep], limit[keep]
+        for k in range(0, len(a), 4096):
+            x, y = a[k:k + 4096], b[k:k + 4096]
+            beyond = np.maximum(bins[x], bins[y]).sum(axis=1, dtype=np.int64) - np.minimum(sums[x], sums[y])
+            near = beyond <= limit[k:k + 4096]
+            x, y = x[near], y[near]
+            here = (keys[x] == keys[y]).argmax(axis=1) == band[x]
+            if here.any():
+                yield x[here], y[here]
+        first = last
+
+
+def _tile_links(similar: float):
+    """Links from rows that come tile by tile; a tile may reach over several batches."""
+
+    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not rows.num_rows:
+            return
+        tile, side, node, root, n_words, leads, band = (rows.column(c).to_numpy() for c in ("tile", "side", "node", "root", "n_words", "leads", "band"))
+        keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+        words = [np.frombuffer(w, np.uint32) for w in rows.column("words").to_pylist()]
+        bins = np.stack([_bins(w) for w in words])
+        for x, y in _close_pairs(tile, side, root, n_words.astype(np.int64), leads, band, keys, bins, similar):
+            near = alike([words[k].astype(np.int64) for k in x], [words[k].astype(np.int64) for k in y], similar)
+            if near.any():
+                yield pa.RecordBatch.from_arrays([pa.array(node[x[near]]), pa.array(node[y[near]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tile = np.asarray(batch.column("tile"))
+            at = int(np.searchsorted(tile, tile[-1]))  # the last tile may go on
+            if at or (held and held[-1].column("tile")[-1].as_py() != tile[0]):
+                yield from links(pa.Table.from_batches([*held, batch.slice(0, at)]))
+                held = []
+            held.append(batch.slice(at))
+        if held:
+            yield from links(pa.Table.from_batches(held))
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (a stored table of a few longs a row) with a broadcast hint if it is small."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -264,7 +336,7 @@ class _Search:
         shared = bands.groupBy("band", "key").agg(
             F.min("node").alias("leader"), F.min_by("n_words", "node").alias("leader_words"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         self.members = stored(bands.join(shared, ["band", "key"]).select(
-            F.xxhash64("band", "key").alias("bucket"), "node", "doc_id", "n_words", "leader", "leader_words"), "buckets")
+            F.xxhash64("band", "key").alias("bucket"), "band", "node", "doc_id", "n_words", "leader", "leader_words"), "buckets")
         wanted = _small(stored(self.members.groupBy("node").agg(F.min("doc_id").alias("own_id")), "wanted"))
         texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
         chosen = texts.join(wanted.select("own_id"), F.col("doc_id").eqNullSafe(F.col("own_id")), "left_semi")
@@ -292,8 +364,26 @@ class _Search:
         usable = self.members.filter((F.col("node") != F.col("leader")) & self.close("n_words", "leader_words"))
         self.roots = components(self.verified(usable.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
 
+    def apart(self) -> DataFrame:
+        """Links (a, b) between members of one bucket that no leader has brought together:
+        all of them are compared. A large bucket's members are dealt to parts by hash; a
+        tile is two of its parts, and each pair of members has its tile."""
+        members = self.members.select("bucket", "band", "node", "n_words", (F.col("node") == F.col("leader")).alias("leads"))
+        level = stored(self.rooted(members, "node", "root"), "level")
+        sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.min("root").alias("low"), F.max("root").alias("high"))
+        parts = F.least("n", F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("words") / TILE_WORDS)))
+        mixed = _small(stored(sizes.filter("low <> high").select("bucket", parts.alias("parts")), "mixed"))
+        dealt = level.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+        dealt = dealt.join(self.words, "node").join(self.nodes.select("node", F.slice("keys", 1, SKETCHES).alias("keys")), "node")
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
+        tiles = dealt.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), side.alias("side"),
+                             "node", "root", "n_words", "leads", "band", "keys", "words")
+        return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_links(self.similar), "a long, b long")
+
     def rest(self) -> None:
-        """Members of one strict bucket that no leader has brought together."""
+        """Members of one bucket that no leader has brought together, then those of one
+        strict bucket."""
         strict = F.slice("keys", SKETCHES + 1, STRICT)
         keyed = self.nodes.select("node", "n_words", F.posexplode(strict).alias("last", "key"))
         level = self.rooted(keyed.select(F.xxhash64("last", "key").alias("bucket"), "node", "n_words", "last"), "node", "root")
@@ -322,7 +412,7 @@ class _Search:
         pairs = found[0]
         for p in found[1:]:
             pairs = pairs.unionByName(p)
-        links = self.verified(pairs)
+        links = stored(self.apart().unionByName(self.verified(pairs)), "links")
         if not links.isEmpty():  # links between classes: the classes' own components, then all nodes follow
             between = self.rooted(self.rooted(links, "a", "a_root"), "b", "b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
             later = components(stored(between.filter("a <> b").distinct(), "links"))

@@ -101,3 +101,61 @@ def test_components(spark):
     edges += list(zip(path, path[1:])) + [(path[0], path[20])] * 3
     got = {r.node: r.root for r in near_dups.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[p] for p in path} == {min(path)} and all(got[a] == got[b] == min(a, b) for a, b in edges[:5])
+
+
+def merged(pairs, n):
+    """Smallest member of each one's class."""
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return [find(x) for x in range(n)]
+
+
+def passage_pairs(rng, n, share, length=200):
+    """``n`` pairs of texts at 80 to 95 % edit similarity; all texts share a passage, but no
+    two pairs are alike."""
+    passage = words(rng, int(length * share), 10**6)
+    texts = []
+    for _ in range(n):
+        base = words(rng, length - len(passage), 10**6)
+        at = rng.randrange(len(base))
+        base = base[:at] + passage + base[at:]
+        texts += [base, changed(rng, base, rng.randint(length // 20, length // 5))]
+    return texts
+
+
+def compared(texts, kinds):
+    """(all alike pairs, those that share one of the keys ``kinds``), by all pairs."""
+    import pyarrow as pa
+
+    from boutique.llm.arrays import TERM_WORDS, Words
+
+    column = Words(pa.array([" ".join(t) for t in texts]), TERM_WORDS)
+    _, keys = near_dups.sketches(column)
+    rows = [column.hashes[a:b].astype(np.uint32).astype(np.int64) for a, b in zip(column.offsets[:-1], column.offsets[1:])]
+    a, b = np.triu_indices(len(texts), 1)
+    near = np.array(alike([rows[i] for i in a], [rows[i] for i in b]))
+    a, b = a[near], b[near]
+    shares = (keys[a][:, kinds] == keys[b][:, kinds]).any(axis=1)
+    return list(zip(a.tolist(), b.tolist())), list(zip(a[shares].tolist(), b[shares].tolist()))
+
+
+@pytest.mark.parametrize("tile", [None, 16])
+def test_members_of_a_bucket_are_compared(corpus, monkeypatch, tile):
+    """All pairs sharing a key of two k-mers, though the buckets' leaders are unlike both."""
+    if tile:
+        monkeypatch.setattr(near_dups, "TILE", tile)
+    texts = passage_pairs(random.Random(3), 150, 0.6)
+    everything, sharing = compared(texts, slice(0, near_dups.SKETCHES))
+    got = {r.doc_id: r.class_id for r in near_dups.near_duplicates(corpus([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert 100 < len(sharing) <= len(everything) < 300
+    want = merged(sharing, len(texts))
+    assert all(got[a] == got[b] for a, b in sharing)
+    assert sum(got[i] == want[i] for i in got) > 0.99 * len(got)  # others may share a strict key only
