@@ -14,10 +14,9 @@ connected components of the links.
 3. Candidates are checked by an alignment in a band around the diagonal, widened while the
    distance exceeds it up to the allowed distance, many pairs at a time.
 4. In every bucket of the first kind the members are compared with its smallest node
-   first. Then all of its members that are still in different classes are compared with each
-   other, tile by tile, so that large buckets are shared out; pairs whose lengths or word
-   counts rule them out aren't aligned. Buckets of the second kind give all pairs of
-   different classes; one with many is split by the members' further keys.
+   first. Then all members of a bucket, of either kind, that are still in different classes
+   are compared with each other, tile by tile, so that large buckets are shared out; pairs
+   whose lengths or word counts rule them out aren't aligned, and only links are rows.
 5. Components are found by hooking and jumping on the links, with stored tables between the
    rounds. Nothing but counts reaches the driver.
 
@@ -39,11 +38,9 @@ from boutique.llm.arrays import TERM_WORDS, U64, Words, mix, slices, window_hash
 from boutique.llm.frames import as_rows, drop_since, schema_with, scratch_mark, stored
 
 K, SKETCHES, STRICT, STRICT_SIZE, SIMILAR = 5, 20, 12, 6, 0.8
-#: Pairs that a bucket may give per member before it is split by further keys.
-PAIRS_PER_MEMBER = 8
-#: Members of a bucket, and their words, that meet at once; larger buckets are compared
-#: tile by tile.
-TILE, TILE_WORDS = 1024, 1 << 20
+#: Members of a bucket, and their words, that a member meets at once; larger buckets are
+#: compared tile by tile, all of them.
+PAIRS_PER_MEMBER, TILE_WORDS = 1024, 1 << 20
 #: Bins of the words of a node, a byte each; pairs whose bins differ too much aren't aligned.
 BINS = 256
 #: Rows of 16 bytes up to which a side is broadcast instead of shuffled.
@@ -332,7 +329,7 @@ class _Search:
         useful = sketched.filter(F.size("keys") > 0)
         self.nodes = stored(useful.groupBy("node").agg(
             F.min("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), F.any_value("keys").alias("keys")), "nodes")
-        bands = self.nodes.select("node", "doc_id", "n_words", F.posexplode(F.slice("keys", 1, SKETCHES)).alias("band", "key"))
+        bands = self.nodes.select("node", "doc_id", "n_words", F.posexplode("keys").alias("band", "key"))
         shared = bands.groupBy("band", "key").agg(
             F.min("node").alias("leader"), F.min_by("n_words", "node").alias("leader_words"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         self.members = stored(bands.join(shared, ["band", "key"]).select(
@@ -360,21 +357,21 @@ class _Search:
         return rows.join(roots, node, "left").withColumn(root, F.coalesce("_root", node)).drop("_root")
 
     def leaders(self) -> None:
-        """Every member against the leaders of its buckets."""
-        usable = self.members.filter((F.col("node") != F.col("leader")) & self.close("n_words", "leader_words"))
+        """Every member against the leaders of its buckets of two k-mers."""
+        usable = self.members.filter((F.col("band") < SKETCHES) & (F.col("node") != F.col("leader")) & self.close("n_words", "leader_words"))
         self.roots = components(self.verified(usable.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
 
     def apart(self) -> DataFrame:
         """Links (a, b) between members of one bucket that no leader has brought together:
         all of them are compared. A large bucket's members are dealt to parts by hash; a
         tile is two of its parts, and each pair of members has its tile."""
-        members = self.members.select("bucket", "band", "node", "n_words", (F.col("node") == F.col("leader")).alias("leads"))
+        members = self.members.select("bucket", "band", "node", "n_words", ((F.col("node") == F.col("leader")) & (F.col("band") < SKETCHES)).alias("leads"))
         level = stored(self.rooted(members, "node", "root"), "level")
         sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.min("root").alias("low"), F.max("root").alias("high"))
-        parts = F.least("n", F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("words") / TILE_WORDS)))
+        parts = F.least("n", F.greatest(F.ceil(F.col("n") / max(PAIRS_PER_MEMBER, 1)), F.ceil(F.col("words") / TILE_WORDS)))
         mixed = _small(stored(sizes.filter("low <> high").select("bucket", parts.alias("parts")), "mixed"))
         dealt = level.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-        dealt = dealt.join(self.words, "node").join(self.nodes.select("node", F.slice("keys", 1, SKETCHES).alias("keys")), "node")
+        dealt = dealt.join(self.words, "node").join(self.nodes.select("node", "keys"), "node")
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
         tiles = dealt.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), side.alias("side"),
@@ -382,37 +379,8 @@ class _Search:
         return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_links(self.similar), "a long, b long")
 
     def rest(self) -> None:
-        """Members of one bucket that no leader has brought together, then those of one
-        strict bucket."""
-        strict = F.slice("keys", SKETCHES + 1, STRICT)
-        keyed = self.nodes.select("node", "n_words", F.posexplode(strict).alias("last", "key"))
-        level = self.rooted(keyed.select(F.xxhash64("last", "key").alias("bucket"), "node", "n_words", "last"), "node", "root")
-        found = []
-        while True:
-            sizes = (level.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"), F.max("last").alias("last"))
-                     .groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max("last").alias("last"))
-                     .withColumn("pairs", (F.col("n") * F.col("n") - F.col("squares")) / 2).filter("pairs > 0"))
-            split = (F.col("pairs") > PAIRS_PER_MEMBER * F.col("n")) & (F.col("last") < STRICT - 1)
-            marked = stored(level.join(sizes.select("bucket", split.alias("split")), "bucket"), "mixed")
-            few = marked.filter(~F.col("split"))
-            roots = few.select("bucket", "root").distinct()
-            meets = roots.join(roots.select("bucket", F.col("root").alias("other")), "bucket").filter("root < other")
-            pairs = (few.select("bucket", "root", F.col("node").alias("a"), F.col("n_words").alias("a_words"))
-                     .join(meets, ["bucket", "root"])
-                     .join(few.select("bucket", F.col("root").alias("other"), F.col("node").alias("b"), F.col("n_words").alias("b_words")), ["bucket", "other"]))
-            found.append(pairs.filter(self.close("a_words", "b_words")).select("a", "b"))
-            many = marked.filter("split")
-            if many.isEmpty():
-                break
-            # Only members of split buckets are given their further keys.
-            extra = many.join(self.nodes.select("node", strict.alias("keys")), "node")
-            finer = extra.select("bucket", "node", "n_words", "root", "last", F.posexplode("keys").alias("next", "extra")).filter(
-                F.col("next") > F.col("last"))
-            level = stored(finer.select(F.xxhash64("bucket", "next", "extra").alias("bucket"), "node", "n_words", "root", F.col("next").alias("last")), "level")
-        pairs = found[0]
-        for p in found[1:]:
-            pairs = pairs.unionByName(p)
-        links = stored(self.apart().unionByName(self.verified(pairs)), "links")
+        """Members of one bucket, of either kind, that no leader has brought together."""
+        links = stored(self.apart(), "links")
         if not links.isEmpty():  # links between classes: the classes' own components, then all nodes follow
             between = self.rooted(self.rooted(links, "a", "a_root"), "b", "b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
             later = components(stored(between.filter("a <> b").distinct(), "links"))

@@ -151,7 +151,7 @@ def compared(texts, kinds):
 def test_members_of_a_bucket_are_compared(corpus, monkeypatch, tile):
     """All pairs sharing a key of two k-mers, though the buckets' leaders are unlike both."""
     if tile:
-        monkeypatch.setattr(near_dups, "TILE", tile)
+        monkeypatch.setattr(near_dups, "PAIRS_PER_MEMBER", tile)
     texts = passage_pairs(random.Random(3), 150, 0.6)
     everything, sharing = compared(texts, slice(0, near_dups.SKETCHES))
     got = {r.doc_id: r.class_id for r in near_dups.near_duplicates(corpus([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
@@ -159,3 +159,17 @@ def test_members_of_a_bucket_are_compared(corpus, monkeypatch, tile):
     want = merged(sharing, len(texts))
     assert all(got[a] == got[b] for a, b in sharing)
     assert sum(got[i] == want[i] for i in got) > 0.99 * len(got)  # others may share a strict key only
+
+
+@pytest.mark.parametrize("per_member", [8, 1024])
+def test_large_strict_buckets_are_compared_whole(corpus, monkeypatch, per_member):
+    """All keys but the first are taken as strict ones; most of their buckets are large and
+    many pairs share one key only."""
+    texts = passage_pairs(random.Random(5), 120, 0.6)
+    _, sharing = compared(texts, slice(None))
+    monkeypatch.setattr(near_dups, "PAIRS_PER_MEMBER", per_member)
+    monkeypatch.setattr(near_dups, "STRICT", near_dups.SKETCHES + near_dups.STRICT - 1)
+    monkeypatch.setattr(near_dups, "SKETCHES", 1)
+    got = {r.doc_id: r.class_id for r in near_dups.near_duplicates(corpus([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    want = merged(sharing, len(texts))
+    assert len(sharing) > 80 and [got[i] for i in range(len(texts))] == want
