@@ -5,7 +5,7 @@ Spark's Parquet writer stores one row per document: doc_id, place in the file, n
 the ids. The ids column is a list of 32-bit integers with a dictionary (falling back to
 delta encoding where a row group has too many distinct ids, by the v2 page format); row
 groups and pages are small and carry a page index, so that readers skip by doc_id and read
-n_tokens without the ids. Files are named in doc_id order.
+n_tokens without the ids. Files are numbered in doc_id order.
 
 Tokenizing: every whole text is encoded; each distinct piece of text is encoded once and
 remembered. Pieces end at ASCII white space and between ASCII letters and other ASCII marks,
@@ -225,9 +225,11 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_starts(store: DataFrame) -> DataFrame:
-    """(file, before): ids in all earlier files, by name; reads n_tokens only."""
+    """(file, before): ids in all earlier files, by the number in their names (which Spark
+    pads to five digits, so that names don't sort by it); reads n_tokens only."""
     files = store.groupBy(F.input_file_name().alias("file")).agg(F.sum("n_tokens").alias("n"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    earlier = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     return files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
 
 

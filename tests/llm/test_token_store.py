@@ -68,3 +68,13 @@ def test_round_trip(spark, corpus, tokenizer, tmp_path):
 
 def test_empty(corpus):
     assert token_store.store_documents(corpus([])).count() == 0
+
+
+def test_files_are_ordered_by_number(spark, tmp_path):
+    """Beyond 100,000 files the names don't sort by number any more."""
+    numbers = [3, 10001, 99999, 100000, 100001, 1000000]
+    for k, number in enumerate(numbers):
+        pq.write_table(pa.table({"doc_id": [k], "start_in_file": [0], "n_tokens": [10 ** k]}), tmp_path / f"part-{number:05d}-a-b-c000.zstd.parquet")
+    store = spark.read.schema("doc_id long, start_in_file long, n_tokens long").parquet(str(tmp_path))
+    got = {int(r.file.rsplit("part-", 1)[1].split("-")[0]): r.before for r in token_store.read_starts(store).collect()}
+    assert got == {number: sum(10 ** j for j in range(k)) for k, number in enumerate(numbers)}
