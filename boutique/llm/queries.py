@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutique.llm import chat, decontaminate, frames, knn, language, mixing, near_dups, quality, substring, token_store, toxicity
+from boutique.llm import chat, decontaminate, frames, knn, language, manifest, mixing, near_dups, quality, substring, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -92,6 +92,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(frames.table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proofs of every document, checked against tampered copies of half of them."""
+    bare = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return manifest.verify(frames.table(spark, sf_dir, "documents"), bare)
+
+
 ORACLE["op2_exact_topk"] = """
 WITH usable AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)::BIGINT) AS v
@@ -205,3 +212,53 @@ mixed AS (
 ORACLE["op10_mixing"] = "WITH " + MIX_CTES.replace("{documents}", "documents") + """
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM mixed
 """
+
+
+#: Unsigned CRC-32 of the decimal form of {x}, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split({x}::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 1, 2, 3, 4, 5, 6, 7, 8],
+      lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)))"""
+
+ORACLE["op13_manifest"] = """
+WITH RECURSIVE docs AS (
+  SELECT *, CASE WHEN """ + CRC32.replace("{x}", "doc_id") + """ % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS tampered FROM documents),
+hashed AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(tampered) || ':' || tampered, '-')) AS claimed
+  FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+          || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM docs)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM hashed),
+up AS (  -- the levels of every source's tree
+  SELECT source, 0 AS lvl, list(leaf ORDER BY p) AS nodes FROM placed GROUP BY source
+  UNION ALL
+  SELECT source, lvl + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], ''))) FROM up WHERE len(nodes) > 1),
+subroots AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS q FROM up WHERE len(nodes) = 1),
+over AS (  -- and of the tree over the sources
+  SELECT 0 AS lvl, list(subroot ORDER BY q) AS nodes FROM subroots
+  UNION ALL
+  SELECT lvl + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], ''))) FROM over WHERE len(nodes) > 1),
+path AS (  -- runs met by each leaf: level, place, what stands before and after it
+  SELECT l.source, l.p, u.lvl, i, array_to_string(nodes[i - i % 3 + 1:i], '') AS before, array_to_string(nodes[i + 2:i - i % 3 + 3], '') AS after
+  FROM (SELECT source, p, unnest(range(40)) AS k FROM placed) l
+  JOIN up u ON u.source IS NOT DISTINCT FROM l.source AND u.lvl = l.k AND len(u.nodes) > 1,
+  LATERAL (SELECT l.p // (3::HUGEINT ** u.lvl)::BIGINT AS i)),
+path_over AS (
+  SELECT s.source, o.lvl, array_to_string(nodes[i - i % 3 + 1:i], '') AS before, array_to_string(nodes[i + 2:i - i % 3 + 3], '') AS after
+  FROM subroots s JOIN over o ON len(o.nodes) > 1, LATERAL (SELECT s.q // (3::HUGEINT ** o.lvl)::BIGINT AS i)),
+steps AS (
+  SELECT source, p, row_number() OVER (PARTITION BY source, p ORDER BY part, lvl) AS n, before, after FROM (
+    SELECT source, p, 0 AS part, lvl, before, after FROM path
+    UNION ALL SELECT l.source, l.p, 1, o.lvl, o.before, o.after FROM placed l JOIN path_over o ON o.source IS NOT DISTINCT FROM l.source)),
+whole AS (
+  SELECT source, p, list(before ORDER BY n) AS b, list(after ORDER BY n) AS a, string_agg(before || after, '' ORDER BY n) AS proof FROM steps GROUP BY source, p),
+folded AS (
+  SELECT l.source, l.p, claimed AS node, coalesce(b, []) AS b, coalesce(a, []) AS a, 0 AS n FROM placed l LEFT JOIN whole w ON w.source IS NOT DISTINCT FROM l.source AND w.p = l.p
+  UNION ALL
+  SELECT source, p, sha256(b[n + 1] || node || a[n + 1]), b, a, n + 1 FROM folded WHERE n < len(b))
+SELECT l.doc_id, l.leaf, s.subroot, r.nodes[1] AS root, sha256(coalesce(w.proof, '')) AS proof_sha256, f.node AS folded_root, f.node = r.nodes[1] AS verified
+FROM placed l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source
+JOIN (SELECT nodes FROM over WHERE len(nodes) = 1) r ON true
+LEFT JOIN whole w ON w.source IS NOT DISTINCT FROM l.source AND w.p = l.p
+JOIN folded f ON f.source IS NOT DISTINCT FROM l.source AND f.p = l.p AND f.n = len(f.b)
+"""

@@ -12,6 +12,7 @@ COLUMNS = {
     "op3": ["doc_id", "held_out", "score", "predicted"], "op4": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op5": ["doc_id", "class_id"], "op6": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
     "op7": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"], "op8": ["doc_id", "n_words", "n_removed", "kept_sha256"],
+    "op13": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
     "op9": ["doc_id", "held_out", "lang_pred", "score"], "op10": ["doc_id", "size", "source_size", "target", "taken"],
 }
 
