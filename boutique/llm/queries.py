@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutique.llm import chat, decontaminate, frames, knn, language, manifest, mixing, near_dups, quality, substring, token_store, toxicity
+from boutique.llm import (chat, decontaminate, embed_dups, frames, knn, language, manifest, mixing, near_dups, prefix_trie, quality, substring, token_store,
+                          toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -92,6 +93,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(frames.table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.trie(frames.table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding."""
+    return embed_dups.near_duplicates(frames.table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle proofs of every document, checked against tampered copies of half of them."""
@@ -220,6 +233,55 @@ CRC32 = """xor(4294967295, list_reduce(
     lambda crc, b: list_reduce([xor(crc, b), 1, 2, 3, 4, 5, 6, 7, 8],
       lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)))"""
 
+ORACLE["op11_prefix_trie"] = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT conv_id, digest, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS k
+  FROM (SELECT *, substr(sha256(length(role) || ':' || role || text), 1, 32) AS digest,
+               len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM said)),
+convs AS (SELECT conv_id, """ + CRC32.replace("{x}", "conv_id") + r""" % 4 AS h FROM (SELECT DISTINCT conv_id FROM said)),
+parts AS (
+  SELECT c.conv_id, 0 AS part, k, digest, words FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND k <= h
+  UNION ALL
+  SELECT c.conv_id, 1, k, digest, words FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND k > h),
+rebuilt AS (
+  SELECT conv_id, coalesce(list(digest ORDER BY part, k) FILTER (WHERE digest IS NOT NULL), []) AS s,
+         coalesce(list(words ORDER BY part, k) FILTER (WHERE digest IS NOT NULL), []) AS w
+  FROM convs LEFT JOIN parts USING (conv_id) GROUP BY conv_id),
+prefixes AS (
+  SELECT conv_id, depth, array_to_string(s[1:depth], '') AS key, CASE WHEN depth > 0 THEN w[depth] ELSE 0 END AS words, depth = len(s) AS ends
+  FROM rebuilt, unnest(range(len(s) + 1)) r(depth)),
+nodes AS (
+  SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY key, depth),
+kids AS (SELECT substr(key, 1, 32 * (depth - 1)) AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (
+  SELECT substr(v.key, 1, 32 * a) AS key, sum((v.n_convs - 1) * v.words)::BIGINT AS saved, count(*) FILTER (WHERE k.n IS NULL) AS leaves
+  FROM nodes v LEFT JOIN kids k USING (key), unnest(range(v.depth + 1)) r(a) GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, b.leaves AS n_leaves, b.saved AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.key = substr(n.key, 1, 32 * (n.depth - 1)) LEFT JOIN kids k ON k.key = n.key JOIN below b ON b.key = n.key
+"""
+
+ORACLE["op12_embedding_duplicates"] = """
+WITH RECURSIVE vectors AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS FIRST) AS r, vec_id, v,
+    coalesce(len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0, false) AS ok
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)),
+pairs AS (
+  SELECT a.r AS a, b.r AS b, b.vec_id FROM (SELECT * FROM vectors WHERE ok) a JOIN (SELECT * FROM vectors WHERE ok) b ON a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reached AS (
+  SELECT r AS a, r AS b FROM vectors
+  UNION
+  SELECT x.a, p.b FROM reached x JOIN pairs p ON p.a = x.b),
+smallest AS (SELECT x.a, min(v.vec_id) AS component_id FROM reached x JOIN vectors v ON v.r = x.b GROUP BY x.a),
+degrees AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM vectors v JOIN smallest s ON s.a = v.r LEFT JOIN degrees d ON d.a = v.r
+"""
+
 ORACLE["op13_manifest"] = """
 WITH RECURSIVE docs AS (
   SELECT *, CASE WHEN """ + CRC32.replace("{x}", "doc_id") + """ % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS tampered FROM documents),
