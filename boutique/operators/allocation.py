@@ -15,12 +15,15 @@ product holding a large share of the demand is still spread over many tasks.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutique import constants as K
 from boutique.functions.ids import format_id, id_number
+from boutique.operators.components import connected
 from boutique.operators.ordered import max_id_number, row_numbers, running_sum
 from boutique.sources.carts import normalise_carts
 from boutique.sources.schemas import MONEY
@@ -46,44 +49,109 @@ def supply_intervals(stock: DataFrame, pieces: int | None = None) -> DataFrame:
     ))
 
 
-def admit_carts(lines: DataFrame, stock: DataFrame, pieces: int | None = None) -> DataFrame:
+#: Lines that one task decides serially (about a second's work); a parameter of the session
+#: (``boutique.serialLines``), so that tests can make it small.
+SERIAL_LINES = 500_000
+
+
+def _serial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Carts in their order, each against what the admitted ones before it have left; the
+    rows of a cart follow each other. ``room``: what a line's product had at the start."""
+    left: dict[str, int] = {}
+
+    def decide(cart: int, lines: list[tuple[str, int, int]]) -> bool:
+        if any(qty > left.get(product, room) for product, qty, room in lines):
+            return False
+        for product, qty, room in lines:
+            left[product] = left.get(product, room) - qty
+        return True
+
+    cart, lines = None, []
+    for batch in batches:
+        carts, verdicts = [], []
+        for own, *line in zip(*(batch.column(c).to_pylist() for c in ("cart_id", "product_id", "qty", "room")), strict=True):
+            if own != cart and lines:
+                carts.append(cart)
+                verdicts.append(decide(cart, lines))
+                lines = []
+            cart = own
+            lines.append(tuple(line))
+        yield pa.RecordBatch.from_arrays([pa.array(carts, pa.int64()), pa.array(verdicts, pa.bool_())], names=["cart_id", "admitted"])
+    if lines:
+        yield pa.RecordBatch.from_arrays([pa.array([cart], pa.int64()), pa.array([decide(cart, lines)], pa.bool_())], names=["cart_id", "admitted"])
+
+
+def _serial_by_component(key: tuple[pa.Scalar, ...], lines: pa.Table) -> pa.Table:
+    ordered = lines.select(["cart_id", "product_id", "qty", "room"]).sort_by("cart_id")
+    return pa.Table.from_batches(_serial(iter(ordered.to_batches())), pa.schema([("cart_id", pa.int64()), ("admitted", pa.bool_())]))
+
+
+_VERDICT = "cart_id long, admitted boolean"
+
+
+def _contended(lines: DataFrame, room: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, open lines): what follows from each product's total alone.
+
+    A cart that asks more than a product has left is rejected. Of the other carts' demand, a
+    product that has enough for all of it decides nothing, so its lines are done with; a cart
+    with no other lines is admitted. What stays open are lines on scarce products.
+    """
+    asked = materialize(lines.join(room, "product_id", "left").withColumn("room", F.coalesce("room", F.lit(0).cast("bigint"))))
+    fits = asked.groupBy("cart_id").agg(F.bool_and(F.col("qty") <= F.col("room")).alias("fits"))
+    asked = asked.join(fits, "cart_id")
+    scarce = asked.filter("fits").groupBy("product_id").agg(F.sum("qty").alias("demand"), F.max("room").alias("has")).filter("demand > has")
+    marked = asked.join(scarce.select("product_id", F.lit(True).alias("scarce")), "product_id", "left")
+    marked = materialize(marked.select("cart_id", "product_id", "qty", "room", "fits", (F.col("fits") & F.coalesce("scarce", F.lit(False))).alias("open")))
+    judged = marked.groupBy("cart_id").agg(F.bool_and("fits").alias("admitted"), F.bool_or("open").alias("open"))
+    return judged.filter(~F.col("open")).select("cart_id", "admitted"), marked.filter("open").select("cart_id", "product_id", "qty", "room")
+
+
+def admit_carts(lines: DataFrame, stock: DataFrame, pieces: int | None = None, serial_lines: int | None = None) -> DataFrame:
     """Serial checkout (V15, U8): carts in order of their id; a cart is admitted when, for
     every line, what the admitted carts before it have left of the product suffices.
 
     Availability is the sum of the product's stock rows as they are; a product without stock
-    rows has none. Solved in rounds over the undecided carts: with the demand of all earlier
-    admitted and undecided carts taken off, a cart all of whose lines fit is admitted; with
-    only the admitted ones taken off, a cart with a line that does not fit is rejected. The
-    first undecided cart is decided in every round, so the rounds end, at the serial result.
+    rows has none. Only carts that contend for a scarce product need an order
+    (:func:`_contended`). Up to ``serial_lines`` of their lines are decided by one task, cart
+    after cart. Beyond that, carts are split into components (carts that share a scarce
+    product, directly or through others), which don't affect each other: every component's
+    first ``serial_lines`` lines are decided in one task, all components in parallel; their
+    takings come off the products, and what is still contended goes on. So the rounds are as
+    many as the largest component has times ``serial_lines`` lines: the order of one
+    component is serial by definition.
     Returns ``(cart_id, admitted)``.
     """
-    demanded = lines.select("product_id").distinct()
-    supply = stock.join(demanded, "product_id", "left_semi").groupBy("product_id").agg(
-        F.sum("quantity_available").cast("bigint").alias("supply"))
-    # status of a line's cart: U undecided, A admitted, R rejected.
-    active = materialize(lines.join(supply, "product_id", "left").select(
-        "cart_id", "product_id", F.col("qty").cast("bigint").alias("qty"),
-        F.coalesce("supply", F.lit(0)).alias("supply"), F.lit("U").alias("status")))
-    rows = active.count()  # never grows: a bound for all rounds
-    verdicts = active.select("cart_id", F.lit(True).alias("admitted")).limit(0)
-    left = F.col("supply") - F.col("qty")
-    while not active.filter("status = 'U'").isEmpty():
-        # Only products that an undecided cart still asks for matter.
-        open_products = active.filter("status = 'U'").select("product_id").distinct()
-        before = running_sum(
-            active.join(open_products, "product_id", "left_semi"),
-            {"taken": F.when(F.col("status") == "A", F.col("qty")).otherwise(0), "claimed": F.col("qty")},
-            ["cart_id"], ["product_id"], inclusive=False, per_piece=pieces, rows=rows)
-        carts = before.filter("status = 'U'").groupBy("cart_id").agg(
-            F.bool_and(F.col("claimed") <= left).alias("fits"), F.bool_and(F.col("taken") <= left).alias("may_fit"))
-        now = F.when(F.col("fits"), "A").when(~F.col("may_fit"), "R").otherwise(F.col("status"))
-        judged = materialize(active.join(carts, "cart_id", "left").select(
-            "cart_id", "product_id", "qty", "supply", now.alias("status"),
-            (F.col("fits").isNotNull() & (now != "U")).alias("new")))
-        verdicts = verdicts.unionByName(
-            judged.filter("new").groupBy("cart_id").agg(F.bool_and(F.col("status") == "A").alias("admitted")))
-        active = judged.filter("status <> 'R'").drop("new")
-    return materialize(verdicts)
+    most = serial_lines or int(lines.sparkSession.conf.get("boutique.serialLines", str(SERIAL_LINES)))
+    lines = lines.select(F.col("cart_id").cast("bigint").alias("cart_id"), "product_id", F.col("qty").cast("bigint").alias("qty"))
+    room = stock.join(lines.select("product_id").distinct(), "product_id", "left_semi").groupBy("product_id").agg(
+        F.sum("quantity_available").cast("bigint").alias("room"))
+    verdicts, open_ = _contended(lines, room)
+    while (n := open_.count()) > most:
+        open_, decided = _first_lines_of_components(open_, n, most, pieces)
+        verdicts = verdicts.unionByName(decided)
+        taken = open_.join(decided.filter("admitted"), "cart_id", "left_semi").groupBy("product_id").agg(F.sum("qty").alias("taken"))
+        room = materialize(open_.select("product_id", "room").distinct().join(taken, "product_id", "left").select(
+            "product_id", (F.col("room") - F.coalesce("taken", F.lit(0))).alias("room")))
+        left = open_.join(decided, "cart_id", "left_anti").drop("room")
+        more, open_ = _contended(left, room)
+        verdicts = verdicts.unionByName(more)
+    last = open_.repartition(1).sortWithinPartitions("cart_id").mapInArrow(_serial, _VERDICT)  # `most` rows at most
+    return materialize(verdicts.unionByName(last))
+
+
+def _first_lines_of_components(open_: DataFrame, n: int, most: int, pieces: int | None) -> tuple[DataFrame, DataFrame]:
+    """(open lines, verdicts): the carts that begin within the first ``most`` lines of their
+    component, decided."""
+    node = lambda kind, c: F.xxhash64(F.lit(kind), F.col(c))
+    edges = open_.select(node("cart", "cart_id").alias("a"), node("product", "product_id").alias("b"))
+    roots = connected(edges).select(F.col("node").alias("_node"), F.col("root").alias("component"))
+    placed = materialize(open_.withColumn("_node", node("cart", "cart_id")).join(roots, "_node").drop("_node"))
+    sizes = placed.groupBy("component", "cart_id").agg(F.count(F.lit(1)).alias("lines"))
+    sizes = running_sum(sizes, {"before": F.col("lines")}, ["cart_id"], ["component"], inclusive=False, per_piece=pieces)
+    first = sizes.filter(F.col("before") < most).select("component", "cart_id")
+    chosen = placed.join(first, ["component", "cart_id"])
+    decided = materialize(chosen.groupBy("component").applyInArrow(_serial_by_component, _VERDICT))
+    return placed.drop("component"), decided
 
 
 def ranked_sides(lines: DataFrame, stock: DataFrame, pieces: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -77,6 +77,49 @@ def test_admission_equals_serial_checkout(spark, avail, carts):
     assert {(r.cart_id, r.product_id): r["sum(take)"] for r in got} == taken
 
 
+def test_admission_by_components(spark):
+    """Groups of carts that contend for their own scarce products, each larger than what one
+    task decides: in rounds, component by component, with the serial verdicts."""
+    import random
+
+    rng = random.Random(3)
+    rows, carts = [], []
+    for group in range(4):
+        for k in range(5):
+            rows.append((f"STOCK_{group}{k:04d}", f"PROD_{group}{k:04d}", rng.randrange(5, 60)))
+    for c in range(90):
+        group = rng.choice([0, 0, 0, 1, 2, 3])
+        picks = rng.sample(range(5), rng.choice([1, 1, 2, 3]))
+        carts.append((c + 1, {f"PROD_{group}{k:04d}": rng.choice([1, 3, 9, 70]) for k in picks}))
+    carts.append((91, {"PROD_00000": 1, "PROD_10001": 1}))  # joins two groups
+    carts.append((92, {"PROD_99999": 1}))
+    t = tables(spark, stock=[stock(s, p, seller=f"SELLER_{i:04d}", avail=a) for i, (s, p, a) in enumerate(rows)])
+    lines = spark.createDataFrame([(c, p, q) for c, cart in carts for p, q in cart.items()], "cart_id long, product_id string, qty int")
+    want, _, _ = serial_checkout(rows, carts)
+    assert 20 < sum(want.values()) < 70
+    for serial_lines in (None, 15):
+        got = al.admit_carts(lines, t.stock, pieces=20, serial_lines=serial_lines)
+        assert {r.cart_id: r.admitted for r in got.collect()} == want
+
+
+def test_connected_components(spark):
+    import random
+
+    from boutique.operators.components import connected
+
+    rng = random.Random(8)
+    edges = [(rng.randrange(10**9) * 2, rng.randrange(10**9) * 2) for _ in range(30)]
+    nodes = sorted({x for e in edges for x in e})
+    edges += [(rng.choice(nodes), rng.choice(nodes)) for _ in range(25)] + [(nodes[0], nodes[0])]
+    label = {x: x for x in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got) == set(nodes)
+    assert len({(label[x], got[x]) for x in nodes}) == len(set(label.values())) == len(set(got.values()))
+
+
 def test_rejected_demand_is_free_again(spark):
     """One cart asking for too much, or for an unknown product, does not block later carts."""
     t = tables(spark, products=[product("PROD_00001")], stock=[stock("STOCK_00001", "PROD_00001", avail=10)])
