@@ -7,12 +7,14 @@ place), are rectified and max-pooled per chunk. The document's features are the
 maximum of the chunks' pooled values; a logistic layer turns them into one probability.
 
 Since the chunks overlap by half, pooling is done once per half chunk and the maximum taken
-over neighbouring halves.
+over neighbouring halves. A filter at a text's end sees zero bytes, whatever text is next in
+the batch, in training as in scoring: a score is a function of the text and the model alone.
 
 Learning is by gradient descent (Adam) on the driver, on a bounded sample: at most
 ``SAMPLE_DOCUMENTS`` labelled documents outside the held-out fold (the smallest digests of
-the id, as many of either label as there are, up to half each) and of each at most
-``SAMPLE_HALVES`` half chunks, spread evenly over the whole text. Scoring uses every byte of
+the id, as many of either label as there are, up to half each; one row of an id that
+repeats, that of the smallest digest) and of each at most ``SAMPLE_HALVES`` half chunks,
+spread evenly over the whole text. Scoring uses every byte of
 every text.
 
 Defined cases: null and empty texts have one empty chunk of zero bytes and get a score like
@@ -47,15 +49,23 @@ class Model:
 
 
 def _activations(buf: np.ndarray, model: Model) -> np.ndarray:
-    """Rectified filter outputs at every position of ``buf``, which is padded with zeros."""
-    padded = np.concatenate([buf, np.zeros(WIDTH - 1, np.uint8)])
-    out = model.filters[0][padded[: len(buf)]]
+    """Rectified filter outputs at every position of ``buf`` but the last WIDTH - 1."""
+    n = len(buf) - WIDTH + 1
+    out = model.filters[0][buf[:n]]
     for j in range(1, WIDTH):
-        out += model.filters[j][padded[j:j + len(buf)]]
+        out += model.filters[j][buf[j:j + n]]
     out += model.bias
     return np.maximum(out, 0, out=out)
 
 
+def padded(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The texts with WIDTH - 1 zero bytes after each: text r begins at offsets[r] + r * (WIDTH - 1)."""
+    out = np.zeros(len(buf) + (len(offsets) - 1) * (WIDTH - 1), np.uint8)
+    at = np.arange(len(buf)) + np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) * (WIDTH - 1)
+    out[at] = buf
+    return out
+
+
 def halves(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, offsets by row) of the half chunks: at least one per row."""
     sizes = np.diff(offsets)
@@ -66,20 +76,28 @@ def halves(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pooled(buf: np.ndarray, offsets: np.ndarray, model: Model, piece: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """Max-pooled features of every half chunk of the rows."""
+    """Max-pooled features of every half chunk of the rows. Filters run over pieces of about
+    ``piece`` bytes, each with the bytes that its last filters still see."""
     starts, by_row = halves(offsets)
-    ends = np.minimum(starts + HALF, np.repeat(offsets[1:], np.diff(by_row)))
+    n = np.diff(by_row)
+    ends = np.minimum(starts + HALF, np.repeat(offsets[1:], n))
+    shift = np.repeat(np.arange(len(offsets) - 1), n) * (WIDTH - 1)
+    data = padded(buf, offsets)
+    starts, ends = starts + shift, ends + shift
     out = np.zeros((len(starts), FILTERS), np.float32)
     full = np.flatnonzero(ends > starts)
     lot = (starts[full] // piece) if len(full) else np.zeros(0, int)
     cuts = np.flatnonzero(np.diff(lot, prepend=-1))
     for a, b in zip(cuts, np.append(cuts, len(full))[1:], strict=True):
         s, e = starts[full[a:b]], ends[full[a:b]]
-        values = _activations(buf[s[0]:e[-1]], model)
+        values = _activations(data[s[0]:e[-1] + WIDTH - 1], model)
+        gaps = np.flatnonzero(s[1:] > e[:-1])  # padding between texts: no filter's place
+        for k in range(WIDTH - 1):
+            values[e[gaps] + k - s[0]] = -1
         out[full[a:b]] = np.maximum.reduceat(values, s - s[0], axis=0)
     empty = np.flatnonzero(ends <= starts)
     if len(empty):
-        out[empty] = _activations(np.zeros(1, np.uint8), model)
+        out[empty] = _activations(np.zeros(WIDTH, np.uint8), model)
     return out, by_row
 
 
@@ -101,12 +119,13 @@ def probabilities(buf: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndar
     if len(offsets) < 2:
         return np.zeros(0)
     x = features(*pooled(buf, offsets, model)).astype(np.float64)
-    return 1 / (1 + np.exp(-np.clip(x @ model.weights + model.intercept, -50, 50)))
+    total = (x * model.weights).sum(axis=1)  # row by row: not a matrix product, whose rounding depends on the batch
+    return 1 / (1 + np.exp(-np.clip(total + model.intercept, -50, 50)))
 
 
 def _sampled_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """At most SAMPLE_HALVES half chunks of each text, evenly spread, with the bytes of one
-    filter width beyond."""
+    """At most SAMPLE_HALVES half chunks of each text, evenly spread, with the bytes that
+    their last filters see beyond them."""
     for batch in batches:
         for part in slices(batch, "text"):
             buf, offsets = column_bytes(part.column("text"))
@@ -114,18 +133,22 @@ def _sampled_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 n = max(1, -(-(b - a) // HALF))
                 picks = range(n) if n <= SAMPLE_HALVES else np.linspace(0, n - 1, SAMPLE_HALVES).astype(int).tolist()
-                taken.append([buf[a + HALF * k:min(b, a + HALF * (k + 1))].tobytes() for k in picks])
-            yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(taken, pa.list_(pa.binary()))], names=["y", "halves"])
+                taken.append([buf[a + HALF * k:min(b, a + HALF * (k + 1) + WIDTH - 1)].tobytes() for k in picks])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "y", "digest")), pa.array(taken, pa.list_(pa.binary()))],
+                                             names=["doc_id", "y", "digest", "halves"])
 
 
 def _gradient_step(model: Model, texts: list[list[bytes]], y: np.ndarray, weight: np.ndarray) -> tuple[list[np.ndarray], float]:
     """Gradients of the weighted logistic loss over a few documents."""
     parts = [h for t in texts for h in t]
-    sizes = np.array([max(len(h), 1) for h in parts])
-    buf = np.frombuffer(b"".join(h or b"\0" for h in parts), np.uint8)
+    own = np.array([min(max(len(h), 1), HALF) for h in parts])  # positions; what a half has beyond them is only seen
+    sizes = own + WIDTH - 1
+    buf = np.frombuffer(b"".join(h.ljust(n, b"\0") for h, n in zip(parts, sizes.tolist(), strict=True)), np.uint8)
     starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     by_row = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    values = _activations(buf, model)
+    values = np.concatenate([_activations(buf, model), np.zeros((WIDTH - 1, FILTERS), np.float32)])
+    for k in range(WIDTH - 1):
+        values[starts + own + k] = -1
     halved = np.maximum.reduceat(values, starts, axis=0)
     # Position of each half's maximum, per filter.
     where = np.arange(len(buf))[:, None]
@@ -148,14 +171,12 @@ def _gradient_step(model: Model, texts: list[list[bytes]], y: np.ndarray, weight
     top = np.maximum.reduceat(np.where(used[:, None], chunk, -1), by_row[:-1], axis=0)
     is_top = used[:, None] & (chunk == top[rows])
     d_chunk += np.where(is_top, dx[rows, FILTERS:], 0.0)
-    d_half = np.zeros_like(d_chunk)
-    column = np.broadcast_to(np.arange(FILTERS), source.shape)
-    np.add.at(d_half, (source, column), d_chunk)
+    mine = source == np.arange(len(parts))[:, None]
+    d_half = np.where(mine, d_chunk, 0.0)
+    d_half[1:] += np.where(mine[:-1], 0.0, d_chunk[:-1])
     d_half *= halved > 0
-    g_filters = np.zeros_like(model.filters, dtype=np.float64)
-    padded = np.concatenate([buf, np.zeros(WIDTH - 1, np.uint8)])
-    for j in range(WIDTH):
-        np.add.at(g_filters[j], (padded[at_top + j], column), d_half)
+    g_filters = np.stack([np.bincount((buf[at_top + j].astype(np.int64) * FILTERS + np.arange(FILTERS)).ravel(), d_half.ravel(), 256 * FILTERS)
+                          for j in range(WIDTH)]).reshape(WIDTH, 256, FILTERS)
     loss = -float((weight * (y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9))).sum() / weight.sum())
     return [g_filters, d_half.sum(axis=0), g_weights, np.array(g_intercept)], loss
 
@@ -209,8 +230,10 @@ def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCUMENTS)
         room = min(n.get(y, 0), most - rare) if n.get(y, 0) > most // 2 else n.get(y, 0)
         own = labels.filter(F.col("y") == y).orderBy(digest, "doc_id").limit(max(room, 0))
         picked = own if picked is None else picked.unionByName(own)
-    sample = with_labels(documents, stored(picked, "quality-sample"))
-    rows = sample.mapInArrow(_sampled_halves, "y int, halves array<binary>").collect()  # at most `most` rows of SAMPLE_HALVES * HALF bytes
+    sample = with_labels(documents, stored(picked, "quality-sample")).withColumn("digest", F.md5(F.coalesce("text", F.lit(""))))
+    sample = sample.mapInArrow(_sampled_halves, "doc_id long, y int, digest string, halves array<binary>")
+    once = sample.groupBy("doc_id").agg(F.min_by(F.struct("y", "halves"), "digest").alias("s"))
+    rows = once.select("s.*").collect()  # at most `most` rows of SAMPLE_HALVES * HALF bytes
     rows.sort(key=lambda r: (r["y"], r["halves"]))
     y = np.array([r["y"] for r in rows], np.int64)
     model = fit([[bytes(h) for h in r["halves"]] for r in rows], y)
