@@ -11,13 +11,16 @@ so far. That threshold is propagated: a first pass over a few shards gives every
 k-th score that all other shards start from. All queries of a block go through a tree
 together, with one bound and one threshold each.
 
-Queries are a stated set, used in blocks of ``QUERY_BLOCK``: one block is broadcast at a
-time (its size is fixed), and every block scans all shards. The result has k rows per query.
+Queries are a stated set, used in blocks of ``QUERY_BLOCK`` rows and ``QUERY_VALUES``
+components at most: one block is broadcast at a time, and every block scans all shards. The
+result has k rows per query.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no
-part, nor do vectors with a component of 2**31 or more after scaling; vectors of different
-lengths never meet; rows with the query's own id are not its candidates; rows repeating an
-id and vector are one candidate; ties go to the smaller id; a null id takes no part.
+part; vectors of different lengths never meet; candidates are rows: an id's several vectors,
+and repeated rows, count one by one, but rows with the query's own id are not its candidates;
+a query id with several rows is a query for each; ties go to the smaller id; a null id takes
+no part. Products are exact; scaled components and scores beyond 64 bits count as the
+largest (or smallest) 64-bit integer.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from boutique.llm.frames import stored
 
 SHARD, LEAF = 8192, 256
-QUERY_BLOCK = 16_384
+QUERY_BLOCK, QUERY_VALUES = 16_384, 1 << 22
 #: Shards of the first pass, which sets the thresholds.
 PILOT_SHARDS = 1
 _LOWEST = -(1 << 63)
@@ -76,11 +79,15 @@ def build(ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> Tree:
     return Tree(ids[order], vectors[order], np.array(low), np.array(high), np.array(children), np.array(spans))
 
 
+def _largest(values: np.ndarray) -> int:
+    return max(abs(int(values.min())), abs(int(values.max())))
+
+
 def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Exact integer inner products; by floating point where all sums stay below 2**53."""
     if not len(vectors) or not len(queries):
         return np.zeros((len(queries), len(vectors)), np.int64)
-    largest = int(np.abs(queries).max()) * int(np.abs(vectors).max()) * vectors.shape[1]
+    largest = _largest(queries) * _largest(vectors) * vectors.shape[1]
     if largest < 1 << 53:
         return (queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
     if largest < 1 << 63:
@@ -90,10 +97,11 @@ def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def _bounds(tree: Tree, queries: np.ndarray, node: int) -> np.ndarray:
-    """The largest score the node's box allows, by query; a little above, never below."""
+    """The largest score the node's box allows, by query; a little above, never below
+    (the terms may cancel, so the margin follows their sizes, not their sum)."""
     positive, negative = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-    value = positive @ tree.high[node].astype(np.float64) + negative @ tree.low[node].astype(np.float64)
-    return value + np.abs(value) * 1e-9 + 1
+    high, low = tree.high[node].astype(np.float64), tree.low[node].astype(np.float64)
+    return positive @ high + negative @ low + (positive @ np.abs(high) - negative @ np.abs(low)) * 1e-11 + 1
 
 
 def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, threshold: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,19 +171,18 @@ def _shard(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
 
 
 def quantised(vectors: DataFrame, scale: float = 256.0, column: str = "embedding") -> DataFrame:
-    """(vec_id, vector): distinct usable rows as integers."""
+    """(vec_id, vector): the usable rows as integers."""
     scaled = F.transform(F.col(column), lambda x: F.floor(x.cast("double") * F.lit(scale)))
     usable = F.col("vec_id").isNotNull() & (F.size(column) > 0) & F.forall(
-        column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * F.lit(scale)) < float(1 << 31)))
+        column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vectors.select("vec_id", column).filter(F.coalesce(usable, F.lit(False))).select(
         F.col("vec_id").cast("long").alias("vec_id"), scaled.cast("array<bigint>").alias("vector"))
 
 
 def index(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
-    """The stored shards of (vec_id, vector): dimension, first_id, n, tree. Rows are dealt
-    evenly; repeated (id, vector) rows are dropped first."""
-    rows = vectors.dropDuplicates(["vec_id", "vector"])
-    return stored(rows.mapInArrow(_build_shards(shard), "dimension int, first_id long, n long, tree binary"), "kd-shards")
+    """The stored shards of (vec_id, vector): dimension, first_id, n, tree; the rows of a
+    task, as they come, fill one shard after the other."""
+    return stored(vectors.mapInArrow(_build_shards(shard), "dimension int, first_id long, n long, tree binary"), "kd-shards")
 
 
 def _search(shared, k: int):
@@ -199,20 +206,20 @@ _FOUND = "dimension int, place int, query_id long, vec_id long, score long"
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("dimension", "place", "query_id").orderBy(F.desc("score"), "vec_id")
-    once = found.groupBy("dimension", "place", "query_id", "vec_id").agg(F.max("score").alias("score"))
-    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def top_k(queries: DataFrame, shards: DataFrame, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's ``k`` best by (score, smaller id) among
-    the rows of ``shards`` (see :func:`index`) with another id."""
+    """query_id, rank, vec_id, score: the ``k`` best of each row of ``queries`` by (score,
+    smaller id) among the rows of ``shards`` (see :func:`index`) with another id."""
     spark = queries.sparkSession
-    asked = stored(queries.dropDuplicates(["vec_id", "vector"]), "kd-queries")
-    n_blocks = max(1, -(-asked.count() // block))
+    asked = stored(queries.select("vec_id", "vector").withColumn("tie", F.monotonically_increasing_id()), "kd-queries")
+    n, values = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
+    n_blocks = max(1, -(-n // block), -(-values // QUERY_VALUES))
     pilots = shards.orderBy("first_id").limit(PILOT_SHARDS)
     results = None
     for number in range(n_blocks):
-        own = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == number) if n_blocks > 1 else asked
+        own = asked.filter(F.pmod(F.xxhash64("tie"), F.lit(n_blocks)) == number) if n_blocks > 1 else asked
         rows: dict[int, list] = {}
         for r in own.select("vec_id", "vector").collect():  # one block
             rows.setdefault(len(r["vector"]), []).append((r["vec_id"], r["vector"]))
