@@ -95,14 +95,28 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
     turns = F.flatten(F.transform(blocks, lambda b: F.transform(
         F.split(F.substring_index(b, TEXT, -1), NEXT, -1), lambda t: F.struct(
             unescape(F.replace(F.substring_index(b, TEXT, 1), F.lit(TURN), F.lit(""))).alias("role"), unescape(t).alias("text")))))
-    return formatted.select("conv_id", "formatted", turns.alias("turns"), loss_text().alias("loss_text"))
-
-
-def loss_text() -> Column:
-    """The texts under the mask, unescaped. Intervals are read off pieces cut at them: a
-    substring by code points from the string's start would be quadratic."""
-    return unescape(F.array_join(F.transform("loss", lambda s: F.substring(
-        F.col("formatted"), (s["first"] + 1).cast("int"), (s["end"] - s["first"]).cast("int"))), ""))
+    return learned(formatted.select("conv_id", "formatted", "loss", turns.alias("turns"))).drop("loss")
+
+
+def learned(formatted: DataFrame) -> DataFrame:
+    """Adds loss_text, the texts under the mask, unescaped. The string is cut at its control
+    strings once; the pieces and the mask's intervals are put in one order by position, in
+    which an interval stands right before the piece that it begins in. (Substrings by
+    position from the string's start would take quadratic time.)"""
+    lead = lambda p: F.substring_index(p, ">", 1)  # noqa: E731 - of a piece "turn>...", the control string
+    pieces = F.transform(F.filter(F.split("formatted", "<", -1), lambda p, k: k > 0), lambda p: F.struct(
+        (F.length(lead(p)) + 2).cast("long").alias("skip"), (F.length(p) + 1).cast("long").alias("all"), p.alias("piece")))
+    cut = formatted.withColumn("_pieces", pieces)
+    cut = cut.withColumn("_starts", _sums_before(F.transform("_pieces", lambda p: p["all"])))
+    texts = F.zip_with("_pieces", "_starts", lambda p, s: F.struct(
+        (s + p["skip"]).alias("at"), F.lit(1).alias("kind"), p["skip"].alias("n"), p["piece"].alias("piece")))
+    marks = F.transform("loss", lambda m: F.struct(
+        m["first"].alias("at"), F.lit(0).alias("kind"), (m["end"] - m["first"]).alias("n"), F.lit("").alias("piece")))
+    cut = cut.withColumn("_placed", F.array_sort(F.concat(texts, marks)))
+    under = F.filter(F.transform("_placed", lambda x, k: F.when(
+        (k > 0) & (x["kind"] == 1) & (F.get("_placed", k - 1)["kind"] == 0) & (F.get("_placed", k - 1)["at"] == x["at"]),
+        F.substring(x["piece"], x["n"].cast("int"), F.get("_placed", k - 1)["n"].cast("int")))), lambda x: x.isNotNull())
+    return cut.withColumn("loss_text", unescape(F.array_join(under, ""))).drop("_pieces", "_starts", "_placed")
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -42,6 +42,22 @@ def test_equals_plain_python(spark):
         assert d.loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
 
 
+def test_reading_back_is_linear(spark):
+    """Four times the turns take less than ten times as long (a quadratic read-back took 13)."""
+    import time
+
+    def seconds(n):
+        df = spark.range(n).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "repeat('é< ', 60) text")
+        formatted = spark.createDataFrame(chat.format_conversations(df).collect(), "conv_id long, formatted string, loss array<struct<first:long,end:long>>")
+        begun = time.perf_counter()
+        assert chat.digests(formatted).first().loss_chars == n // 2 * 180
+        return time.perf_counter() - begun
+
+    seconds(200)
+    few, many = min(seconds(2000) for _ in range(2)), min(seconds(8000) for _ in range(2))
+    assert many < 10 * few
+
+
 def test_plan_has_no_python_and_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     result = chat.digests(chat.format_conversations(df))
