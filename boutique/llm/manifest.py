@@ -38,12 +38,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutique.llm.frames import stored
-from boutique.llm.numbering import numbered, small
+from boutique.llm.numbering import FEW_ROWS, numbered, small
 
 ARITY = 3
 #: Levels that one block reduces: 3**8 = 6,561 leaves, 9,841 digests of 32 bytes at most.
 HEIGHT = 8
 _WIDTH = 32
+#: Blocks (of up to 315 KB) that one task goes through without a shuffle.
+FEW_BLOCKS = 256
 
 
 # ------------------------------------------------------------------------------ layout
@@ -175,11 +177,17 @@ def _block_of(up: int) -> Column:
     return F.floor(F.col("place") / ARITY**up).cast("long")
 
 
+def few_together(rows: DataFrame, most: int) -> DataFrame:
+    """A table of at most ``most`` rows as one partition, which needs no shuffle."""
+    return rows.coalesce(1) if rows.limit(most + 1).count() <= most else rows
+
+
 def trees(placed: DataFrame, name: str, up: int) -> list[DataFrame]:
     """The levels of blocks over (grp, place, digest), lowest first: every group ends in one
     block (``last``), whose digest is the group's root. Stored tables."""
     levels, below = [], placed.select("grp", "place", "digest")
     while True:
+        below = few_together(below, FEW_ROWS)
         totals = small(stored(below.groupBy("grp").agg((F.max("place") + 1).alias("total")), f"{name}-totals"))
         made = below.join(totals, "grp").withColumn("block", _block_of(up)).groupBy("grp", "block").applyInArrow(_blocks(up), _BLOCK)
         levels.append(stored(made, f"{name}-blocks"))
@@ -213,8 +221,8 @@ def hand_down(nodes: DataFrame, blocks: DataFrame, up: int) -> DataFrame:
     def run(key: tuple[pa.Scalar, ...], own: pa.Table, above: pa.Table) -> pa.Table:
         return _paths(key[1].as_py(), own, above, up)
 
-    nodes = nodes.select("grp", "place", _block_of(up).alias("block"))
-    return nodes.groupBy("grp", "block").cogroup(blocks.groupBy("grp", "block")).applyInArrow(run, _PATH)
+    nodes = few_together(nodes.select("grp", "place", _block_of(up).alias("block")), FEW_ROWS)
+    return nodes.groupBy("grp", "block").cogroup(few_together(blocks, FEW_BLOCKS).groupBy("grp", "block")).applyInArrow(run, _PATH)
 
 
 def _blocks_with_paths(blocks: DataFrame, paths: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from boutique.llm.frames import stored
 
 #: Rows of a few numbers or digests each, up to which a table may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Rows of that kind up to which one task does all: shuffles of so few cost more than they spread.
+FEW_ROWS = 10_000
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -49,8 +51,12 @@ def numbered(rows: DataFrame, group: str, order: Sequence, name: str) -> DataFra
     One range partitioning of the group and its whole order, numbered as it streams by; a
     group that reaches over partitions gets what its earlier partitions hold, from one row
     per partition. A group of any size is spread like all others; only rows equal in group
-    and order share a task.
+    and order share a task. Up to FEW_ROWS rows are one task's work.
     """
+    if rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        one = rows.coalesce(1).sortWithinPartitions(F.col(group), *order)
+        schema = T.StructType([*one.schema.fields, T.StructField("_local", T.LongType())])
+        return stored(one.mapInArrow(_local_places(group), schema), name).withColumnRenamed("_local", "place")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, F.col(group), *order).sortWithinPartitions(F.col(group), *order)
     ranged = ranged.withColumn("_part", F.spark_partition_id())
