@@ -20,6 +20,7 @@ from boutique.functions.text import (
     strip_python,
 )
 from boutique.functions.ids import id_number
+from boutique.operators import changes as cg
 from boutique.operators import quality as qa
 from boutique.operators.customers import customer_segments
 from boutique.operators.ordered import assign_ids, row_numbers
@@ -46,13 +47,6 @@ def _rejects(checked: DataFrame, key: str) -> DataFrame:
         F.col(key).cast("string").alias("key"), "errors")
 
 
-def _dedupe_batch(changes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Changes whose key appears once in the batch, and the others as rejects."""
-    flagged = qa.with_unique_flag(changes, key, "_once")
-    return (flagged.filter("_once").drop("_once"),
-            _reject(flagged.filter(~F.col("_once")), key, f"{key}: duplicated in batch"))
-
-
 # --------------------------------------------------------------------------------- products
 def add_products(t: Tables, batch: DataFrame, as_of: dt.datetime, as_of_year: int | None = None) -> dict:
     """Validate, number (PROD_, then one default stock row each, STOCK_), append."""
@@ -103,8 +97,9 @@ def add_products(t: Tables, batch: DataFrame, as_of: dt.datetime, as_of_year: in
 
 
 def update_products(t: Tables, changes: DataFrame, as_of_year: int) -> dict:
-    """Sparse product update; a change with any invalid field is rejected whole."""
-    changes, dup = _dedupe_batch(changes, "product_id")
+    """Sparse product update; a change with any invalid field is rejected whole. Several
+    changes of a product (in the order of ``seq``) leave the last value of each field."""
+    changes, dup = cg.ordered(changes, "product_id")
     found, missing = qa.split_existing(changes, t.products, "product_id")
     nn = lambda c: F.col(c).isNull()
     rules = [
@@ -124,7 +119,6 @@ def update_products(t: Tables, changes: DataFrame, as_of_year: int) -> dict:
         qa.Rule("product_weight_g: too large", qa.storable_int("new_product_weight_g")),
     ]
     checked = qa.check(found, rules)
-    ok = checked.filter(F.size("errors") == 0).drop("errors")
     casts = {
         "product_name": strip_python("new_product_name"),
         "product_category": strip_python("new_product_category"),
@@ -135,6 +129,7 @@ def update_products(t: Tables, changes: DataFrame, as_of_year: int) -> dict:
         "product_weight_g": F.col("new_product_weight_g").cast("string").try_cast("double").try_cast("int"),
         "product_description": F.col("new_product_description"),
     }
+    ok = cg.fold(checked.filter(F.size("errors") == 0), "product_id", [f"new_{c}" for c in casts])
     ch = ok.select("product_id", *[v.alias(f"_n_{k}") for k, v in casts.items()])
     j = t.products.join(ch, "product_id", "left")
     products = j.select(*[
@@ -194,10 +189,13 @@ def update_customers(t: Tables, changes: DataFrame, admin: bool = True) -> dict:
     """Sparse customer update. Self-service changes may not touch email or is_admin.
 
     Changed fields are validated as on insert (names non-empty, email, phone, zip, and the
-    geolocation membership of changed zip/city/state); a changed email must not belong to
-    another customer nor repeat in the batch.
+    geolocation membership of changed zip/city/state). With a ``seq``, changes apply one
+    after the other: an email can be taken once its customer has given it up, and several
+    changes of a customer leave the last value of each field. Without, a changed email must
+    not belong to another customer at the start nor repeat in the batch.
     """
-    changes, dup = _dedupe_batch(changes, "customer_id")
+    in_order = "seq" in changes.columns
+    changes, dup = cg.ordered(changes, "customer_id")
     found, missing = qa.split_existing(changes, t.customers, "customer_id")
     if not admin:
         found = found.withColumn("new_email", F.lit(None).cast("string")).withColumn(
@@ -205,12 +203,6 @@ def update_customers(t: Tables, changes: DataFrame, admin: bool = True) -> dict:
     nn = lambda c: F.col(c).isNull()
     found = found.withColumn("new_email", strip_python("new_email"))
     flagged = qa.geo_flags(found, t.geolocation, "new_zip_code_prefix", "new_city", "new_state")
-    # An email is free unless a customer has it; its own customer may keep it.
-    wanted = flagged.select("customer_id", "new_email").filter(F.col("new_email").isNotNull())
-    owners = t.customers.select(F.col("customer_id").alias("_owner"), strip_python("email").alias("_em"))
-    taken = wanted.join(owners, F.col("new_email") == F.col("_em")).filter("_owner <> customer_id").select(
-        "customer_id", F.lit(False).alias("_email_free")).distinct()
-    flagged = flagged.join(taken, "customer_id", "left").withColumn("_email_free", F.coalesce("_email_free", F.lit(True)))
     rules = [
         qa.Rule("first_name: must not be empty", nn("new_first_name") | qa.non_empty("new_first_name")),
         qa.Rule("last_name: must not be empty", nn("new_last_name") | qa.non_empty("new_last_name")),
@@ -220,11 +212,22 @@ def update_customers(t: Tables, changes: DataFrame, admin: bool = True) -> dict:
         qa.Rule("zip_code_prefix: unknown", F.col("zip_ok")),
         qa.Rule("city: unknown", F.col("city_ok")),
         qa.Rule("state: unknown", F.col("state_ok")),
-        qa.Rule("email: already registered", F.col("_email_free")),
     ]
-    checked = qa.check_unique(qa.check(flagged, rules), "new_email", "email: duplicated in batch")
-    checked = materialize(checked.drop("zip_ok", "city_ok", "state_ok", "_email_free"))
-    ok = checked.filter(F.size("errors") == 0)
+    checked = materialize(qa.check(flagged, rules).drop("zip_ok", "city_ok", "state_ok"))
+    if admin:
+        amount = F.lit(None).cast("bigint")
+        events = checked.filter((F.size("errors") == 0) & F.col("new_email").isNotNull()).select(
+            cg.N, F.col("customer_id").alias("holder"), F.col("new_email").alias("wanted"), amount.alias("set_a"), amount.alias("set_b"))
+        zero = F.lit(0).cast("bigint")
+        holders = t.customers.select(F.col("customer_id").alias("holder"), strip_python("email").alias("held"), zero.alias("a"), zero.alias("b"))
+        taken = F.when(F.col("taken"), F.lit("email: already registered"))
+        if in_order:
+            verdict = cg.settle(events, holders).select(cg.N, taken.alias("_email"))
+        else:
+            verdict = cg.settle_unordered(events, holders).select(
+                cg.N, F.coalesce(taken, F.when(F.col("repeated"), F.lit("email: duplicated in batch"))).alias("_email"))
+        checked = materialize(checked.join(verdict, cg.N, "left").withColumn(
+            "errors", F.array_compact(F.concat("errors", F.array("_email")))).drop("_email"))
     casts = {
         "first_name": strip_python("new_first_name"),
         "last_name": strip_python("new_last_name"),
@@ -237,6 +240,7 @@ def update_customers(t: Tables, changes: DataFrame, admin: bool = True) -> dict:
         "address_line2": F.col("new_address_line2"),
         "is_admin": F.col("new_is_admin").cast("tinyint"),
     }
+    ok = cg.fold(checked.filter(F.size("errors") == 0), "customer_id", [f"new_{c}" for c in casts])
     ch = ok.select("customer_id", *[v.alias(f"_n_{k}") for k, v in casts.items()])
     j = t.customers.join(ch, "customer_id", "left")
     customers = j.select(*[
@@ -352,61 +356,46 @@ def restore_stock(t: Tables, cancelled_orders: DataFrame, as_of: dt.datetime) ->
 # ------------------------------------------------------------------------------------ stock
 def update_stock(t: Tables, changes: DataFrame, as_of: dt.datetime) -> dict:
     """Sparse stock update. Numbers: null keeps. Texts: null or blank keeps, else
-    stripped. Available is recomputed as in stock - reserved; a negative result rejects."""
-    changes, dup = _dedupe_batch(changes, "stock_id")
-    found, missing = qa.split_existing(changes, t.stock, "stock_id")
-    cur = t.stock.alias("s")
-    j = cur.join(found.alias("c"), "stock_id", "inner")
-
-    def num(c):
-        return F.coalesce(strip_python(F.col(f"c.new_{c}").cast("string")).try_cast("int"), F.col(f"s.{c}"))
+    stripped. Available is recomputed as in stock - reserved; a negative result rejects.
 
+    With a ``seq``, each change is judged by what the accepted ones before it have left: the
+    row's numbers, and which row holds a seller's place for the product (a place given up
+    earlier in the batch can be taken). Without, a place held at the start, or wanted by two
+    changes, is refused; changes that break another rule don't count.
+    """
+    in_order = "seq" in changes.columns
+    changes, dup = cg.ordered(changes, "stock_id")
+    found, missing = qa.split_existing(changes, t.stock, "stock_id")
     numbers = ("quantity_in_stock", "quantity_reserved", "min_stock_level", "reorder_point")
-
-    def txt(c):
-        v = strip_python(F.col(f"c.new_{c}"))
-        return F.when(v.isNotNull() & (v != ""), v).otherwise(F.col(f"s.{c}"))
-
-    upd = j.select(
-        "stock_id",
-        txt("seller_id").alias("seller_id"),
-        F.col("s.product_id").alias("product_id"),
-        num("quantity_in_stock").alias("quantity_in_stock"),
-        num("quantity_reserved").alias("quantity_reserved"),
-        (num("quantity_in_stock").cast("bigint") - num("quantity_reserved")).alias("quantity_available"),
-        num("min_stock_level").alias("min_stock_level"),
-        num("reorder_point").alias("reorder_point"),
-        _ts(as_of).alias("last_updated"),
-        txt("warehouse_location").alias("warehouse_location"),
-        txt("stock_condition").alias("stock_condition"),
-        (txt("seller_id") != F.col("s.seller_id")).alias("_moved"),
-        *[qa.integer_or_null(f"c.new_{c}").alias(f"_ok_{c}") for c in numbers],
-    )
-    # The (seller, product) pair is unique: a moved row must not land on another row's pair,
-    # nor on a pair another change in the batch moves to.
-    others = t.stock.select(F.col("stock_id").alias("_other"), "seller_id", "product_id")
-    moved = upd.filter("_moved").select("stock_id", "seller_id", "product_id")
-    clash = (
-        moved.join(others, ["seller_id", "product_id"], "left")
-        .filter(F.col("_other").isNotNull() & (F.col("_other") != F.col("stock_id")))
-        .select("stock_id").distinct()
-        .unionByName(
-            moved.join(
-                moved.groupBy("seller_id", "product_id").agg(F.count(F.lit(1)).alias("_pn"))
-                .filter(F.col("_pn") > 1),
-                ["seller_id", "product_id"], "left_semi",
-            ).select("stock_id")
-        ).distinct().withColumn("_clash", F.lit(True))
-    )
-    upd = upd.join(clash, "stock_id", "left")
-    checked = qa.check(upd, [
-        *[qa.Rule(f"{c}: must be an integer", F.col(f"_ok_{c}")) for c in numbers],
-        qa.Rule("quantity_available: too large", F.col("quantity_available") < 2_147_483_648),
-        qa.Rule("quantity_available: negative (stock < reserved)", F.col("quantity_available") >= 0),
-        qa.Rule("seller_id: the seller already stocks this product", F.col("_clash").isNull()),
-    ]).drop("_clash", "_moved", *[f"_ok_{c}" for c in numbers])
-    ok = checked.filter(F.size("errors") == 0).drop("errors")
-    stock = t.stock.join(ok.select("stock_id"), "stock_id", "left_anti").unionByName(_conform(ok, t.stock))
+    texts = ("seller_id", "warehouse_location", "stock_condition")
+    blank = lambda c: F.coalesce(strip_python(F.col(c)), F.lit("")) == ""
+    found = found.withColumns({f"new_{c}": F.when(~blank(f"new_{c}"), strip_python(f"new_{c}")) for c in texts})
+    checked = qa.check(found, [qa.Rule(f"{c}: must be an integer", qa.integer_or_null(f"new_{c}")) for c in numbers])
+    checked = materialize(checked.withColumns(
+        {f"new_{c}": strip_python(F.col(f"new_{c}").cast("string")).try_cast("int") for c in numbers}))
+
+    place = lambda seller: F.concat(F.length(seller).cast("string"), F.lit(":"), seller, F.coalesce("product_id", F.lit("")))
+    products = t.stock.select("stock_id", "product_id")
+    events = checked.filter(F.size("errors") == 0).join(products, "stock_id").select(
+        cg.N, F.col("stock_id").alias("holder"), place(F.col("new_seller_id")).alias("wanted"),
+        F.col("new_quantity_in_stock").cast("bigint").alias("set_a"), F.col("new_quantity_reserved").cast("bigint").alias("set_b"))
+    holders = t.stock.select(
+        F.col("stock_id").alias("holder"), place(F.col("seller_id")).alias("held"),
+        F.col("quantity_in_stock").cast("bigint").alias("a"), F.col("quantity_reserved").cast("bigint").alias("b"))
+    verdict = cg.settle(events, holders).withColumn("repeated", F.lit(False)) if in_order else cg.settle_unordered(events, holders)
+    refused = F.array_compact(F.array(
+        F.when(F.col("large"), F.lit("quantity_available: too large")),
+        F.when(F.col("negative"), F.lit("quantity_available: negative (stock < reserved)")),
+        F.when(F.col("taken") | F.col("repeated"), F.lit("seller_id: the seller already stocks this product"))))
+    checked = materialize(checked.join(verdict.select(cg.N, refused.alias("_refused")), cg.N, "left").withColumn(
+        "errors", F.concat("errors", F.coalesce("_refused", F.array().cast("array<string>")))).drop("_refused"))
+    ok = cg.fold(checked.filter(F.size("errors") == 0), "stock_id", [f"new_{c}" for c in (*numbers, *texts)])
+    j = t.stock.join(ok.withColumn("_hit", F.lit(True)), "stock_id", "left")
+    hit = F.col("_hit").isNotNull()
+    new = {c: F.coalesce(f"new_{c}", c) for c in (*numbers, *texts)}
+    new["quantity_available"] = F.when(hit, new["quantity_in_stock"] - new["quantity_reserved"]).otherwise(F.col("quantity_available"))
+    new["last_updated"] = F.when(hit, _ts(as_of)).otherwise(F.col("last_updated"))
+    stock = _conform(j.select(*[new.get(c, F.col(c)).alias(c) for c in t.stock.columns]), t.stock)
     rejects = _rejects(checked, "stock_id").unionByName(
         missing.select(F.col("stock_id").alias("key"), "errors")).unionByName(dup)
     return {"stock": stock, "rejects": rejects}
@@ -434,19 +423,20 @@ def add_reviews(t: Tables, batch: DataFrame, as_of: dt.datetime) -> dict:
 
 def update_reviews(t: Tables, changes: DataFrame) -> dict:
     """Score is sparse (null keeps; otherwise 1..5); title and message: null keeps,
-    empty clears, other text is stripped."""
-    changes, dup = _dedupe_batch(changes, "review_id")
+    empty clears, other text is stripped. Several changes of a review (in the order of
+    ``seq``) leave the last value of each field."""
+    changes, dup = cg.ordered(changes, "review_id")
     found, missing = qa.split_existing(changes, t.order_reviews, "review_id")
     checked = qa.check(found, [qa.Rule("review_score: integer from 1 to 5",
                                        F.col("new_review_score").isNull() | qa.valid_score("new_review_score"))])
-    ok = checked.filter(F.size("errors") == 0).drop("errors")
+    fields = [f"new_{c}" for c in ("review_score", "review_comment_title", "review_comment_message")]
+    ok = cg.fold(checked.filter(F.size("errors") == 0), "review_id", fields)
 
     def text(c):
         v = F.col(f"new_{c}")
         return F.when(v.isNull(), F.col(c)).otherwise(blank_to_null_stripped(v))
 
-    j = t.order_reviews.join(ok.select("review_id", *[f"new_{c}" for c in (
-        "review_score", "review_comment_title", "review_comment_message")]), "review_id", "left")
+    j = t.order_reviews.join(ok, "review_id", "left")
     reviews = j.select(*[
         F.coalesce(strip_python(F.col("new_review_score").cast("string")).try_cast("int"), F.col(c)).alias(c)
         if c == "review_score" else text(c).alias(c) if c in ("review_comment_title", "review_comment_message")

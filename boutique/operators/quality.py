@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from boutique import constants as K
 from boutique.functions.text import digits_only_phone, strip_python
 from boutique.operators.geo import geo_flags
+from boutique.session import materialize
 from boutique.sources import schemas as S
 
 
@@ -116,12 +117,6 @@ def check(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return df.withColumn("errors", F.array_compact(F.array(*msgs)))
 
 
-def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rows without ``errors``, rejects with ``errors``)."""
-    ok = F.size("errors") == 0
-    return checked.filter(ok).drop("errors"), checked.filter(~ok)
-
-
 def with_unique_flag(df: DataFrame, key: str, flag: str) -> DataFrame:
     """Add ``flag`` = no other row of the batch has the same (non-null) key.
 
@@ -134,18 +129,23 @@ def with_unique_flag(df: DataFrame, key: str, flag: str) -> DataFrame:
     ).drop("_kn")
 
 
-def check_unique(checked: DataFrame, key: str, message: str, seq: str | None = "seq") -> DataFrame:
-    """Among the rows without errors so far, keys must be unique: with a batch sequence
-    (column ``seq``, if there is one) the first valid row of a key stands and the later ones
-    get ``message``; without, all of them do. Invalid rows don't count."""
-    ordered = seq is not None and seq in checked.columns
+def check_unique(checked: DataFrame, key: str, message: str) -> DataFrame:
+    """Among the rows without errors so far, keys must be unique. With a batch sequence (a
+    column ``seq``) the first valid row of a key stands, by seq (null last) and then by its
+    content, one of equal rows; the others get ``message``. Without, all of them do. Invalid
+    rows don't count. The row that stands is one aggregate per key (combined map-side)."""
     valid = F.size("errors") == 0
-    keys = checked.filter(valid & F.col(key).isNotNull()).groupBy(key).agg(
-        F.count(F.lit(1)).alias("_kn"), (F.min(seq) if ordered else F.lit(None)).alias("_first"))
-    stands = (F.col("_kn") == 1) | (F.col(seq) == F.col("_first")) if ordered else F.col("_kn") == 1
-    return checked.join(keys, key, "left").withColumn(
-        "errors", F.when(valid & ~F.coalesce(stands, F.lit(True)), F.array(F.lit(message))).otherwise(F.col("errors"))
-    ).drop("_kn", "_first")
+    rows = materialize(checked.withColumn("_row", F.monotonically_increasing_id()))
+    usable = rows.filter(valid & F.col(key).isNotNull())
+    if "seq" in checked.columns:
+        content = [F.col(c) for c in sorted(checked.columns) if c not in ("seq", "errors", key)]
+        first = F.min(F.struct(F.col("seq").isNull().alias("_last"), "seq", *content, "_row"))["_row"]
+    else:
+        first = F.when(F.count(F.lit(1)) == 1, F.min("_row")).otherwise(F.lit(-1))
+    keys = usable.groupBy(key).agg(first.alias("_first"))
+    stands = F.coalesce(F.col("_row") == F.col("_first"), F.lit(True))
+    return rows.join(keys, key, "left").withColumn(
+        "errors", F.when(valid & ~stands, F.array(F.lit(message))).otherwise(F.col("errors"))).drop("_row", "_first")
 
 
 def with_absent_flag(df: DataFrame, table: DataFrame, key: str, flag: str,
