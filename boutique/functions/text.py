@@ -43,11 +43,6 @@ def preview(col: str | Column, n: int = K.PREVIEW_CHARS) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit(K.ELLIPSIS))).otherwise(c)
 
 
-def strip_or_null(col: str | Column) -> Column:
-    """Trimmed text, or null when blank or null."""
-    return F.nullif(F.trim(_c(col)), F.lit(""))
-
-
 def digits_only_phone(col: str | Column) -> Column:
     """Phone number with whitespace, dots and hyphens removed."""
     return F.regexp_replace(_c(col), K.PHONE_SEPARATORS, "")
@@ -62,8 +57,9 @@ def availability_label(col: str | Column) -> Column:
 
 
 def strip_python(col: str | Column) -> Column:
-    """Remove leading and trailing whitespace of any kind (not only spaces)."""
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    """Remove leading and trailing whitespace of any kind (Unicode's, and the separators
+    U+001C to U+001F, as Python's ``strip`` does)."""
+    return F.regexp_replace(_c(col), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def blank_to_null_stripped(col: str | Column) -> Column:

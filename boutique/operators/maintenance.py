@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutique import constants as K
+from boutique.functions.numbers import python_float, python_int
 from boutique.functions.text import (
     blank_to_null_stripped,
     digits_only_phone,
@@ -56,9 +57,9 @@ def add_products(t: Tables, batch: DataFrame, as_of: dt.datetime, as_of_year: in
     clean = valid.select(
         *[strip_python(c).alias(c) for c in ("product_name", "product_category", "product_platform",
                                            "product_esrb_rating")],
-        strip_python(F.col("product_release_year").cast("string")).try_cast("int").alias("product_release_year"),
-        F.col("product_price").cast("string").try_cast("double").try_cast(MONEY).alias("product_price"),
-        F.col("product_weight_g").cast("string").try_cast("double").try_cast("int").alias("product_weight_g"),
+        python_int("product_release_year").alias("product_release_year"),
+        python_float("product_price").try_cast(MONEY).alias("product_price"),
+        python_float("product_weight_g").try_cast("int").alias("product_weight_g"),
         F.coalesce(F.col("product_description"), F.lit("")).alias("product_description"),
     )
     prefix, width = K.ID_FORMATS["product_id"]
@@ -124,9 +125,9 @@ def update_products(t: Tables, changes: DataFrame, as_of_year: int) -> dict:
         "product_category": strip_python("new_product_category"),
         "product_platform": strip_python("new_product_platform"),
         "product_esrb_rating": strip_python("new_product_esrb_rating"),
-        "product_release_year": strip_python(F.col("new_product_release_year").cast("string")).try_cast("int"),
-        "product_price": F.col("new_product_price").cast("string").try_cast("double").try_cast(MONEY),
-        "product_weight_g": F.col("new_product_weight_g").cast("string").try_cast("double").try_cast("int"),
+        "product_release_year": python_int("new_product_release_year"),
+        "product_price": python_float("new_product_price").try_cast(MONEY),
+        "product_weight_g": python_float("new_product_weight_g").try_cast("int"),
         "product_description": F.col("new_product_description"),
     }
     ok = cg.fold(checked.filter(F.size("errors") == 0), "product_id", [f"new_{c}" for c in casts])
@@ -167,7 +168,7 @@ def add_customers(t: Tables, batch: DataFrame, as_of: dt.datetime) -> dict:
     clean = valid.select(
         strip_python("first_name").alias("first_name"), strip_python("last_name").alias("last_name"),
         "email", F.coalesce("phone", F.lit("")).alias("phone"),
-        strip_python(F.col("zip_code_prefix").cast("string")).try_cast("int").alias("zip_code_prefix"),
+        python_int("zip_code_prefix").alias("zip_code_prefix"),
         "city", "state",
         F.coalesce("address_line1", F.lit("")).alias("address_line1"),
         F.coalesce("address_line2", F.lit("")).alias("address_line2"),
@@ -233,7 +234,7 @@ def update_customers(t: Tables, changes: DataFrame, admin: bool = True) -> dict:
         "last_name": strip_python("new_last_name"),
         "email": F.col("new_email"),
         "phone": F.when(F.trim("new_phone") == "", F.lit("")).otherwise(digits_only_phone("new_phone")),
-        "zip_code_prefix": strip_python(F.col("new_zip_code_prefix").cast("string")).try_cast("int"),
+        "zip_code_prefix": python_int("new_zip_code_prefix"),
         "city": F.col("new_city"),
         "state": F.col("new_state"),
         "address_line1": F.col("new_address_line1"),
@@ -372,7 +373,7 @@ def update_stock(t: Tables, changes: DataFrame, as_of: dt.datetime) -> dict:
     found = found.withColumns({f"new_{c}": F.when(~blank(f"new_{c}"), strip_python(f"new_{c}")) for c in texts})
     checked = qa.check(found, [qa.Rule(f"{c}: must be an integer", qa.integer_or_null(f"new_{c}")) for c in numbers])
     checked = materialize(checked.withColumns(
-        {f"new_{c}": strip_python(F.col(f"new_{c}").cast("string")).try_cast("int") for c in numbers}))
+        {f"new_{c}": python_int(f"new_{c}") for c in numbers}))
 
     place = lambda seller: F.concat(F.length(seller).cast("string"), F.lit(":"), seller, F.coalesce("product_id", F.lit("")))
     products = t.stock.select("stock_id", "product_id")
@@ -409,7 +410,7 @@ def add_reviews(t: Tables, batch: DataFrame, as_of: dt.datetime) -> dict:
     prefix, width = K.ID_FORMATS["review_id"]
     clean = valid.select(
         "order_id",
-        strip_python(F.col("review_score").cast("string")).try_cast("int").alias("review_score"),
+        python_int("review_score").alias("review_score"),
         blank_to_null_stripped("review_comment_title").alias("review_comment_title"),
         blank_to_null_stripped("review_comment_message").alias("review_comment_message"),
         _ts(as_of).alias("review_creation_date"),
@@ -438,7 +439,7 @@ def update_reviews(t: Tables, changes: DataFrame) -> dict:
 
     j = t.order_reviews.join(ok, "review_id", "left")
     reviews = j.select(*[
-        F.coalesce(strip_python(F.col("new_review_score").cast("string")).try_cast("int"), F.col(c)).alias(c)
+        F.coalesce(python_int("new_review_score"), F.col(c)).alias(c)
         if c == "review_score" else text(c).alias(c) if c in ("review_comment_title", "review_comment_message")
         else F.col(c)
         for c in t.order_reviews.columns

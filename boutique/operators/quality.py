@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutique import constants as K
+from boutique.functions.numbers import python_float, python_int
 from boutique.functions.text import digits_only_phone, strip_python
 from boutique.operators.geo import geo_flags
 from boutique.session import materialize
@@ -38,35 +39,35 @@ def non_empty(col: str) -> Column:
 
 def positive_number(col: str) -> Column:
     """V2: parses as a number and is > 0."""
-    v = _s(col).try_cast("double")
+    v = python_float(col)
     return F.coalesce((v > 0) & ~F.isnan(v), F.lit(False))
 
 
 def storable_money(col: str) -> Column:
     """Not a number, or one that a money column holds (below 10**8)."""
-    v = _s(col).try_cast("double")
+    v = python_float(col)
     return F.coalesce(F.abs(v) < 99_999_999.99, F.lit(True))
 
 
 def storable_int(col: str) -> Column:
     """Not a number, or one that an integer column holds."""
-    v = _s(col).try_cast("double")
+    v = python_float(col)
     return F.coalesce(F.abs(v) < 2_147_483_647.0, F.lit(True))
 
 
 def integer_or_null(col: str) -> Column:
     """Null, or parses as a 32-bit integer."""
-    return F.col(col).isNull() | strip_python(_s(col)).try_cast("int").isNotNull()
+    return F.col(col).isNull() | python_int(col).isNotNull()
 
 
 def non_negative_int(col: str) -> Column:
     """V3: parses as an integer and is >= 0."""
-    return F.coalesce(strip_python(_s(col)).try_cast("bigint") >= 0, F.lit(False))
+    return F.coalesce(python_int(col, "bigint") >= 0, F.lit(False))
 
 
 def valid_year(col: str, as_of_year: int) -> Column:
     """V4: an integer year in 1970 .. as_of_year + 2."""
-    y = strip_python(_s(col)).try_cast("int")
+    y = python_int(col)
     return F.coalesce(y.between(K.MIN_RELEASE_YEAR, as_of_year + K.RELEASE_YEAR_SLACK), F.lit(False))
 
 
@@ -92,7 +93,7 @@ def valid_zip(col: str) -> Column:
 
 def valid_score(col: str) -> Column:
     """An integer from 1 to 5."""
-    v = strip_python(_s(col)).try_cast("int")
+    v = python_int(col)
     return F.coalesce(v.between(K.REVIEW_SCORE_MIN, K.REVIEW_SCORE_MAX), F.lit(False))
 
 

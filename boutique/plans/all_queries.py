@@ -5,6 +5,7 @@ from boutique.plans import (  # noqa: F401
     maintenance_queries,
     profile_queries,
     quality_queries,
+    sequence_queries,
     shop_queries,
     streaming_queries,
 )

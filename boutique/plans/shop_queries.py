@@ -313,10 +313,15 @@ def q_product_by_id(t):
     return ca.filter_products(t.products, product_id=wanted)
 
 
+def stored_folder(t):
+    """Where registered queries write tables that they read back."""
+    return ensure_checkpoint_dir(t.spark).rstrip("/")
+
+
 @register("stored_orders", W("SELECT * FROM c_orders"))
 def q_stored_orders(t):
     """SNK2: orders written as a table version and read back with their declared schema."""
-    root = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/version-{uuid.uuid4().hex}"
+    root = f"{stored_folder(t)}/version-{uuid.uuid4().hex}"
     t.write(root, names=("orders",))
     return Tables.from_parquet(t.spark, root).orders
 
