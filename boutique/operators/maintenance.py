@@ -333,6 +333,31 @@ def update_order_status(t: Tables, changes: DataFrame, as_of: dt.datetime) -> di
     return {"orders": orders, "stock": stock, "customers": customers, "rejects": rejects}
 
 
+def cancel_orders(t: Tables, requests: DataFrame, as_of: dt.datetime) -> dict:
+    """U9 as customers use it: cancel an order that is still created or approved.
+
+    ``requests``: order_id, customer_id (who asks; null for an admin). A customer's own orders
+    only. Of several requests for one order that may be cancelled one stands; the others come
+    too late, as it is cancelled by then. Stock and statistics follow as in U9.
+    """
+    rows = materialize(requests.select("order_id", "customer_id").withColumn("_row", F.monotonically_increasing_id()))
+    orders = t.orders.select("order_id", F.col("customer_id").alias("_owner"), "order_status")
+    j = rows.join(orders, "order_id", "left")
+    checked = qa.check(j, [
+        qa.Rule("order_id: not found", F.col("_owner").isNotNull()),
+        qa.Rule("customer_id: not the customer's order", F.col("_owner").isNull() | F.col("customer_id").isNull() | (F.col("_owner") == F.col("customer_id"))),
+        qa.Rule("order_status: can no longer be cancelled", F.col("_owner").isNull() | F.col("order_status").isin(*K.CANCELLABLE_STATUSES)),
+    ])
+    checked = materialize(checked)
+    first = checked.filter(F.size("errors") == 0).groupBy("order_id").agg(F.min("_row").alias("_first"))
+    late = (F.size("errors") == 0) & (F.col("_row") != F.col("_first"))
+    checked = materialize(checked.join(first, "order_id", "left").withColumn(
+        "errors", F.when(late, F.array(F.lit("order_status: can no longer be cancelled"))).otherwise(F.col("errors"))))
+    accepted = checked.filter(F.size("errors") == 0).select("order_id", F.lit(K.CANCELLED).alias("new_status"))
+    done = update_order_status(t, accepted, as_of)
+    return done | {"rejects": _rejects(checked, "order_id")}
+
+
 def restore_stock(t: Tables, cancelled_orders: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Add the line quantities of the cancelled orders (order_id and, optionally, how
     many ``times``) back to the stock row of the same (product, seller); all lines on one

@@ -3,7 +3,7 @@ review of each order (F17)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutique import constants as K
@@ -46,12 +46,36 @@ def product_reviews(t: Tables, product_id: str | None = None) -> DataFrame:
     return df.orderBy(F.col("review_creation_date").desc(), "review_id", "product_id")
 
 
+#: A product id that packs: the shop's prefix and up to this many digits.
+PACKED_DIGITS = 9
+_PACKED = rf"^{K.ID_FORMATS['product_id'][0]}[0-9]{{1,{PACKED_DIGITS}}}$"
+
+
+def _pack(line: str, product: str) -> Column:
+    """(line number, product id) as one long that orders as they do: the id's digits are read
+    as a number of base 11, a missing one below 0, so that ids of any width compare as text."""
+    digits = F.translate(F.substring(product, len(K.ID_FORMATS["product_id"][0]) + 1, PACKED_DIGITS), "0123456789", "123456789a")
+    return F.col(line).cast("bigint") * 11**PACKED_DIGITS + F.conv(F.rpad(digits, PACKED_DIGITS, "0"), 11, 10).cast("bigint")
+
+
+def _unpack(packed: str) -> Column:
+    digits = F.lower(F.conv((F.col(packed) % 11**PACKED_DIGITS).cast("string"), 10, 11))
+    digits = F.rtrim(F.lpad(digits, PACKED_DIGITS, "0"), F.lit("0"))
+    return F.concat(F.lit(K.ID_FORMATS["product_id"][0]), F.translate(digits, "123456789a", "0123456789"))
+
+
 def first_product_per_order(items: DataFrame) -> DataFrame:
     """The product of each order's first line (lowest line number, then product id).
 
-    The lowest number is a fixed-width aggregate (hashed); only the few lines that hold it
-    take part in the comparison of product ids."""
+    Line number and id are packed into one long, so a single hash aggregate with map-side
+    combining decides. Tables in which some line has another kind of id, or no valid number,
+    take two aggregates instead: the lowest number first, then the id among its lines.
+    """
     lines = items.select("order_id", "order_item_id", "product_id")
+    packs = F.coalesce(F.col("product_id").rlike(_PACKED) & (F.col("order_item_id") >= 0), F.lit(False))
+    if lines.filter(~packs).isEmpty():
+        least = lines.groupBy("order_id").agg(F.min(_pack("order_item_id", "product_id")).alias("_least"))
+        return least.select("order_id", _unpack("_least").alias("product_id"))
     lowest = lines.groupBy("order_id").agg(F.min("order_item_id").alias("_first"))
     first = lines.join(lowest, "order_id").filter(F.col("order_item_id").eqNullSafe(F.col("_first")))
     return first.groupBy("order_id").agg(F.min("product_id").alias("product_id"))

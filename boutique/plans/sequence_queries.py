@@ -198,6 +198,46 @@ def q_update_products_rejects(t):
     return mq._rejected(mt.update_products(t, mq.product_changes(t), YEAR)["rejects"], "key")
 
 
+# --------------------------------------------------------------------------------- orders
+def cancel_requests(t):
+    """Every open order's customer asks to cancel it, some twice; strangers ask for others."""
+    o = t.adapter.raw("orders").filter(F.col("o_orderpriority").isin("1-URGENT", "3-MEDIUM", "5-LOW"))
+    k = F.col("o_orderkey")
+    asks = F.when(k % 10 == 3, F.array(F.col("o_custkey") + 1)).when(k % 10 == 4, F.array("o_custkey", "o_custkey")).otherwise(F.array("o_custkey"))
+    return o.select(F.when(k % 50 == 9, F.format_string("NONE_%06d", k)).otherwise(F.format_string("ORDER_%06d", k)).alias("order_id"),
+                    F.explode(asks).alias("c")).select("order_id", F.format_string("CUST_%06d", "c").alias("customer_id"))
+
+
+_CANCELS = """
+asked AS (
+  SELECT CASE WHEN o_orderkey % 50 = 9 THEN printf('NONE_%06d', o_orderkey) ELSE printf('ORDER_%06d', o_orderkey) END AS order_id,
+         printf('CUST_%06d', unnest(CASE o_orderkey % 10 WHEN 3 THEN [o_custkey + 1] WHEN 4 THEN [o_custkey, o_custkey] ELSE [o_custkey] END)) AS asker
+  FROM orders WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM', '5-LOW')),
+judged AS (
+  SELECT a.order_id, concat_ws('; ', CASE WHEN o.order_id IS NULL THEN 'order_id: not found' END,
+           CASE WHEN o.customer_id <> asker THEN 'customer_id: not the customer''s order' END,
+           CASE WHEN o.order_status NOT IN ('created', 'approved') THEN 'order_status: can no longer be cancelled' END) AS broken
+  FROM asked a LEFT JOIN c_orders o ON o.order_id = a.order_id),
+final AS (
+  SELECT order_id, CASE WHEN broken = '' AND row_number() OVER (PARTITION BY order_id, broken = '') > 1
+                        THEN 'order_status: can no longer be cancelled' ELSE broken END AS errors FROM judged)"""
+
+
+@register("cancel_requests", W(f"""
+WITH {_CANCELS}
+SELECT o.order_id, CASE WHEN o.order_id IN (SELECT order_id FROM final WHERE errors = '') THEN 'cancelled' ELSE o.order_status END AS order_status
+FROM c_orders o"""))
+def q_cancel_requests(t):
+    """U9, the customer's cancel: only from created or approved, only one's own orders."""
+    return mt.cancel_orders(t, cancel_requests(t), AS_OF)["orders"].select("order_id", "order_status")
+
+
+@register("cancel_requests_rejects", W(f"WITH {_CANCELS}\nSELECT order_id AS key, errors FROM final WHERE errors <> ''"))
+def q_cancel_requests_rejects(t):
+    """Refused cancels."""
+    return mq._rejected(mt.cancel_orders(t, cancel_requests(t), AS_OF)["rejects"], "key")
+
+
 # ---------------------------------------------------------------------------------- stock
 def stock_sequence(t):
     """Changes of well-stocked rows, by seller number modulo 3: a seller's place taken, then

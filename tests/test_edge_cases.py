@@ -131,3 +131,17 @@ def test_geo_autocomplete_and_flags(spark):
     assert not f[2].zip_ok and f[2].city_ok and f[2].state_ok
     empty = tables(spark).geolocation
     assert all(r.zip_ok for r in ge.geo_flags(rows_, empty).collect())
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_first_product_of_ids_of_any_width(spark, odd):
+    """Packed or not, ids compare as text; a line number decides before the id."""
+    from boutique.operators.reviews import first_product_per_order
+
+    rows = [("a", 1, "PROD_00020"), ("a", 1, "PROD_100000"), ("a", 1, "PROD_0002"), ("b", 2, "PROD_1"), ("b", 1, "PROD_999999999"), ("b", 1, "PROD_99999999"),
+            ("c", 2_000_000_000, "PROD_000000000"), ("d", 0, "PROD_0"), ("d", 0, "PROD_00"), ("e", 3, "PROD_109"), ("e", 3, "PROD_11"), ("e", 3, "PROD_1090")]
+    if odd:
+        rows += [("e", 3, "OTHER"), ("f", None, "PROD_2"), ("f", None, "PROD_1"), ("g", -1, "PROD_9"), ("g", 1, "PROD_1")]
+    got = {r.order_id: r.product_id for r in first_product_per_order(spark.createDataFrame(rows, "order_id string, order_item_id int, product_id string")).collect()}
+    want = {"a": "PROD_0002", "b": "PROD_99999999", "c": "PROD_000000000", "d": "PROD_0", "e": "OTHER" if odd else "PROD_109"}
+    assert got == (want | {"f": "PROD_1", "g": "PROD_9"} if odd else want)

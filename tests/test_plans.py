@@ -38,6 +38,8 @@ def test_lines_are_shuffled_once(spark, sf_small):
     assert not re.findall(r"Exchange hashpartitioning\(order_id#\d+, product_id", text)
 
 
-def test_no_sort_aggregate_over_all_lines(spark, sf_small):
+def test_first_lines_in_one_hash_aggregate(spark, sf_small):
+    """One scan and one exchange of the lines, no join, nothing sorted."""
     text = plan(reviews.first_product_per_order(Tables.from_testdata(spark, sf_small).order_items))
-    assert "min(order_item_id" in text and "min(struct" not in text
+    assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") == 1
+    assert "HashAggregate" in text and not re.search("SortAggregate|Join|Sort ", text)
