@@ -6,22 +6,23 @@ connected components of the links.
 
 1. Equal word sequences (64-bit fingerprint) are one node from the start, so thousands of
    copies cost one node.
-2. A node's k-mers (``K`` consecutive words) are labelled with their occurrence number, so
-   repeated k-mers count. Each hash function picks the smallest labelled k-mers and keeps
-   them in text order; they are one key, and nodes sharing a key are a bucket. ``SKETCHES``
-   functions pick two k-mers, which brings together all that may be alike; ``STRICT``
-   functions pick ``STRICT_SIZE``, which hardly brings together anything else.
+2. A node's k-mers (k consecutive words) are labelled with their occurrence number, so
+   repeated k-mers count. Each hash function picks the ``PICKED`` smallest labelled k-mers
+   and keeps them in text order; they are one key, and nodes sharing a key are a bucket.
+   ``FAMILIES`` gives the k and the number of functions: shingles of five words, and shorter
+   ones, which survive scattered edits (texts at the threshold, every fifth word replaced,
+   share a tenth to a fifth of their five-word shingles, but a third of those of three).
 3. Candidates are checked by an alignment in a band around the diagonal, widened while the
    distance exceeds it up to the allowed distance, many pairs at a time.
-4. In every bucket of the first kind the members are compared with its smallest node
-   first. Then all members of a bucket, of either kind, that are still in different classes
-   are compared with each other, tile by tile, so that large buckets are shared out; pairs
-   whose lengths or word counts rule them out aren't aligned, and only links are rows.
+4. In every bucket the members are compared with its smallest node first. Then all members
+   of a bucket that are still in different classes are compared with each other, tile by
+   tile, so that large buckets are shared out; pairs whose lengths or word counts rule them
+   out aren't aligned, and only links are rows.
 5. Components are found by hooking and jumping on the links, with stored tables between the
    rounds. Nothing but counts reaches the driver.
 
 Defined cases: texts without words (null, empty, punctuation) are never duplicates; texts of
-fewer than ``K`` words only of equal texts; rows with equal words are copies, whatever their
+fewer than ``K`` words only of equal texts (a fifth of them is less than a word); rows with equal words are copies, whatever their
 ids; a class is named after its smallest doc_id (null if it has only null ids).
 """
 
@@ -36,16 +37,18 @@ from pyspark.sql import functions as F
 
 from boutique.llm.arrays import TERM_WORDS, U64, Words, mix, slices, window_hashes
 from boutique.llm.frames import as_rows, drop_since, schema_with, scratch_mark, stored
+from boutique.llm.numbering import small
 
-K, SKETCHES, STRICT, STRICT_SIZE, SIMILAR = 5, 20, 12, 6, 0.8
+#: (k, number of functions) of the sketches; K is the shortest text that has any.
+FAMILIES, PICKED = ((5, 12), (3, 24)), 2
+K, SIMILAR = 5, 0.8
+SKETCHES = sum(n for _, n in FAMILIES)
 #: Members of a bucket, and their words, that a member meets at once; larger buckets are
 #: compared tile by tile, all of them.
 PAIRS_PER_MEMBER, TILE_WORDS = 1024, 1 << 20
 #: Bins of the words of a node, a byte each; pairs whose bins differ too much aren't aligned.
 BINS = 256
-#: Rows of 16 bytes up to which a side is broadcast instead of shuffled.
-BROADCAST_ROWS = 1_000_000
-_FACTORS = np.random.default_rng(41).integers(1, 1 << 63, SKETCHES + STRICT, dtype=np.uint64) * U64(2) + U64(1)
+_FACTORS = np.random.default_rng(41).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * U64(2) + U64(1)
 _TOP = U64(0xFFFFFFFFFFFFFFFF)
 _STEP = U64(0x9E3779B97F4A7C15)
 
@@ -81,24 +84,28 @@ def _smallest(g: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarr
 
 
 def sketches(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, keys): for each row of K words or more, SKETCHES + STRICT keys."""
-    _, kmers = window_hashes(words.hashes, words.offsets, K)
-    counts = np.maximum(words.counts - K + 1, 0)
-    rows = np.flatnonzero(counts)
-    counts = counts[rows]
-    keys = np.zeros((len(rows), len(_FACTORS)), np.uint64)
+    """(rows, keys): for each row of K words or more, SKETCHES keys."""
+    rows = np.flatnonzero(words.counts >= K)
+    keys = np.zeros((len(rows), SKETCHES), np.uint64)
     if not len(rows):
         return rows, keys
-    starts = np.cumsum(counts) - counts
-    labelled = _labelled(kmers, np.repeat(rows, counts))
-    for f, factor in enumerate(_FACTORS):
-        g = labelled * factor
-        places = []
-        for _ in range(2 if f < SKETCHES else STRICT_SIZE):
-            places.append(_smallest(g, starts, counts))
-            g[places[-1]] = _TOP  # a row of fewer k-mers gives its first one again
-        for at in np.sort(np.stack(places), axis=0):
-            keys[:, f] = mix(keys[:, f] * U64(3) + labelled[at] + U64(f + 1))
+    f = 0
+    for k, functions in FAMILIES:
+        _, kmers = window_hashes(words.hashes, words.offsets, k)
+        every = np.maximum(words.counts - k + 1, 0)
+        kmers = kmers[np.repeat(words.counts >= K, every)]
+        counts = every[rows]
+        starts = np.cumsum(counts) - counts
+        labelled = _labelled(kmers, np.repeat(rows, counts))
+        for f in range(f, f + functions):
+            g = labelled * _FACTORS[f]
+            places = []
+            for _ in range(PICKED):
+                places.append(_smallest(g, starts, counts))
+                g[places[-1]] = _TOP  # a row of fewer k-mers gives its first one again
+            for at in np.sort(np.stack(places), axis=0):
+                keys[:, f] = mix(keys[:, f] * U64(3) + labelled[at] + U64(f + 1))
+        f += 1
     return rows, keys
 
 
@@ -281,11 +288,6 @@ def _tile_links(similar: float):
     return run
 
 
-def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a stored table of a few longs a row) with a broadcast hint if it is small."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (a, b): root is the smallest node of its
     component. Every node hooks to its smallest neighbour, then jumps once; links are
@@ -334,7 +336,7 @@ class _Search:
             F.min("node").alias("leader"), F.min_by("n_words", "node").alias("leader_words"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         self.members = stored(bands.join(shared, ["band", "key"]).select(
             F.xxhash64("band", "key").alias("bucket"), "band", "node", "doc_id", "n_words", "leader", "leader_words"), "buckets")
-        wanted = _small(stored(self.members.groupBy("node").agg(F.min("doc_id").alias("own_id")), "wanted"))
+        wanted = small(stored(self.members.groupBy("node").agg(F.min("doc_id").alias("own_id")), "wanted"))
         texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
         chosen = texts.join(wanted.select("own_id"), F.col("doc_id").eqNullSafe(F.col("own_id")), "left_semi")
         arrays = chosen.mapInArrow(_word_arrays, "doc_id long, node long, words binary")
@@ -357,19 +359,19 @@ class _Search:
         return rows.join(roots, node, "left").withColumn(root, F.coalesce("_root", node)).drop("_root")
 
     def leaders(self) -> None:
-        """Every member against the leaders of its buckets of two k-mers."""
-        usable = self.members.filter((F.col("band") < SKETCHES) & (F.col("node") != F.col("leader")) & self.close("n_words", "leader_words"))
+        """Every member against the leaders of its buckets."""
+        usable = self.members.filter((F.col("node") != F.col("leader")) & self.close("n_words", "leader_words"))
         self.roots = components(self.verified(usable.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
 
     def apart(self) -> DataFrame:
         """Links (a, b) between members of one bucket that no leader has brought together:
         all of them are compared. A large bucket's members are dealt to parts by hash; a
         tile is two of its parts, and each pair of members has its tile."""
-        members = self.members.select("bucket", "band", "node", "n_words", ((F.col("node") == F.col("leader")) & (F.col("band") < SKETCHES)).alias("leads"))
+        members = self.members.select("bucket", "band", "node", "n_words", (F.col("node") == F.col("leader")).alias("leads"))
         level = stored(self.rooted(members, "node", "root"), "level")
         sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.min("root").alias("low"), F.max("root").alias("high"))
         parts = F.least("n", F.greatest(F.ceil(F.col("n") / max(PAIRS_PER_MEMBER, 1)), F.ceil(F.col("words") / TILE_WORDS)))
-        mixed = _small(stored(sizes.filter("low <> high").select("bucket", parts.alias("parts")), "mixed"))
+        mixed = small(stored(sizes.filter("low <> high").select("bucket", parts.alias("parts")), "mixed"))
         dealt = level.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
         dealt = dealt.join(self.words, "node").join(self.nodes.select("node", "keys"), "node")
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -379,7 +381,7 @@ class _Search:
         return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_links(self.similar), "a long, b long")
 
     def rest(self) -> None:
-        """Members of one bucket, of either kind, that no leader has brought together."""
+        """Members of one bucket that no leader has brought together."""
         links = stored(self.apart(), "links")
         if not links.isEmpty():  # links between classes: the classes' own components, then all nodes follow
             between = self.rooted(self.rooted(links, "a", "a_root"), "b", "b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
@@ -397,9 +399,15 @@ def classes(documents: DataFrame, sketched: DataFrame, similar: float = SIMILAR)
     search.rest()
     ids = sketched.filter("n_words > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     rooted = stored(search.rooted(ids, "node", "root"), "rooted")
-    named = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    first = rooted.join(named, "root").filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("node").alias("class_node"))
-    out = stored(rooted.join(named, "root").join(first, "root").select("node", "class_id", "class_node"), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "node"))
+    joined = rooted.filter("node <> root")
+    # Most classes are one node; the roots of the others, and only those, are looked up.
+    several = small(stored(joined.select("root").distinct(), "several"))
+    lone = rooted.join(several, "root", "left_anti").select("node", F.col("doc_id").alias("class_id"), F.col("node").alias("class_node"))
+    grouped = rooted.join(several, "root", "left_semi")
+    named = small(stored(grouped.groupBy("root").agg(first.alias("first")).select("root", "first.doc_id", "first.node"), "named"))
+    named = named.select("root", F.col("doc_id").alias("class_id"), F.col("node").alias("class_node"))
+    out = stored(lone.unionByName(grouped.join(named, "root").select("node", "class_id", "class_node")), "classes")
     drop_since(documents.sparkSession, mark, out)
     return out
 
@@ -428,10 +436,10 @@ def first_documents(documents: DataFrame, similar: float = SIMILAR) -> DataFrame
     kept = stored(found.filter("node = class_node").select("node", F.col("class_id").alias("keep_id")), "kept")
     rows = as_rows(documents)
     rows = rows.mapInArrow(_row_nodes, schema_with(rows, ["row"], "node long"))
-    worded = rows.filter("node <> 0").join(_small(kept), "node").filter(F.col("row.doc_id").eqNullSafe(F.col("keep_id")))
+    worded = rows.filter("node <> 0").join(small(kept), "node").filter(F.col("row.doc_id").eqNullSafe(F.col("keep_id")))
     repeated = stored(sketched.filter("n_words > 0").groupBy("node", "doc_id").count().filter("count > 1")
                       .join(kept, "node").filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("node"), "repeated")
     if not repeated.isEmpty():
-        again = worded.join(_small(repeated), "node", "left_semi").dropDuplicates(["node"])
-        worded = worded.join(_small(repeated), "node", "left_anti").unionByName(again)
+        again = worded.join(small(repeated), "node", "left_semi").dropDuplicates(["node"])
+        worded = worded.join(small(repeated), "node", "left_anti").unionByName(again)
     return worded.select("row").unionByName(rows.filter("node = 0").select("row")).select("row.*")
