@@ -19,10 +19,14 @@ def near(rng, base, cosine):
 
 def plain(rows):
     ok = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v in rows]
-    arrays = [np.array(v, dtype=float) if o else None for (_, v), o in zip(rows, ok, strict=True)]
     n = len(rows)
-    linked = [[j for j in range(n) if j != i and ok[i] and ok[j] and len(arrays[i]) == len(arrays[j])
-               and unit(arrays[i] / np.abs(arrays[i]).max()) @ unit(arrays[j] / np.abs(arrays[j]).max()) >= 0.95] for i in range(n)]
+    linked: list = [[] for _ in rows]
+    for length in {len(v) for (_, v), o in zip(rows, ok, strict=True) if o}:
+        own = [i for i in range(n) if ok[i] and len(rows[i][1]) == length]
+        vectors = np.array([rows[i][1] for i in own], dtype=float)
+        cosines = (u := unit(vectors / np.abs(vectors).max(axis=1, keepdims=True))) @ u.T
+        for k, i in enumerate(own):
+            linked[i] = [own[j] for j in np.flatnonzero(cosines[k] >= 0.95) if j != k]
     out = []
     for i in range(n):
         seen, todo = {i}, [i]
