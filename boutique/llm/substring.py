@@ -13,13 +13,17 @@ windows are judged on the input.
    document of every hash and answers with the hashes of the documents that repeat it, one
    block per group of documents.
 3. Answers and settled windows meet the texts by group of documents (a prime modulus of the
-   id), and the windows are merged into maximal removal intervals.
+   id), and the windows are merged into maximal removal intervals. The bytes of every group
+   are counted first: the rows of a group of more than ``GROUP_BYTES`` (a corpus too large
+   for its shuffle partitions, or an id that repeats millions of times) are dealt to parts,
+   and each part gets the group's answers.
 
 Defined cases: null or empty texts and texts shorter than a window keep everything; rows
 with the same doc_id are one document for the "smaller id" rule (none removes the other);
 a null doc_id counts as smaller than all ids, and its rows lose nothing. Windows are
 compared by 64-bit hash: among n distinct windows, n*n / 2**65 pairs are expected to
-collide by chance (below 0.001 for 10**8 windows).
+collide by chance (below 0.001 for 10**8 windows, about 0.6 for the 4.6 * 10**9 of 30 GB,
+several hundred for 1 TB), each of which may cost up to ``size`` words.
 """
 
 from __future__ import annotations
@@ -36,10 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutique.llm.arrays import SPACE_WORDS, U64, Words, column_bytes, covered, slices, window_hashes
+from boutique.llm.frames import stored
 
 WINDOW = 13
 #: Windows of a run: bounds a task's memory (about 50 bytes each).
 RUN_WINDOWS = 2_000_000
+#: Text bytes of a group of documents that one task holds.
+GROUP_BYTES = 256 << 20
 _NO_ID = -(1 << 63)
 
 
@@ -244,4 +251,12 @@ def remove_repeats(documents: DataFrame, size: int = WINDOW, buckets: int | None
     answers = repeated_windows(documents, groups, size, buckets, run_windows)
     by_group = F.coalesce(F.pmod("doc_id", F.lit(groups)), F.pmod(F.xxhash64("text"), F.lit(groups))).cast("int")
     texts = documents.select("doc_id", "text", by_group.alias("grp"))
-    return texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_removed(size, with_text), _REMOVED)
+    sizes = texts.groupBy("grp").agg(F.ceil(F.sum(F.octet_length("text")) / GROUP_BYTES).alias("parts")).filter("parts > 1")
+    sizes = stored(sizes, "large-groups")  # a row per group at most
+    if sizes.isEmpty():
+        return texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_removed(size, with_text), _REMOVED)
+    parts = F.coalesce("parts", F.lit(1))
+    texts = texts.withColumn("n", F.monotonically_increasing_id()).join(F.broadcast(sizes), "grp", "left").select(
+        "doc_id", "text", "grp", F.pmod(F.xxhash64("n"), parts).alias("part"))
+    answers = answers.join(F.broadcast(sizes), "grp", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return texts.groupBy("grp", "part").cogroup(answers.groupBy("grp", "part")).applyInArrow(_removed(size, with_text), _REMOVED)

@@ -19,8 +19,10 @@ def test_packing(values):
     assert substring.unpack(substring.pack(array), np.uint64).tolist() == array.tolist()
 
 
-@pytest.mark.parametrize(("run_windows", "buckets"), [(2_000_000, None), (500, 3)])
-def test_equals_brute_force(corpus, run_windows, buckets):
+@pytest.mark.parametrize(("run_windows", "buckets", "group_bytes"), [(2_000_000, None, 256 << 20), (500, 3, 256 << 20), (2_000_000, None, 4000)])
+def test_equals_brute_force(corpus, monkeypatch, run_windows, buckets, group_bytes):
+    """In runs and buckets of any size; with groups dealt to parts, one id holding a third of all rows."""
+    monkeypatch.setattr(substring, "GROUP_BYTES", group_bytes)
     rng = random.Random(6)
     passage, few = words(rng, 40), words(rng, 12)
     rows = []
@@ -34,6 +36,7 @@ def test_equals_brute_force(corpus, run_windows, buckets):
         rows.append((i * 7 % 120 - 10, rng.choice([" ", "\n", "\t ", "  "]).join(text)))
     rows += [(300, None), (301, ""), (302, " \n"), (303, rows[0][1]), (303, rows[0][1]), (304, " ".join(["same"] * 40)), (305, "same " * 20),
              (306, " ".join(words(rng, 40000))), (None, " ".join(passage)), (307, "nul\0word é " * 15)]
+    rows += [(77, " ".join(words(rng, 20) + passage[:14 + k % 20])) for k in range(60)]
     texts = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
     first: dict = {}
     low = -(1 << 63)
