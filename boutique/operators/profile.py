@@ -10,18 +10,22 @@ Scale notes:
   weights of the orders or lines that refer to them. Only keys and counts are shuffled.
   Keys of customers, products, sellers and (product, seller) of stock are unique.
 * A histogram holds (column index, value, count) of distinct values, combined map-side;
-  moments are exact decimal sums over it and percentiles come from running counts
-  (``running_sum``), so no task ever holds all the values of a column (``percentile`` would,
-  in its final merge).
+  moments are exact decimal sums over it. Percentiles are found by rank selection: the value
+  range that holds a wanted rank is cut into ``RANGES`` parts, the counts of the parts say
+  which one holds it, and that one is cut again. So the values are never sorted, a round
+  shuffles at most ``RANGES`` counts per wanted rank and task, and no task holds a column's
+  values (``percentile`` would, in its final merge).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boutique.operators.ordered import running_sum
 from boutique.session import materialize
 from boutique.sources.tables import Tables
 
@@ -40,6 +44,8 @@ DATETIME = (
     "review_creation_date", "last_updated",
 )
 QUANTILES = (0.25, 0.5, 0.75)
+#: Parts into which a round of the rank selection cuts a value range.
+RANGES = 1024
 
 
 def weighted_tables(t: Tables) -> list[DataFrame]:
@@ -101,7 +107,41 @@ def histogram(table: DataFrame, names: list[str]) -> DataFrame:
     return long.groupBy("c", "x").agg(F.sum("_w").alias("cnt"))
 
 
-def describe(tables: list[DataFrame], numeric=NUMERIC, datetime=DATETIME, pieces: int | None = None) -> DataFrame:
+def order_statistics(hist: DataFrame, wanted: dict[int, list[int]], ranges: int = RANGES) -> dict[tuple[int, int], int]:
+    """{(c, rank): value} of the 0-based ranks ``wanted`` of each column of a histogram (c, x,
+    cnt). A round narrows every wanted rank's range of values by ``ranges``; it ends when the
+    range holds one value. Only the ranges (one per wanted rank at most) reach the driver."""
+    found: dict[tuple[int, int], int] = {}
+    # (c, low, high, rows below low, ranks): None for an open range, the column's whole one.
+    limits = {r["c"]: r for r in hist.filter(F.col("c").isin(list(wanted))).groupBy("c").agg(F.min("x").alias("low"), F.max("x").alias("high")).collect()}
+    open_ = [(c, limits[c]["low"], limits[c]["high"], 0, sorted(set(ranks))) for c, ranks in wanted.items() if c in limits]
+    spark = hist.sparkSession
+    while open_:
+        single = [o for o in open_ if o[1] == o[2]]
+        found |= {(c, r): low for c, low, _, _, ranks in single for r in ranks}
+        open_ = [o for o in open_ if o[1] < o[2]]
+        if not open_:
+            break
+        # Widths are exact: longs may span more than a double can tell apart.
+        cuts = spark.createDataFrame([(k, c, Decimal(low), Decimal(high), Decimal(-(-(high - low + 1) // ranges))) for k, (c, low, high, _, _) in enumerate(open_)],
+                                     "k int, c int, low decimal(20,0), high decimal(20,0), width decimal(20,0)")
+        asked = spark.createDataFrame([(k, r, r - below) for k, (_, _, _, below, ranks) in enumerate(open_) for r in ranks], "k int, r long, within long")
+        value = F.col("x").cast("decimal(20,0)")
+        inside = hist.join(F.broadcast(cuts), "c").filter((value >= F.col("low")) & (value <= F.col("high")))
+        part = F.floor((value - F.col("low")) / F.col("width")).cast("int")
+        counted = inside.groupBy("k", part.alias("part")).agg(F.sum("cnt").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        upto = F.sum("n").over(Window.partitionBy("k").orderBy("part"))  # `ranges` rows at most
+        placed = counted.withColumn("end", upto).withColumn("begin", F.col("end") - F.col("n"))
+        hit = placed.join(F.broadcast(asked), "k").filter((F.col("begin") <= F.col("within")) & (F.col("within") < F.col("end")))
+        narrowed: dict[tuple, list[int]] = {}
+        for r in hit.select("k", "low", "high", "begin", "r").collect():
+            c, _, _, below, _ = open_[r["k"]]
+            narrowed.setdefault((c, r["low"], r["high"], below + r["begin"]), []).append(r["r"])
+        open_ = [(*key, sorted(ranks)) for key, ranks in narrowed.items()]
+    return found
+
+
+def describe(tables: list[DataFrame], numeric=NUMERIC, datetime=DATETIME, ranges: int = RANGES) -> DataFrame:
     """A10 over weighted tables (column ``_w``): one row per column (datetimes in epoch
     seconds, no std). Sums are taken exactly as decimals over the histogram and scaled back."""
     names = list(numeric) + list(datetime)
@@ -120,32 +160,22 @@ def describe(tables: list[DataFrame], numeric=NUMERIC, datetime=DATETIME, pieces
         F.min("x").alias("mnu"),
         F.max("x").alias("mxu"),
     ).withColumn("sc", scale_of[F.col("c")])
-    cum = running_sum(hist, {"ce": F.col("cnt")}, ["x"], ["c"], inclusive=True,
-                      per_piece=pieces, rows=hist.count())
-    cum = materialize(cum.withColumn("cb", F.col("ce") - F.col("cnt")))
+    moments = materialize(moments)
 
     # Target ranks: for each column and quantile the two order statistics around p*(n-1).
+    counts = {r["c"]: r["n"] for r in moments.select("c", "n").collect()}  # a row per profiled column
+    wanted = {c: sorted({min(math.floor(p * (n - 1)) + k, n - 1) for p in QUANTILES for k in (0, 1)}) for c, n in counts.items()}
+    statistics = order_statistics(hist, wanted, ranges)
+    hit = hist.sparkSession.createDataFrame([(c, r, x) for (c, r), x in statistics.items()], "c int, r long, xu long")
     targets = moments.select(
         "c", "n", F.explode(F.array(*[F.lit(p) for p in QUANTILES])).alias("p")
     ).withColumn("pos", F.col("p") * (F.col("n") - 1).cast("double")).withColumn(
         "lo", F.floor("pos").cast("bigint")
     ).withColumn("frac", F.col("pos") - F.col("lo").cast("double"))
-    ranks = targets.select(
-        F.col("c").alias("rc"), F.col("p").alias("rp"),
-        F.explode(F.array(F.col("lo"), F.col("lo") + 1)).alias("r"),
-    )
-    # ranks has at most 6 rows per profiled column: a proven bound, so it is broadcast.
-    hit = cum.join(
-        F.broadcast(ranks),
-        (F.col("c") == F.col("rc")) & (F.col("cb") <= F.col("r")) & (F.col("r") < F.col("ce")),
-        "inner",
-    ).select(F.col("rc").alias("c"), F.col("rp").alias("p"), "r", F.col("x").alias("xu"))
     q = targets.alias("t").join(
-        hit.alias("a"), (F.col("a.c") == F.col("t.c")) & (F.col("a.p") == F.col("t.p"))
-        & (F.col("a.r") == F.col("t.lo")), "left"
+        hit.alias("a"), (F.col("a.c") == F.col("t.c")) & (F.col("a.r") == F.col("t.lo")), "left"
     ).join(
-        hit.alias("b"), (F.col("b.c") == F.col("t.c")) & (F.col("b.p") == F.col("t.p"))
-        & (F.col("b.r") == F.col("t.lo") + 1), "left"
+        hit.alias("b"), (F.col("b.c") == F.col("t.c")) & (F.col("b.r") == F.col("t.lo") + 1), "left"
     ).select(
         F.col("t.c").alias("c"), F.col("t.p").alias("p"),
         F.col("a.xu").alias("au"), F.coalesce(F.col("b.xu"), F.col("a.xu")).alias("bu"),
@@ -197,6 +227,6 @@ def describe(tables: list[DataFrame], numeric=NUMERIC, datetime=DATETIME, pieces
     return out.orderBy("c").drop("c")
 
 
-def wide_profile(t: Tables, pieces: int | None = None) -> DataFrame:
+def wide_profile(t: Tables, ranges: int = RANGES) -> DataFrame:
     """Q10: describe() of the wide join."""
-    return describe(weighted_tables(t), pieces=pieces)
+    return describe(weighted_tables(t), ranges=ranges)

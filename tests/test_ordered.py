@@ -1,5 +1,6 @@
 """Piece-wise running sums equal plain windows, also when groups span many pieces."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -84,3 +85,24 @@ def test_same_result_under_different_partitionings(spark, sf_small):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         spark.conf.unset("boutique.rowsPerPiece")
     assert results[0] == results[1]
+
+
+@pytest.mark.parametrize("ranges", [2, 7, 1024])
+def test_rank_selection(spark, ranges):
+    """Order statistics of weighted values, ties, extremes and single values, without a sort."""
+    import random
+
+    from boutique.operators.profile import order_statistics
+
+    rng = random.Random(5)
+    columns = {0: [(rng.randrange(-50, 50), rng.randrange(1, 9)) for _ in range(300)], 1: [(7, 12)], 2: [(-(2**63), 1), (2**63 - 1, 2), (0, 1), (1, 5)],
+               3: [(x * x * 10**6, 1) for x in range(400)], 4: [(3, 1)]}
+    merged = {c: {} for c in columns}
+    for c, rows in columns.items():
+        for x, n in rows:
+            merged[c][x] = merged[c].get(x, 0) + n
+    hist = spark.createDataFrame([(c, x, n) for c, values in merged.items() for x, n in values.items()], "c int, x long, cnt long")
+    spread = {c: [x for x in sorted(v) for _ in range(v[x])] for c, v in merged.items()}
+    wanted = {c: sorted({0, len(v) - 1, len(v) // 4, len(v) // 2, min(len(v) // 2 + 1, len(v) - 1)}) for c, v in spread.items() if c != 4}
+    got = order_statistics(hist, wanted | {9: [0]}, ranges)
+    assert got == {(c, r): spread[c][r] for c, ranks in wanted.items() for r in ranks}
