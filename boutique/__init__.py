@@ -4,7 +4,7 @@ Every public operator takes DataFrames (or a :class:`~boutique.sources.tables.Ta
 and returns a lazy DataFrame; nothing is collected to the driver.
 """
 
-from boutique.session import build_session, cut_lineage, ensure_checkpoint_dir
+from boutique.session import build_session, materialize, ensure_checkpoint_dir
 from boutique.sources.tables import Tables
 
-__all__ = ["Tables", "build_session", "cut_lineage", "ensure_checkpoint_dir"]
+__all__ = ["Tables", "build_session", "materialize", "ensure_checkpoint_dir"]

@@ -111,17 +111,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared checkpoint folder), never a local one.
-
-    Used for intermediate tables that later steps read several times (ranked supply and
-    demand, allocation results): they are computed once, and a lost executor is recovered
-    from the written files instead of replaying the whole chain.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage with a reliable checkpoint.
 
