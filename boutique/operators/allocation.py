@@ -27,7 +27,7 @@ from boutique.operators.components import connected
 from boutique.operators.ordered import max_id_number, row_numbers, running_sum
 from boutique.sources.carts import normalise_carts
 from boutique.sources.schemas import MONEY
-from boutique.session import materialize
+from boutique.session import materialize, ship_package
 from boutique.sources.tables import Tables
 
 def supply_order():
@@ -121,6 +121,7 @@ def admit_carts(lines: DataFrame, stock: DataFrame, pieces: int | None = None, s
     component is serial by definition.
     Returns ``(cart_id, admitted)``.
     """
+    ship_package(lines.sparkSession)
     most = serial_lines or int(lines.sparkSession.conf.get("boutique.serialLines", str(SERIAL_LINES)))
     lines = lines.select(F.col("cart_id").cast("bigint").alias("cart_id"), "product_id", F.col("qty").cast("bigint").alias("qty"))
     room = stock.join(lines.select("product_id").distinct(), "product_id", "left_semi").groupBy("product_id").agg(

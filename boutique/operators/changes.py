@@ -28,7 +28,7 @@ from boutique.operators import quality as qa
 from boutique.operators.allocation import SERIAL_LINES
 from boutique.operators.components import connected
 from boutique.operators.ordered import row_numbers, running_sum
-from boutique.session import materialize
+from boutique.session import materialize, ship_package
 
 N = "_n"
 
@@ -97,6 +97,7 @@ def settle(events: DataFrame, holders: DataFrame, most: int | None = None, piece
     row per holder, values held by one row each (if several hold one, each blocks the others).
     A change is refused if another row holds what it wants, or if a - b leaves 0 .. 2**31 - 1.
     """
+    ship_package(events.sparkSession)
     most = most or int(events.sparkSession.conf.get("boutique.serialLines", str(SERIAL_LINES)))
     state = materialize(_with_state(events, holders))
     # Contended: wanted or held by more than one row.

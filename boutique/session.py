@@ -7,7 +7,9 @@ zone-less), ANSI mode, AQE with partition coalescing and skew-join splitting.
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -90,6 +92,24 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application: operators whose tasks run
+    Python functions call it, as tasks import them by name."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="boutique-package-")) / f"{package.name}-package.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Point the SparkContext at the cluster's shared checkpoint folder.
 
