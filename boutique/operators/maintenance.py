@@ -391,7 +391,9 @@ def update_stock(t: Tables, changes: DataFrame, as_of: dt.datetime) -> dict:
     """
     in_order = "seq" in changes.columns
     changes, dup = cg.ordered(changes, "stock_id")
-    found, missing = qa.split_existing(changes, t.stock, "stock_id")
+    # Read five times below, so a table that is itself computed is computed once.
+    held = materialize(t.stock.select("stock_id", "product_id", "seller_id", "quantity_in_stock", "quantity_reserved"))
+    found, missing = qa.split_existing(changes, held, "stock_id")
     numbers = ("quantity_in_stock", "quantity_reserved", "min_stock_level", "reorder_point")
     texts = ("seller_id", "warehouse_location", "stock_condition")
     blank = lambda c: F.coalesce(strip_python(F.col(c)), F.lit("")) == ""
@@ -401,11 +403,11 @@ def update_stock(t: Tables, changes: DataFrame, as_of: dt.datetime) -> dict:
         {f"new_{c}": python_int(f"new_{c}") for c in numbers}))
 
     place = lambda seller: F.concat(F.length(seller).cast("string"), F.lit(":"), seller, F.coalesce("product_id", F.lit("")))
-    products = t.stock.select("stock_id", "product_id")
+    products = held.select("stock_id", "product_id")
     events = checked.filter(F.size("errors") == 0).join(products, "stock_id").select(
         cg.N, F.col("stock_id").alias("holder"), place(F.col("new_seller_id")).alias("wanted"),
         F.col("new_quantity_in_stock").cast("bigint").alias("set_a"), F.col("new_quantity_reserved").cast("bigint").alias("set_b"))
-    holders = t.stock.select(
+    holders = held.select(
         F.col("stock_id").alias("holder"), place(F.col("seller_id")).alias("held"),
         F.col("quantity_in_stock").cast("bigint").alias("a"), F.col("quantity_reserved").cast("bigint").alias("b"))
     verdict = cg.settle(events, holders).withColumn("repeated", F.lit(False)) if in_order else cg.settle_unordered(events, holders)
