@@ -16,11 +16,13 @@ def id_number(col: str | Column, prefix: str) -> Column:
 
 
 def padded(number: Column, width: int) -> Column:
-    """Same text as ``%0{width}d``, computed with lpad (no format parsing per row) for the
-    usual 0 <= n < 10**width, and with ``format_string`` otherwise."""
-    n = number.cast("bigint")
-    return F.when((n >= 0) & (n < 10 ** width), F.lpad(n.cast("string"), width, "0")).otherwise(
-        F.format_string(f"%0{width}d", n))
+    """Same text as ``%0{width}d``, nulls and negative numbers included, computed with lpad:
+    ``format_string`` parses the format for every row, and is slow even as a branch not taken."""
+    text = number.cast("bigint").cast("string")
+    size = F.length(text)
+    return (F.when(number >= 0, F.lpad(text, F.greatest(size, F.lit(width)), F.lit("0")))
+            .when(number < 0, F.concat(F.lit("-"), F.lpad(F.substring(text, 2, 20), F.greatest(size - 1, F.lit(width - 1)), F.lit("0"))))
+            .otherwise(F.lit("null".rjust(width))))
 
 
 def format_id(prefix: str, width: int, number: Column) -> Column:

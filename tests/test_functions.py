@@ -73,3 +73,14 @@ def test_no_dates(text):
 def test_dates_given_as_dates():
     assert parse_timestamp(dt.date(2024, 1, 5)) == dt.datetime(2024, 1, 5) == parse_timestamp(dt.datetime(2024, 1, 5))
     assert parse_timestamp(dt.datetime(2024, 1, 5, tzinfo=dt.timezone(dt.timedelta(hours=2)))) == dt.datetime(2024, 1, 4, 22)
+
+
+def test_padded_numbers_as_the_format_says(spark):
+    from boutique.functions.ids import padded
+
+    numbers = [None, 0, 42, 9999, 10000, 123456789012, -1, -42, -999, -10000, 2**63 - 1, -2**63]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long")
+    for width in (2, 4, 5, 6, 8):
+        shown = padded(F.col("n"), width)
+        assert "format_string" not in str(shown)
+        assert [r[0] for r in df.select(shown).collect()] == [r[0] for r in df.select(F.format_string(f"%0{width}d", "n")).collect()]
