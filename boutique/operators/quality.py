@@ -277,9 +277,8 @@ def foreign_key_report(tables: dict[str, DataFrame]) -> DataFrame:
         c = tables[child].select(*[F.col(a).alias(f"_c{i}") for i, a in enumerate(ccols)])
         p = tables[parent].select(*[F.col(b).alias(f"_c{i}") for i, b in enumerate(pcols)])
         keys = [f"_c{i}" for i in range(len(ccols))]
-        orphans = (
-            c.dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(p, keys, "left_anti")
-        )
+        # Only orphans are counted: a task holds no table of all the keys it sees.
+        orphans = c.dropna().join(p, keys, "left_anti").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         parts.append(orphans.select(
             F.lit(child).alias("table_name"), F.lit(",".join(ccols)).alias("key_columns"),
             F.lit(parent).alias("parent_table"), _key_string(tuple(keys)).alias("key_value"), "n",
