@@ -264,7 +264,7 @@ def delete_customers(t: Tables, customer_ids: DataFrame) -> dict:
         "orders": t.orders.join(found, "customer_id", "left_anti"),
         "order_items": t.order_items.join(gone_orders, "order_id", "left_anti"),
         "order_payments": t.order_payments.join(gone_orders, "order_id", "left_anti"),
-        "order_reviews": t.order_reviews.join(gone_orders, "order_id", "left_anti"),
+        "order_reviews": _reviews(t, t.review_rows.join(gone_orders, "order_id", "left_anti")),
         "rejects": missing.select(F.col("customer_id").alias("key"), "errors"),
     }
 
@@ -449,12 +449,17 @@ def add_reviews(t: Tables, batch: DataFrame, as_of: dt.datetime) -> dict:
             "rejects": checked.filter(F.size("errors") > 0)}
 
 
+def _reviews(t: Tables, rows: DataFrame) -> DataFrame:
+    """``rows`` (of ``t.review_rows``) as the review table, messages included."""
+    return t.with_messages(rows).select(*t.order_reviews.columns)
+
+
 def update_reviews(t: Tables, changes: DataFrame) -> dict:
     """Score is sparse (null keeps; otherwise 1..5); title and message: null keeps,
     empty clears, other text is stripped. Several changes of a review (in the order of
     ``seq``) leave the last value of each field."""
     changes, dup = cg.ordered(changes, "review_id")
-    found, missing = qa.split_existing(changes, t.order_reviews, "review_id")
+    found, missing = qa.split_existing(changes, t.review_facts, "review_id")
     checked = qa.check(found, [qa.Rule("review_score: integer from 1 to 5",
                                        F.col("new_review_score").isNull() | qa.valid_score("new_review_score"))])
     fields = [f"new_{c}" for c in ("review_score", "review_comment_title", "review_comment_message")]
@@ -464,7 +469,7 @@ def update_reviews(t: Tables, changes: DataFrame) -> dict:
         v = F.col(f"new_{c}")
         return F.when(v.isNull(), F.col(c)).otherwise(blank_to_null_stripped(v))
 
-    j = t.order_reviews.join(ok, "review_id", "left")
+    j = t.with_messages(t.review_rows.join(ok, "review_id", "left"))
     reviews = j.select(*[
         F.coalesce(python_int("new_review_score"), F.col(c)).alias(c)
         if c == "review_score" else text(c).alias(c) if c in ("review_comment_title", "review_comment_message")
@@ -479,6 +484,6 @@ def update_reviews(t: Tables, changes: DataFrame) -> dict:
 def delete_reviews(t: Tables, review_ids: DataFrame) -> dict:
     """Delete reviews by id; unknown ids are rejected."""
     ids = review_ids.select("review_id").distinct()
-    found, missing = qa.split_existing(ids, t.order_reviews, "review_id")
-    return {"order_reviews": t.order_reviews.join(found, "review_id", "left_anti"),
+    found, missing = qa.split_existing(ids, t.review_facts, "review_id")
+    return {"order_reviews": _reviews(t, t.review_rows.join(found, "review_id", "left_anti")),
             "rejects": missing.select(F.col("review_id").alias("key"), "errors")}

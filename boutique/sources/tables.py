@@ -13,6 +13,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from boutique.session import materialize
 from boutique.sources import schemas as S
 from boutique.sources.testdata import TestDataAdapter
 
@@ -50,6 +51,9 @@ class Tables:
     loaders: dict = field(default_factory=dict)
     _cache: dict = field(default_factory=dict)
     adapter: TestDataAdapter | None = None
+    files: bool = False  # every table is read from files as it is
+    replaced: frozenset = frozenset()  # tables given by with_tables
+    once: frozenset = frozenset()  # tables materialized by computed_once
 
     # ---- construction ----------------------------------------------------------------
     @classmethod
@@ -65,7 +69,7 @@ class Tables:
         def loader(name):
             return lambda: spark.read.schema(S.TABLES[name]).parquet(f"{root}/{name}")
 
-        return cls(spark=spark, loaders={n: loader(n) for n in TABLE_NAMES})
+        return cls(spark=spark, loaders={n: loader(n) for n in TABLE_NAMES}, files=True)
 
     @classmethod
     def from_jdbc(cls, spark: SparkSession, url: str, properties: dict,
@@ -102,7 +106,7 @@ class Tables:
         for n, d in frames.items():
             loaders[n] = lambda d=d: d
             cache[n] = d
-        return replace(self, loaders=loaders, _cache=cache)
+        return replace(self, loaders=loaders, _cache=cache, files=False, replaced=self.replaced | set(frames), once=self.once - set(frames))
 
     # ---- access ------------------------------------------------------------------------
     def table(self, name: str) -> DataFrame:
@@ -119,10 +123,35 @@ class Tables:
     def review_facts(self) -> DataFrame:
         """The reviews without their messages, for readers that don't need the text (the
         test-data adapter has it in a table of its own, which they then don't read)."""
-        if "order_reviews" in self._cache or self.adapter is None:
+        if not self._own_messages():
             return self.table("order_reviews").drop("review_comment_message")
         return self.adapter.review_facts()
 
+    @property
+    def review_rows(self) -> DataFrame:
+        """The reviews for steps that choose or change some: rows to be given their messages by
+        :meth:`with_messages` when all else is done, so that texts don't go through shuffles.
+        (The test-data adapter has the texts in a table of its own.)"""
+        if self._own_messages():
+            return self.adapter.review_rows()
+        return self.table("order_reviews")
+
+    def with_messages(self, reviews: DataFrame) -> DataFrame:
+        """``reviews`` (from :attr:`review_rows`, columns added, rows dropped) with their messages."""
+        return self.adapter.with_messages(reviews) if self._own_messages() else reviews
+
+    def _own_messages(self) -> bool:
+        return self.adapter is not None and "order_reviews" not in self.replaced
+
+    def computed_once(self, *names: str) -> "Tables":
+        """This bundle with the given tables materialized, unless they are files already: for
+        readers of a table that the test-data adapter (or an earlier step) computes."""
+        todo = [n for n in names if not (self.files or n in self.once)]
+        if not todo:
+            return self
+        out = self.with_tables(**{n: materialize(self.table(n)) for n in todo})
+        return replace(out, once=self.once | set(todo))
+
     def carts(self, qty_factor: int = 1) -> DataFrame:
         if self.adapter is None:
             raise ValueError("carts come from the test-data events; pass a carts DataFrame")

@@ -224,11 +224,19 @@ class TestDataAdapter:
         """The reviews without their messages: ``documents`` isn't read."""
         return self._reviewed().select(*[e.alias(c) for c, e in self._review_columns().items() if c != "review_comment_message"])
 
+    def review_rows(self) -> DataFrame:
+        """The reviews with the number of their message's document in its place (``_message``)."""
+        n_docs = self.raw("documents").select(F.count(F.lit(1))).scalar()
+        columns = self._review_columns() | {"review_comment_message": F.col("o_orderkey") % n_docs}
+        return self._reviewed().select(*[e.alias("_message" if c == "review_comment_message" else c) for c, e in columns.items()])
+
+    def with_messages(self, reviews: DataFrame) -> DataFrame:
+        """:meth:`review_rows` with their messages; other columns of theirs stay."""
+        docs = self.raw("documents").select(F.col("doc_id").alias("_message"), F.col("text").alias("review_comment_message"))
+        return reviews.join(docs, "_message", "left").drop("_message")
+
     def order_reviews(self) -> DataFrame:
-        docs = self.raw("documents").select("doc_id", "text")
-        n_docs = docs.select(F.count(F.lit(1))).scalar()
-        j = self._reviewed().withColumn("doc_id", F.col("o_orderkey") % n_docs).join(docs, "doc_id", "left")
-        return j.select(*[e.alias(c) for c, e in self._review_columns().items()])
+        return self.with_messages(self.review_rows()).select(*self._review_columns())
 
     def order_payments(self) -> DataFrame:
         o = self.raw("orders")
