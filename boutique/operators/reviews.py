@@ -35,15 +35,22 @@ def _with_messages(t: Tables, reviews: DataFrame) -> DataFrame:
 
 def product_reviews(t: Tables, product_id: str | None = None) -> DataFrame:
     """Q7: reviews of the orders holding each product (each review once per product),
-    with the author's name, newest first."""
+    with the author's name, newest first.
+
+    A review is one row, with the list of its order's products, until the rows are in order;
+    only then is it repeated for each product. So its message is moved once, however many
+    products its order holds.
+    """
     items = t.order_items
     if product_id is not None:
         items = items.filter(F.col("product_id") == product_id)
-    rev = items.select("order_id", "product_id").join(t.review_facts.select(*FACTS), "order_id", "inner").dropDuplicates(
-        ["order_id", "product_id", "review_id"])
-    df = _with_messages(t, _with_authors(t, rev)).select(
-        "order_id", "product_id", *[c for c in REVIEW_COLUMNS if c != "order_id"], "customer_id", "first_name", "last_name")
-    return df.orderBy(F.col("review_creation_date").desc(), "review_id", "product_id")
+    items = items.join(t.review_facts.select("order_id"), "order_id", "left_semi").select("order_id", F.struct(F.col("product_id")).alias("_p"))
+    held = items.groupBy("order_id").agg(F.sort_array(F.collect_set("_p")).alias("_products"))
+    rows = t.review_facts.select(*FACTS).dropDuplicates(["order_id", "review_id"]).join(held, "order_id")
+    messages = t.review_rows.drop(*[c for c in FACTS if c != "review_id"])
+    df = t.with_messages(_with_authors(t, rows).join(messages, "review_id", "left")).orderBy(F.col("review_creation_date").desc(), "review_id")
+    return df.withColumn("_product", F.explode("_products")).select(
+        "order_id", F.col("_product")["product_id"].alias("product_id"), *[c for c in REVIEW_COLUMNS if c != "order_id"], "customer_id", "first_name", "last_name")
 
 
 #: A product id that packs: the shop's prefix and up to this many digits.

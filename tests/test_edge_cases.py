@@ -145,3 +145,16 @@ def test_first_product_of_ids_of_any_width(spark, odd):
     got = {r.order_id: r.product_id for r in first_product_per_order(spark.createDataFrame(rows, "order_id string, order_item_id int, product_id string")).collect()}
     want = {"a": "PROD_0002", "b": "PROD_99999999", "c": "PROD_000000000", "d": "PROD_0", "e": "OTHER" if odd else "PROD_109"}
     assert got == (want | {"f": "PROD_1", "g": "PROD_9"} if odd else want)
+
+
+def test_product_reviews_once_per_product(spark):
+    """Newest first, then by review and product; a product on several lines counts once, a
+    missing one too; orders without reviews, and reviews without lines, give nothing."""
+    t = tables(
+        spark, orders=[order("O1", "C1"), order("O2", "C1"), order("O3", "C9")], customers=[customer("C1")],
+        order_items=[item("O1", 1, "P2"), item("O1", 2, "P1"), item("O1", 3, "P2"), item("O1", 4, None), item("O2", 1, "P1"), item("O3", 1, "P1")],
+        order_reviews=[review("R1", "O1", when="2024-01-15 09:00:00", msg="un"), review("R2", "O2", when="2024-01-16 09:00:00", msg=None),
+                       review("R3", "O2", when="2024-01-15 09:00:00"), review("R4", "O9")])
+    got = [(r.review_id, r.product_id, r.review_comment_message, r.first_name) for r in rv.product_reviews(t).collect()]
+    assert got == [("R2", "P1", None, "A"), ("R1", None, "un", "A"), ("R1", "P1", "un", "A"), ("R1", "P2", "un", "A"), ("R3", "P1", "m", "A")]
+    assert [r.review_id for r in rv.product_reviews(t, "P2").collect()] == ["R1"]
