@@ -285,6 +285,7 @@ def place_orders(
     ``stock`` and ``customers`` (buyers' statistics refreshed) tables plus ``placed``
     (cart_id -> order_id) and ``rejected`` carts.
     """
+    t = t.computed_once("stock")  # read four times below
     prices = t.products.select("product_id", "product_price")
     lines = materialize(normalise_carts(carts))
     verdict = admit_carts(lines, t.stock, pieces)

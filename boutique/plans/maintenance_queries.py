@@ -527,6 +527,7 @@ SELECT * FROM c_stock WHERE stock_id NOT IN (SELECT stock_id FROM ok)
 UNION ALL SELECT * FROM ok"""))
 def q_stock_update(t):
     """Stock after a sparse update batch (negative availability rejected)."""
+    t = t.computed_once("stock")
     return mt.update_stock(t, stock_changes(t), AS_OF)["stock"]
 
 
@@ -575,5 +576,5 @@ def q_update_reviews(t):
 SELECT * FROM c_order_reviews WHERE review_score <> 3"""))
 def q_delete_reviews(t):
     """Reviews after deleting every score-3 review."""
-    ids = t.order_reviews.filter(F.col("review_score") == 3).select("review_id")
+    ids = t.review_facts.filter(F.col("review_score") == 3).select("review_id")
     return mt.delete_reviews(t, ids)["order_reviews"]

@@ -293,6 +293,7 @@ SELECT c.stock_id, coalesce(f.s, c.seller_id) AS seller_id, c.product_id, coales
 FROM c_stock c LEFT JOIN after f ON f.id = c.stock_id LEFT JOIN touched t ON t.id = c.stock_id"""))
 def q_stock_sequence(t):
     """Stock after changes that depend on each other."""
+    t = t.computed_once("stock")
     return mt.update_stock(t, stock_sequence(t), AS_OF)["stock"].select(
         "stock_id", "seller_id", "product_id", "quantity_in_stock", "quantity_reserved", "quantity_available", "last_updated")
 
@@ -303,6 +304,7 @@ SELECT id AS key, 'min_stock_level: must be an integer' AS errors FROM asked WHE
 UNION ALL SELECT e.id, x.errors FROM ev e JOIN serial x ON x.product_id = e.product_id AND x.k = e.k WHERE x.errors <> ''"""))
 def q_stock_sequence_rejects(t):
     """The refused ones of those changes."""
+    t = t.computed_once("stock")
     return mq._rejected(mt.update_stock(t, stock_sequence(t), AS_OF)["rejects"], "key")
 
 
@@ -313,6 +315,7 @@ FROM c_stock WHERE quantity_available <= 2 AND (quantity_in_stock % 4 = 1
   OR CASE WHEN quantity_in_stock >= 5 THEN quantity_in_stock + 50 - quantity_reserved ELSE -1 END < 0)"""))
 def q_stock_update_rejects(t):
     """Refused stock changes."""
+    t = t.computed_once("stock")
     return mq._rejected(mt.update_stock(t, mq.stock_changes(t), AS_OF)["rejects"], "key")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import pathlib
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -132,20 +133,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
-
-    For intermediate tables that later steps read several times (ranked supply and
-    demand, allocations, assigned ids). The rows are cached while the checkpoint is
-    written, so the plan runs once (a bare RDD checkpoint would run it a second time to
-    write the files); the cache is released as soon as the checkpoint exists. A lost
-    executor is then recovered from the checkpoint files in the shared folder, and the
-    context cleaner removes those files once the DataFrame is no longer referenced.
+    """Compute ``df`` once and cut its lineage: a Parquet table in the shared checkpoint folder.
+
+    For intermediate tables that later steps read several times (ranked supply and demand,
+    allocations, assigned ids). The plan runs once, its shuffles coalesced by their measured
+    sizes; later steps read only the columns they need, and the optimizer knows the table's
+    size. A lost executor loses nothing. The files stay until :func:`drop_materialized`.
     """
-    from pyspark import StorageLevel
-
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist(blocking=False)
+    path = f"{_materialized_root(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _materialized_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete this application's materialized tables (when its results are written)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_materialized_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -43,3 +43,47 @@ def test_first_lines_in_one_hash_aggregate(spark, sf_small):
     text = plan(reviews.first_product_per_order(Tables.from_testdata(spark, sf_small).order_items))
     assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") == 1
     assert "HashAggregate" in text and not re.search("SortAggregate|Join|Sort ", text)
+
+
+def _without_broadcast(spark, build):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return plan(build())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["update_reviews", "delete_customers_reviews"])
+def test_messages_are_joined_last(spark, sf_small, name):
+    """Only the documents themselves are shuffled with their texts, not the reviews."""
+    text = _without_broadcast(spark, lambda: QUERIES[name](spark, sf_small))
+    assert text.index("hashpartitioning(_message") < text.index("hashpartitioning(review_id" if name == "update_reviews" else "hashpartitioning(order_id")
+
+
+def test_reviews_are_sorted_once_per_review(spark, sf_small):
+    """Repeated for the products of the order after the sort, not before."""
+    text = plan(QUERIES["product_reviews"](spark, sf_small))
+    assert text.index("Generate explode") < text.index("Exchange rangepartitioning")
+
+
+def test_foreign_keys_count_orphans_only(spark, sf_small):
+    """No table of all child keys: lines are joined to their parents before they are counted."""
+    text = _without_broadcast(spark, lambda: QUERIES["dq_foreign_keys"](spark, sf_small))
+    assert text.index("HashAggregate") < text.index("LeftAnti")
+
+
+def test_materialized_tables_are_files(spark):
+    from pyspark.sql import functions as F
+
+    from boutique.session import materialize
+
+    df = materialize(spark.range(5).select(F.col("id"), F.array(F.col("id")).alias("a"), F.lit(None).cast("timestamp_ntz").alias("t")))
+    assert "FileScan parquet" in plan(df) and df.count() == 5
+    assert materialize(df.limit(0)).isEmpty()
+
+
+def test_computed_stock_is_computed_once(spark, sf_small):
+    t = Tables.from_testdata(spark, sf_small)
+    once = t.computed_once("stock")
+    assert "lineitem" in plan(t.stock) and "lineitem" not in plan(once.stock)
+    assert once.computed_once("stock") is once and once.stock.exceptAll(t.stock).isEmpty()
